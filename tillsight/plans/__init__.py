@@ -1,4 +1,4 @@
 """Registered queries.  Importing this package fills ``registry.QUERIES`` / ``ORACLE``."""
 
-from tillsight.plans import q_features, q_rules  # noqa: F401
+from tillsight.plans import q_audits, q_features, q_rules  # noqa: F401
 from tillsight.plans.registry import ORACLE, QUERIES  # noqa: F401
