@@ -34,11 +34,13 @@ def register(name: str, sql: str | None = None) -> Callable[[Builder], Builder]:
     return deco
 
 
-def finish(df: DataFrame, digits: int = 4) -> DataFrame:
+def finish(df: DataFrame, digits: int = 4, keep: tuple[str, ...] = ()) -> DataFrame:
     out = []
     for f in df.schema.fields:
         c = F.col(f"`{f.name}`")
-        if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+        if f.name in keep:
+            pass
+        elif isinstance(f.dataType, (T.DoubleType, T.FloatType)):
             c = F.round(c.cast("double"), digits)
         elif isinstance(f.dataType, T.DecimalType):
             c = F.round(c.cast("double"), digits)
