@@ -409,3 +409,70 @@ def metric_spread(summary: DataFrame) -> DataFrame:
 def score_hist(df: DataFrame, bins: int = 50) -> DataFrame:
     b = F.least(F.floor(F.col("p") * F.lit(bins)), F.lit(bins - 1)).cast("int")
     return df.groupBy(b.alias("bin")).agg(F.count_if(F.col("y") == 0).alias("n_normal"), F.count_if(F.col("y") == 1).alias("n_fraud"))
+
+
+# ---------------------------------------------------------------- folds: V17 / V18 / V19 / A22
+def fold_metrics(ev: DataFrame, fold_assign: DataFrame, models: dict[str, Column], key: str = "transaction_id",
+                 gain_tp: float = GAIN_TP, cost_fp: float = COST_FP) -> DataFrame:
+    """Per (model, repeat, fold): V1 + V2 + V5 + V6 on the fold's rows.
+
+    ``models`` maps a name to a decision column (a fixed, small list); each row
+    is evaluated under every decision in the same pass.
+    """
+    j = ev.drop("yhat").join(fold_assign, key, "inner")
+    m = F.explode(F.array(*[F.struct(F.lit(n).alias("model"), e.cast("int").alias("yhat")) for n, e in models.items()]))
+    x = j.select("*", m.alias("_m")).select("*", "_m.model", "_m.yhat").drop("_m")
+    out = evaluate(x, ["model", "repeat", "fold"], gain_tp, cost_fp)
+    return out.join(j.groupBy("repeat", "fold").agg(F.count(F.lit(1)).alias("n_rows")), ["repeat", "fold"], "inner")
+
+
+def compare_folds(per_fold: DataFrame, baseline: str, combined: str) -> DataFrame:
+    """Value of two models per fold, gain and % improvement."""
+    w = per_fold.groupBy("repeat", "fold").pivot("model", [baseline, combined]).agg(F.first("business_value"))
+    return w.select(
+        "repeat", "fold",
+        F.col(baseline).alias("value_baseline"), F.col(combined).alias("value_combined"),
+        (F.col(combined) - F.col(baseline)).alias("gain"),
+        F.try_divide((F.col(combined) - F.col(baseline)) * F.lit(100.0), F.abs(F.col(baseline))).alias("improvement_pct"),
+    )
+
+
+def discount_recall(ev: DataFrame, fold_assign: DataFrame, discount: DataFrame, key: str = "transaction_id") -> DataFrame:
+    """Per fold, fraud cases with a discount, how many the decision catches, and their damage."""
+    d = discount.select(key, F.lit(True).alias("_disc"))
+    j = ev.join(fold_assign, key, "inner").join(d, key, "inner").where(F.col("y") == 1)
+    return j.groupBy("repeat", "fold").agg(
+        F.count(F.lit(1)).alias("n_cases"),
+        F.count_if(F.col("yhat") == 1).alias("n_detected"),
+        (F.count_if(F.col("yhat") == 1) / F.count(F.lit(1))).alias("share_detected"),
+        sum0("damage").alias("damage_cases"),
+        sum0(F.when(F.col("yhat") == 1, F.col("damage"))).alias("damage_detected"),
+    )
+
+
+def melt_metrics(df: DataFrame, keys: Sequence[str], metrics: Sequence[str], tag: str) -> DataFrame:
+    """Wide fold metrics to long form (keys, tag, metric, value)."""
+    long = df.select(*keys, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot(list(keys), list(metrics), "metric", "value")
+    return long.withColumn("tag", F.lit(tag))
+
+
+def value_summary(per_fold: DataFrame, model: str, rules: DataFrame, share: float = 0.2, gain_tp: float = GAIN_TP) -> DataFrame:
+    """Model (mean over folds) + static rules (share of their catch) and the total, per transaction."""
+    m = per_fold.where(F.col("model") == model).agg(
+        F.avg("damage_total").alias("damage"), F.avg("business_value").alias("value"), F.avg("n_rows").alias("n_transactions"),
+    ).select(F.lit("model").alias("part"), (-F.col("damage")).alias("damage"), "value",
+             (F.col("value") + F.col("damage")).alias("added_value"), "n_transactions")
+    r = rules.agg(sum0("damage").alias("d"), F.count(F.lit(1)).alias("n")).select(
+        F.lit("static_rules").alias("part"),
+        (-F.col("d") * F.lit(share)).alias("damage"),
+        (F.col("n") * F.lit(gain_tp * share)).alias("value"),
+        (F.col("n") * F.lit(gain_tp * share) + F.col("d") * F.lit(share)).alias("added_value"),
+        (F.col("n") * F.lit(share)).alias("n_transactions"),
+    )
+    parts = m.unionByName(r)
+    total = parts.agg(
+        F.sum("damage").alias("damage"), F.sum("value").alias("value"), F.sum("added_value").alias("added_value"),
+        F.sum("n_transactions").alias("n_transactions"),
+    ).select(F.lit("total").alias("part"), "*")
+    out = parts.unionByName(total)
+    return out.withColumn("added_value_per_transaction", F.try_divide(F.col("added_value"), F.col("n_transactions")))
