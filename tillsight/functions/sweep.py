@@ -3,8 +3,9 @@
 A decision rule swept over a sorted parameter grid is monotone: a row is
 positive for a prefix of the grid (all t_i < p for ``p > t``; all m_i below
 the row's break-even for the malus rule).  :func:`prefix_count` finds, per
-row, the length of that prefix with an exact binary search over the grid
-literals (``aggregate`` over ``log2(n)`` steps, evaluated JVM-side).  Rows
+row, the exact length of that prefix — arithmetically plus an exact
+correction for uniform grids, by binary search over the grid literals
+otherwise.  Rows
 are then pre-aggregated into at most ``n + 1`` buckets, and
 :func:`suffix_totals` turns bucket totals into per-grid-point totals with a
 window over that tiny table.  Work is O(rows · log n) with map-side partial
@@ -24,18 +25,47 @@ def grid_array(grid: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(g)) for g in grid])
 
 
-def prefix_count(grid: Sequence[float], positive_at: Callable[[Column], Column]) -> Column:
+def _uniform(grid: Sequence[float]) -> tuple[float, float] | None:
+    if len(grid) < 2:
+        return None
+    step = (grid[-1] - grid[0]) / (len(grid) - 1)
+    if step <= 0:
+        return None
+    ok = all(abs((grid[i] - grid[0]) - i * step) <= 1e-9 * max(1.0, abs(grid[i])) for i in range(len(grid)))
+    return (grid[0], step) if ok else None
+
+
+def prefix_count(grid: Sequence[float], positive_at: Callable[[Column], Column],
+                 crossing: Column | None = None, inclusive: bool = False) -> Column:
     """Number of leading grid points where ``positive_at(t)`` holds (exact).
 
     ``positive_at`` must be true on a prefix of the (sorted) grid and false
-    afterwards; null counts as false.
+    afterwards; null counts as false.  With ``crossing`` (the value x at
+    which the rule flips: positive for t < x, or t <= x when ``inclusive``)
+    and a uniform grid, the index is estimated arithmetically and then
+    corrected with the exact predicate at the neighbouring grid points — pure
+    codegen'd arithmetic.  Otherwise a binary search over the grid literals
+    runs inside ``aggregate`` (log2(n) steps).
     """
     n = len(grid)
     arr = grid_array(grid)
+    uni = _uniform(grid)
+    if crossing is not None and uni is not None:
+        a, step = uni
+        pos = (crossing - F.lit(a)) / F.lit(step)
+        est = (F.floor(pos) + 1) if inclusive else F.ceil(pos)
+        k = F.least(F.greatest(est, F.lit(0)), F.lit(n)).cast("int")
+
+        def at(i: Column) -> Column:
+            return F.coalesce(positive_at(F.try_element_at(arr, i + 1)), F.lit(False))
+
+        for _ in range(2):  # the estimate is off by at most one step; two exact corrections
+            k = F.when((k < n) & at(k), k + 1).when((k > 0) & ~at(k - 1), k - 1).otherwise(k)
+        return F.coalesce(k, F.lit(0))
     steps = max(1, math.ceil(math.log2(n + 1)))
     init = F.struct(F.lit(0).alias("lo"), F.lit(n).alias("hi"))
 
-    def step(acc: Column, _: Column) -> Column:
+    def step_fn(acc: Column, _: Column) -> Column:
         lo, hi = acc["lo"], acc["hi"]
         mid = ((lo + hi) / 2).cast("int")
         open_ = lo < hi
@@ -45,7 +75,7 @@ def prefix_count(grid: Sequence[float], positive_at: Callable[[Column], Column])
             F.when(open_ & ~ok, mid).otherwise(hi).alias("hi"),
         )
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step, lambda acc: acc["lo"])
+    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step_fn, lambda acc: acc["lo"])
 
 
 def grid_frame(spark: SparkSession, grid: Sequence[float], name: str = "t") -> DataFrame:

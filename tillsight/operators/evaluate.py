@@ -160,9 +160,10 @@ def auc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
 
 
 # ---------------------------------------------------------------- V7 / V8 / V15
-def _sweep(df: DataFrame, grid: Sequence[float], positive_at, gain_tp: float, cost_fp: float, name: str) -> DataFrame:
+def _sweep(df: DataFrame, grid: Sequence[float], positive_at, gain_tp: float, cost_fp: float, name: str,
+           crossing: Column | None = None) -> DataFrame:
     n = len(grid)
-    k = prefix_count(grid, positive_at)
+    k = prefix_count(grid, positive_at, crossing)
     b = df.groupBy(k.alias("k")).agg(
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"),
@@ -182,18 +183,21 @@ def _sweep(df: DataFrame, grid: Sequence[float], positive_at, gain_tp: float, co
 
 def threshold_sweep(df: DataFrame, grid: Sequence[float] = THRESHOLDS_100, gain_tp: float = GAIN_TP, cost_fp: float = COST_FP) -> DataFrame:
     """V7: business value of 'flag when p > t' for every t of the grid."""
-    return _sweep(df, grid, lambda t: F.col("p") > t, gain_tp, cost_fp, "threshold")
+    return _sweep(df, grid, lambda t: F.col("p") > t, gain_tp, cost_fp, "threshold", F.col("p"))
 
 
 def malus_sweep(df: DataFrame, grid: Sequence[float] = MALUS_GRID, gain_tp: float = GAIN_TP) -> DataFrame:
     """V8: value of the cost rule p > m / (gain + m + damage_pred) for every malus m (FP cost stays 10)."""
     rule = lambda m: F.col("p") > m / (F.lit(gain_tp) + m + F.col("damage_pred"))
-    return _sweep(df, grid, rule, gain_tp, COST_FP, "malus")
+    p, d = F.col("p"), F.col("damage_pred")
+    # break-even malus: p·(gain + m + d) > m  <=>  m < p·(gain + d) / (1 - p)
+    crossing = F.when(p >= 1, F.lit(float("inf"))).otherwise(p * (F.lit(gain_tp) + d) / (F.lit(1.0) - p))
+    return _sweep(df, grid, rule, gain_tp, COST_FP, "malus", crossing)
 
 
 def damage_threshold_sweep(df: DataFrame, grid: Sequence[float] = DAMAGE_GRID, gain_tp: float = GAIN_TP, cost_fp: float = COST_FP) -> DataFrame:
     """Value of 'flag when damage_pred > t'."""
-    return _sweep(df, grid, lambda t: F.col("damage_pred") > t, gain_tp, cost_fp, "damage_threshold")
+    return _sweep(df, grid, lambda t: F.col("damage_pred") > t, gain_tp, cost_fp, "damage_threshold", F.col("damage_pred"))
 
 
 def best(sweep: DataFrame, value: str = "business_value", key: str = "idx") -> DataFrame:
@@ -240,8 +244,8 @@ def estimated_value(df: DataFrame, threshold: float | None = 0.35, form: str = "
 
 # ---------------------------------------------------------------- V10 / V11
 def _grid2_buckets(df: DataFrame, p_grid, m_grid, margin: Column, extra_keys: Sequence[Column] = ()) -> DataFrame:
-    k1 = prefix_count(p_grid, lambda t: t <= F.col("p"))
-    k2 = prefix_count(m_grid, lambda t: t <= margin)
+    k1 = F.col("_k1") if "_k1" in df.columns else prefix_count(p_grid, lambda t: t <= F.col("p"), F.col("p"), inclusive=True)
+    k2 = prefix_count(m_grid, lambda t: t <= margin, margin, inclusive=True)
     return df.groupBy(*extra_keys, k1.alias("k1"), k2.alias("k2")).agg(
         F.count_if(F.col("y") == 1).alias("pos"),
         F.count_if(F.col("y") == 0).alias("neg"),
@@ -308,7 +312,9 @@ def parameter_grid(df: DataFrame, gains: Sequence[float] = GAIN_GRID, costs: Seq
     pairs = [(g, c) for g in gains for c in costs]
     p = F.col("p")
     gc = F.explode(F.array(*[F.struct(F.lit(g).alias("gain_tp"), F.lit(c).alias("cost_fp")) for g, c in pairs])).alias("gc")
-    x = df.select("y", "damage", "p", "damage_pred", gc).select("*", "gc.gain_tp", "gc.cost_fp").drop("gc")
+    # the probability bucket does not depend on (gain, cost): computed once, before the explode
+    k1 = prefix_count(p_grid, lambda t: t <= F.col("p"), F.col("p"), inclusive=True)
+    x = df.select("y", "damage", "p", "damage_pred", k1.alias("_k1"), gc).select("*", "gc.gain_tp", "gc.cost_fp").drop("gc")
     margin = (p * F.col("gain_tp") - (F.lit(1.0) - p) * F.col("cost_fp")) + p * F.col("damage_pred")
     b = _grid2_buckets(x, p_grid, m_grid, margin, [F.col("gain_tp"), F.col("cost_fp")])
     cells = _grid2_cells(b, len(p_grid), len(m_grid), ["gain_tp", "cost_fp"])

@@ -76,7 +76,11 @@ def request_validity(parsed: DataFrame) -> DataFrame:
         F.coalesce(F.col("request.transaction_lines"), F.array().cast(T.ArrayType(LINE_SCHEMA))),
         lambda l: l["id"].isNull() | l["timestamp"].isNull() | l["pieces_or_weight"].isNull() | l["sales_price"].isNull() | l["was_voided"].isNull(),
     )
-    reason = F.when(F.col("request").isNull(), F.lit("malformed JSON")).otherwise(
+    # PERMISSIVE from_json yields a struct of nulls (not a null struct) for malformed text
+    malformed = F.col("request").isNull() | (
+        F.col("request.transaction_id").isNull() & h.isNull() & F.col("request.transaction_lines").isNull()
+    )
+    reason = F.when(malformed, F.lit("malformed JSON")).otherwise(
         F.concat_ws(", ", *missing_header, F.when(F.col("request.transaction_lines").isNull(), F.lit("transaction_lines")),
                     F.when(bad_line, F.lit("line field missing")))
     )
