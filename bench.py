@@ -49,8 +49,9 @@ def main() -> None:
     spark = local_session(cpus)
     m = re.search(r"sf([0-9.]+)", sf_dir)
     sf = float(m.group(1)) if m else None
-    # JVM / codegen warm-up on the smallest data set, not timed
-    QUERIES["certain_frauds"](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+    # JVM / JIT warm-up on a small data set, not timed
+    for warm in ("feature_matrix", "screen", "threshold_sweep"):
+        QUERIES[warm](spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
     names = [n for n in os.environ.get("BENCH_QUERIES", ",".join(HEADLINE)).split(",") if n]
     times = {}
     for name in names:

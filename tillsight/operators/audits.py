@@ -148,7 +148,7 @@ def class_counts(df: DataFrame, col: str, labels: Sequence[str] = ("FRAUD", "NOR
     for lab in labels:
         out = out.withColumn(lab, F.col(lab).cast("bigint"))
     if order is not None:
-        pos = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(col))
+        pos = F.array_position(F.array(*[F.lit(v) for v in order]), F.col(col)).cast("int")
         out = out.withColumn("order", pos).orderBy("order")
     return out
 

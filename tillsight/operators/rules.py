@@ -1,10 +1,11 @@
 """Static fraud rules and the screening cascade.
 
-The cascade runs on whole tables: each rule is a filter / semi-join / small
-aggregate over the basket feature matrix or the lines, and the precedence
-(no lines -> missing product -> unscanned -> excluded discount -> model) is
-one ``coalesce`` over per-rule result structs, so no basket is looked at twice
-and nothing goes through the driver.
+The cascade runs on whole tables: the basket feature matrix is read once, the
+rule details that need line-level data (offending products, damages) are
+small aggregates of filtered lines, and the precedence (no lines -> missing
+product -> unscanned -> excluded discount -> model) is one ``CASE`` over
+co-partitioned rows, so nothing goes through the driver.  The single-rule
+functions (``rule_no_lines`` ...) remain for use on their own.
 """
 
 from __future__ import annotations
@@ -135,18 +136,22 @@ def rule_unscanned(features: DataFrame, lines: DataFrame, products: DataFrame) -
 # ---------------------------------------------------------------- R4
 def discount_lines(lines: DataFrame, products: DataFrame, tx: DataFrame, excluded: DataFrame,
                    threshold: float = DISCOUNT_LINE_THRESHOLD) -> DataFrame:
-    """Lines in a store-excluded category sold more than ``threshold`` below nominal price."""
+    """Lines in a store-excluded category sold more than ``threshold`` below nominal price.
+
+    Lines are narrowed to discounted lines of any excluded category before
+    the join with the receipts (for the store id), so only candidates travel.
+    """
     p = products.select(F.col("id").alias("product_id"), "category", "price")
-    stores = tx.select(F.col("id").alias("transaction_id"), F.col("store_id").cast("string").alias("store_id"))
-    j = (
+    cats = excluded.select("category").distinct()  # bounded by the config
+    cand = (
         lines.join(p, "product_id", "inner")
-        .join(stores, "transaction_id", "inner")
-        .join(F.broadcast(excluded), ["store_id", "category"], "inner")
+        .withColumn("price_difference", S.price_difference("price", "pieces_or_weight", "sales_price"))
+        .where(F.col("price_difference") > F.lit(threshold))
+        .join(F.broadcast(cats), "category", "left_semi")
     )
-    return j.select(
-        "transaction_id", "product_id", "category",
-        S.price_difference("price", "pieces_or_weight", "sales_price").alias("price_difference"),
-    ).where(F.col("price_difference") > F.lit(threshold))
+    stores = tx.select(F.col("id").alias("transaction_id"), F.col("store_id").cast("string").alias("store_id"))
+    j = cand.join(stores, "transaction_id", "inner").join(F.broadcast(excluded), ["store_id", "category"], "inner")
+    return j.select("transaction_id", "product_id", "category", "price_difference")
 
 
 def rule_excluded_discount(features: DataFrame, lines: DataFrame, products: DataFrame, tx: DataFrame,
@@ -200,29 +205,68 @@ def model_results(scored: DataFrame, cost_fp: float = 10.0, gain_tp: float = 5.0
 
 
 # ---------------------------------------------------------------- R5
+def unscanned_details(lines: DataFrame, products: DataFrame) -> DataFrame:
+    """Per basket with unscanned candidates: whether the 3-valued rule can fire, offending ids, damage.
+
+    Computed from the lines alone (voided free lines only), so the cascade
+    does not need a second pass over the feature matrix.
+    """
+    cand = lines.where(F.col("was_voided") & (F.col("sales_price") == 0)).select("transaction_id", "product_id", "camera_product_similar")
+    ul = cand.where(~F.coalesce(F.col("camera_product_similar"), F.lit(False)))
+    listed = ul.groupBy("transaction_id").agg(
+        F.sort_array(F.collect_list(F.coalesce(F.col("product_id").cast("string"), F.lit("None")))).alias("u_products"),
+        F.bool_or(F.col("camera_product_similar") == F.lit(False)).alias("u_fires"),
+    )
+    ids = ul.select("transaction_id", "product_id").where(F.col("product_id").isNotNull()).distinct()
+    damage = (
+        ids.join(products.select(F.col("id").alias("product_id"), "price"), "product_id", "inner")
+        .groupBy("transaction_id").agg(F.sum("price").alias("u_damage"))
+    )
+    return listed.join(damage, "transaction_id", "left")
+
+
+def discount_details(lines: DataFrame, products: DataFrame, tx: DataFrame, excluded: DataFrame,
+                     threshold: float = DISCOUNT_LINE_THRESHOLD) -> DataFrame:
+    """Per basket: Σ price difference and offending products of discounted lines in store-excluded categories."""
+    dl = discount_lines(lines, products, tx, excluded, threshold)
+    return dl.groupBy("transaction_id").agg(
+        F.sum("price_difference").alias("d_damage"),
+        F.sort_array(F.collect_list(S.offending_text("product_id", "category"))).alias("d_products"),
+    )
+
+
 def screen(tx: DataFrame, lines: DataFrame, products: DataFrame, features: DataFrame,
            excluded: DataFrame, scored: DataFrame | None = None,
            cost_fp: float = 10.0, gain_tp: float = 5.0) -> DataFrame:
     """Cascade no lines -> missing -> unscanned -> excluded discount -> model.
 
-    Each stage is a keyed frame of result structs; they are left-joined onto
-    the basket keys (all co-partitioned on ``transaction_id``) and the first
-    non-null result wins.
+    The feature matrix is read once: 'no lines' is a basket without a line
+    aggregate (``n_voided`` is null only then), the missing / unscanned /
+    price-difference flags and the score come from the same rows.  Only the
+    details of the unscanned and discount rules (product lists, damages) are
+    computed from the lines; all three inputs are partitioned by the basket
+    key, so the final joins need no further shuffle of the matrix.
     """
     scored = fixed_linear_score(features) if scored is None else scored
-    keys = tx.select(F.col("id").alias("transaction_id"))
-    stages = [
-        ("r1", rule_no_lines(tx, lines)),
-        ("r2", rule_missing(features)),
-        ("r3", rule_unscanned(features, lines, products)),
-        ("r4", rule_excluded_discount(features, lines, products, tx, excluded)),
-        ("r5", model_results(scored, cost_fp, gain_tp)),
-    ]
-    out = keys
-    for name, df in stages:
-        out = out.join(df.withColumnRenamed("result", name), "transaction_id", "left")
-    res = F.coalesce(*[F.col(n) for n, _ in stages])
-    return out.select("transaction_id", res.alias("r")).select("transaction_id", "r.*")
+    base = scored.select("transaction_id", "has_missing", "has_unscanned", "has_positive_price_difference", "n_voided", "p", "damage_pred")
+    j = (
+        base.join(unscanned_details(lines, products), "transaction_id", "left")
+        .join(discount_details(lines, products, tx, excluded), "transaction_id", "left")
+    )
+    fraud = decide("p", "damage_pred", cost_fp, gain_tp)
+    result = (
+        F.when(F.col("n_voided").isNull(),
+               _result("no_lines", F.lit(True), F.lit(None), F.lit(None), F.lit(REASON_NO_LINES), F.lit(None)))
+        .when(F.col("has_missing"),
+              _result("missing_product", F.lit(True), F.lit(1.0), F.lit(None), F.lit(REASON_CAMERA), F.array(F.lit(UNKNOWN_PRODUCT))))
+        .when(F.col("has_unscanned"),
+              _result("unscanned", F.lit(True), F.lit(1.0), F.coalesce(F.col("u_damage"), F.lit(0.0)), F.lit(REASON_CAMERA),
+                      F.coalesce(F.col("u_products"), F.array().cast("array<string>"))))
+        .when(F.col("has_positive_price_difference") & F.col("d_damage").isNotNull(),
+              _result("excluded_discount", F.lit(True), F.lit(1.0), F.col("d_damage"), F.lit(REASON_DISCOUNT), F.col("d_products")))
+        .otherwise(_result("model", fraud, F.col("p"), F.col("damage_pred"), F.when(fraud, F.lit(REASON_MODEL)), F.lit(None)))
+    )
+    return j.select("transaction_id", result.alias("r")).select("transaction_id", "r.*")
 
 
 # ---------------------------------------------------------------- R12

@@ -79,7 +79,7 @@ screen_out AS (
 
 def _screen(spark, sf_dir):
     b = tables(spark, sf_dir)
-    fm = features(spark, sf_dir, b=b)
+    fm = features(spark, sf_dir, b=b, impute=False)  # the cascade and the stand-in scorer use no imputed column
     excl = rules.excluded_categories(spark, FIXTURE_EXCLUDED)
     return rules.screen(b.transactions, b.lines, b.products, fm, excl)
 
