@@ -215,8 +215,16 @@ def feature_matrix(
     diff_threshold: float = 0.1,
     slice_unit: str = "hour",
     location_codes: dict[str, str] | None = None,
+    checkpoint: bool = True,
 ) -> DataFrame:
-    """J3 + post-join features: one row per receipt, ~55 columns."""
+    """J3 + post-join features: one row per receipt, ~55 columns.
+
+    With imputation, the raw matrix feeds both the per-label statistics and
+    the fill-in join.  The two branches are column-pruned differently, so
+    Spark cannot reuse the exchange and would run the line pipeline twice;
+    ``checkpoint`` writes the raw matrix once to the cluster's checkpoint
+    folder (one row per basket, a fraction of the lines) and both read it.
+    """
     cats = discover_categories(products) if categories is None else categories
     t = transaction_features(tx)
     s = store_features(stores, location_codes)
@@ -234,6 +242,10 @@ def feature_matrix(
         S.whole_days("sco_introduction", "transaction_start").alias("days_since_sco_introduction"),
     ).drop("transaction_start", "transaction_end", "first_timestamp", "last_timestamp", "sco_introduction")
     if impute:
+        if checkpoint:
+            from tillsight.session import cut_lineage
+
+            j = cut_lineage(j)
         j = impute_by_label(j, IMPUTE_MODE, IMPUTE_MEAN)
     return j
 
