@@ -222,8 +222,9 @@ def feature_matrix(
     With imputation, the raw matrix feeds both the per-label statistics and
     the fill-in join.  The two branches are column-pruned differently, so
     Spark cannot reuse the exchange and would run the line pipeline twice;
-    ``checkpoint`` writes the raw matrix once to the cluster's checkpoint
-    folder (one row per basket, a fraction of the lines) and both read it.
+    ``checkpoint`` writes the raw matrix once as a Parquet table below the
+    cluster's checkpoint folder (one row per basket, a fraction of the lines)
+    and both branches read it.
     """
     cats = discover_categories(products) if categories is None else categories
     t = transaction_features(tx)
@@ -243,9 +244,9 @@ def feature_matrix(
     ).drop("transaction_start", "transaction_end", "first_timestamp", "last_timestamp", "sco_introduction")
     if impute:
         if checkpoint:
-            from tillsight.session import cut_lineage
+            from tillsight.session import materialize
 
-            j = cut_lineage(j)
+            j = materialize(j, "feature-matrix")
         j = impute_by_label(j, IMPUTE_MODE, IMPUTE_MEAN)
     return j
 

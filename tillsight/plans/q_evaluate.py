@@ -37,7 +37,7 @@ def ev_sql(body: str, extra: str = "") -> str:
 
 
 def _ev(spark, sf_dir):
-    return V.eval_table(features(spark, sf_dir))
+    return V.eval_table(features(spark, sf_dir, impute=False))  # reads no imputed column
 
 
 _METRICS_SQL = """

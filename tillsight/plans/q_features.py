@@ -43,4 +43,4 @@ def q_feature_matrix_raw(spark, sf_dir):
 )
 def q_certain_frauds(spark, sf_dir):
     """R6 (minimum slice): baskets that are fraud for sure, with the unpaid amount."""
-    return finish(rules.certain_frauds(features(spark, sf_dir)))
+    return finish(rules.certain_frauds(features(spark, sf_dir, impute=False)))

@@ -20,7 +20,7 @@ _LAB = "label IN ('FRAUD', 'NORMAL')"
 
 
 def _labelled(spark, sf_dir):
-    return features(spark, sf_dir).where(F.col("label").isin("FRAUD", "NORMAL"))
+    return features(spark, sf_dir, impute=False).where(F.col("label").isin("FRAUD", "NORMAL"))
 
 
 @register("single_feature_rules", feature_sql(

@@ -163,7 +163,7 @@ def q_responses(spark, sf_dir):
 )
 def q_predict_batch(spark, sf_dir):
     """R7 (+R6, J7, U1, M5): rule table, anti join, scorer on the rest, union."""
-    return finish(rules.predict_batch(features(spark, sf_dir)))
+    return finish(rules.predict_batch(features(spark, sf_dir, impute=False)))
 
 
 @register(

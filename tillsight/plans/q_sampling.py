@@ -61,7 +61,7 @@ def q_shuffled(spark, sf_dir):
         GROUP BY dmg"""))
 def q_balanced(spark, sf_dir):
     """Equal numbers of baskets with and without damage."""
-    fm = features(spark, sf_dir).where(F.col("label") != "UNKNOWN").select("transaction_id", "damage")
+    fm = features(spark, sf_dir, impute=False).where(F.col("label") != "UNKNOWN").select("transaction_id", "damage")
     b = O.balanced(fm, F.col("damage") > 0, "transaction_id", SEED)
     return finish(b.groupBy((F.col("damage") > 0).alias("dmg")).agg(F.count(F.lit(1)).alias("n"), F.sum("damage").alias("damage")))
 
@@ -122,7 +122,7 @@ FOLD_CTES = EVAL_CTES + ", ev0 AS (SELECT transaction_id, label FROM fm WHERE la
     "SELECT repeat, fold, e.y, COUNT(*) AS n FROM folds JOIN ev e USING (transaction_id) GROUP BY repeat, fold, e.y", FOLD_CTES))
 def q_fold_sizes(spark, sf_dir):
     """Repeated stratified 5-fold assignment (2 repeats), class counts per fold."""
-    fm = features(spark, sf_dir)
+    fm = features(spark, sf_dir, impute=False)
     ev = V.eval_table(fm)
     f = O.folds(fm.where(F.col("label").isin("FRAUD", "NORMAL")), ["label"], "transaction_id", 5, 2, SEED)
     return ev.join(f, "transaction_id").groupBy("repeat", "fold", "y").agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +148,7 @@ def _per_fold_sql() -> str:
 
 
 def _per_fold(spark, sf_dir):
-    fm = features(spark, sf_dir)
+    fm = features(spark, sf_dir, impute=False)  # reads no imputed column
     ev = V.eval_table(fm)
     f = O.folds(fm.where(F.col("label").isin("FRAUD", "NORMAL")), ["label"], "transaction_id", 5, 2, SEED)
     models = {"cost_rule": F.col("_yhat0"), "threshold_0_5": (F.col("p") > 0.5).cast("int")}

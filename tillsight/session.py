@@ -56,3 +56,18 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Cut lineage by writing a Parquet table below the shared checkpoint folder and reading it back.
+
+    Unlike ``Dataset.checkpoint`` on an unpersisted plan (which evaluates the
+    plan once to count and again to write), this runs the plan exactly once;
+    readers get column pruning and predicate pushdown on the written table.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillsight-tables/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
