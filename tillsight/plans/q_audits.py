@@ -37,7 +37,7 @@ def q_row_counts(spark, sf_dir):
     "SELECT daytime, COUNT(*) AS count, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 4) AS proportion FROM fm GROUP BY daytime"))
 def q_value_counts(spark, sf_dir):
     """A2 + W5: value counts with share of total."""
-    return finish(A.val_count(features(spark, sf_dir), "daytime"))
+    return finish(A.val_count(features(spark, sf_dir, impute=False), "daytime"))
 
 
 @register("fraud_rate_by_hour", feature_sql(
@@ -47,7 +47,7 @@ def q_value_counts(spark, sf_dir):
     "FROM fm GROUP BY hour"))
 def q_fraud_rate(spark, sf_dir):
     """A3: conditional counts and class rate per group."""
-    return finish(A.fraud_rate(features(spark, sf_dir), "hour"))
+    return finish(A.fraud_rate(features(spark, sf_dir, impute=False), "hour"))
 
 
 def _describe_sql() -> str:
@@ -102,7 +102,7 @@ def q_hist_shared(spark, sf_dir):
     "SELECT payment_medium, label, COUNT(*) AS n FROM fm GROUP BY payment_medium, label"))
 def q_crosstab(spark, sf_dir):
     """Contingency table (long form)."""
-    return A.crosstab(features(spark, sf_dir), "payment_medium", "label")
+    return A.crosstab(features(spark, sf_dir, impute=False), "payment_medium", "label")
 
 
 @register("crosstab_wide_daytime_label", feature_sql(
@@ -110,7 +110,7 @@ def q_crosstab(spark, sf_dir):
     "COUNT(*) FILTER (WHERE label = 'UNKNOWN') AS UNKNOWN FROM fm GROUP BY daytime"))
 def q_crosstab_wide(spark, sf_dir):
     """Contingency table (wide, pivot with given values)."""
-    return A.crosstab_wide(features(spark, sf_dir), "daytime", "label", ["FRAUD", "NORMAL", "UNKNOWN"])
+    return A.crosstab_wide(features(spark, sf_dir, impute=False), "daytime", "label", ["FRAUD", "NORMAL", "UNKNOWN"])
 
 
 @register("crosstab_share_daytime_label", feature_sql(
@@ -118,7 +118,7 @@ def q_crosstab_wide(spark, sf_dir):
     "FROM fm GROUP BY daytime, label"))
 def q_crosstab_share(spark, sf_dir):
     """Row-normalised contingency table."""
-    return finish(A.crosstab_share(features(spark, sf_dir), "daytime", "label"))
+    return finish(A.crosstab_share(features(spark, sf_dir, impute=False), "daytime", "label"))
 
 
 _WD_ORDER = ", ".join(f"'{d}'" for d in S.WEEKDAYS)
@@ -130,7 +130,7 @@ _WD_ORDER = ", ".join(f"'{d}'" for d in S.WEEKDAYS)
     f"FROM fm WHERE label IN ('FRAUD', 'NORMAL') GROUP BY day_of_week"))
 def q_class_counts(spark, sf_dir):
     """Class counts over categories, 0 for missing, custom order."""
-    return A.class_counts(features(spark, sf_dir), "day_of_week", order=S.WEEKDAYS)
+    return A.class_counts(features(spark, sf_dir, impute=False), "day_of_week", order=S.WEEKDAYS)
 
 
 def _flag_rate_sql() -> str:
@@ -151,7 +151,7 @@ def _flag_rate_sql() -> str:
 @register("flag_rate_by_label", _flag_rate_sql())
 def q_flag_rate(spark, sf_dir):
     """A21 (+F11): wide -> long -> wide, fraud rate per flag, German category names."""
-    return finish(A.flag_rate_by_label(features(spark, sf_dir), FLAG_COLS))
+    return finish(A.flag_rate_by_label(features(spark, sf_dir, impute=False), FLAG_COLS))
 
 
 @register("camera_quality_by_month", basket_sql(
@@ -273,7 +273,7 @@ def q_discount_by_label(spark, sf_dir):
 def q_damage_lost(spark, sf_dir):
     """Damage and rows between raw and feature table."""
     b = tables(spark, sf_dir)
-    return finish(A.damage_lost(b.transactions, features(spark, sf_dir, b=b)))
+    return finish(A.damage_lost(b.transactions, features(spark, sf_dir, b=b, impute=False)))
 
 
 @register("segment_report", feature_sql(
@@ -291,7 +291,7 @@ def q_segment_report(spark, sf_dir):
     """A32 (+R8, J8): unscanned / wrong discount / rest segments with damage statistics."""
     b = tables(spark, sf_dir)
     wd = rules.wrong_discount_baskets(b.lines, b.products, ["PROMO", "SMALL"], 0.01)
-    return finish(A.segment_report(features(spark, sf_dir, b=b), wd))
+    return finish(A.segment_report(features(spark, sf_dir, b=b, impute=False), wd))
 
 
 @register("damage_p99", basket_sql(
@@ -362,7 +362,7 @@ def q_with_damage(spark, sf_dir):
     """Features ⟕ damage, 0 when absent."""
     b = tables(spark, sf_dir)
     dmg = b.transactions.where(F.col("damage") > 0).select(F.col("id").alias("transaction_id"), "damage")
-    j = A.with_damage(features(spark, sf_dir, b=b).drop("damage"), dmg)
+    j = A.with_damage(features(spark, sf_dir, b=b, impute=False).drop("damage"), dmg)
     return finish(j.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.sum("damage_joined").alias("damage_joined")))
 
 

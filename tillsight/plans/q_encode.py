@@ -94,7 +94,7 @@ _ENC_COLS = ["transaction_id", "total_amount", "n_lines", "payment_medium", "day
     + " FROM fm"))
 def q_encoder(spark, sf_dir):
     """E2 (+S11): encoder fitted on the labelled rows, applied to all rows; null category -> null dummies."""
-    fm = features(spark, sf_dir).select(*_ENC_COLS)
+    fm = features(spark, sf_dir, impute=False).select(*_ENC_COLS)
     enc = E.BasketEncoder().fit(fm, exclude=["transaction_id"])
     enc = E.BasketEncoder.from_json(enc.to_json())
     return finish(enc.transform(fm, keep=["transaction_id"]))
@@ -106,7 +106,7 @@ def q_encoder(spark, sf_dir):
     + " FROM fm WHERE label = 'FRAUD'"))
 def q_regression_set(spark, sf_dir):
     """FRAUD rows only, encoded, damage as target."""
-    fm = features(spark, sf_dir).select("transaction_id", "damage", "total_amount", "payment_medium", "label")
+    fm = features(spark, sf_dir, impute=False).select("transaction_id", "damage", "total_amount", "payment_medium", "label")
     return finish(E.regression_set(fm, ["payment_medium"]))
 
 
@@ -115,7 +115,7 @@ def q_regression_set(spark, sf_dir):
     "ROUND((n_lines - AVG(CAST(n_lines AS DOUBLE)) OVER ()) / STDDEV_POP(CAST(n_lines AS DOUBLE)) OVER (), 4) AS n_lines FROM fm"))
 def q_standardised(spark, sf_dir):
     """E5: z-scores with population std."""
-    fm = features(spark, sf_dir).select("transaction_id", "total_amount", "n_lines")
+    fm = features(spark, sf_dir, impute=False).select("transaction_id", "total_amount", "n_lines")
     return finish(E.standardise(fm, ["total_amount", "n_lines"]))
 
 
@@ -124,7 +124,7 @@ def q_standardised(spark, sf_dir):
     "((SELECT quantile_cont(total_amount, 0.75) FROM fm) - (SELECT quantile_cont(total_amount, 0.25) FROM fm)), 4) AS total_amount FROM fm"))
 def q_robust(spark, sf_dir):
     """(x - median) / IQR."""
-    fm = features(spark, sf_dir).select("transaction_id", "total_amount")
+    fm = features(spark, sf_dir, impute=False).select("transaction_id", "total_amount")
     return finish(E.robust_scale(fm, ["total_amount"]))
 
 
@@ -136,7 +136,7 @@ def q_robust(spark, sf_dir):
        GROUP BY 1"""))
 def q_quantile_bins(spark, sf_dir):
     """Quartile bins 0..3."""
-    fm = features(spark, sf_dir).select("total_amount")
+    fm = features(spark, sf_dir, impute=False).select("total_amount")
     return E.quantile_bins(fm, ["total_amount"], 4).groupBy("total_amount_bin").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,7 +145,7 @@ def q_quantile_bins(spark, sf_dir):
     "ROUND(SUM(CAST(n_lines AS DOUBLE) * hour), 4) AS n_lines_hour, COUNT(*) AS n FROM fm"))
 def q_poly(spark, sf_dir):
     """Degree-2 expansion (squares and interactions), column sums."""
-    fm = features(spark, sf_dir).select("n_lines", "hour")
+    fm = features(spark, sf_dir, impute=False).select("n_lines", "hour")
     x = E.expand(fm, ["n_lines", "hour"], 2)
     return finish(x.agg(F.sum("`n_lines^2`").alias("sq_n_lines"), F.sum("`hour^2`").alias("sq_hour"),
                         F.sum("`n_lines hour`").alias("n_lines_hour"), F.count(F.lit(1)).alias("n")))
@@ -173,7 +173,7 @@ def q_without_nulls(spark, sf_dir):
                     CAST(transaction_duration_seconds AS DOUBLE) / NULLIF(n_lines, 0) AS dpl FROM fm)"""))
 def q_filters(spark, sf_dir):
     """P4, P6, P7, P8, P11 (+F8): labelled/class, null, open-range, membership and finite filters."""
-    fm = features(spark, sf_dir)
+    fm = features(spark, sf_dir, impute=False)
     dpl = S.per_line("transaction_duration_seconds", "n_lines")
     return fm.agg(
         F.count_if(F.col("label") != "UNKNOWN").alias("n_labeled"),

@@ -131,7 +131,7 @@ def _fixed_numpy(x: np.ndarray) -> np.ndarray:
 @register("external_scoring", feature_sql("SELECT transaction_id, ROUND(p, 4) AS p FROM scored", SCORED_CTE.strip()))
 def q_external(spark, sf_dir):
     """Externally trained (numpy) model applied per Arrow batch with mapInPandas."""
-    fm = features(spark, sf_dir).select(
+    fm = features(spark, sf_dir, impute=False).select(
         "transaction_id", (F.col("payment_medium") == "CASH").cast("double").alias("cash"), F.col("n_lines").cast("double").alias("n"),
         F.coalesce(F.col("has_positive_price_difference"), F.lit(False)).cast("double").alias("flag"),
     )

@@ -62,7 +62,7 @@ def q_variants(spark, sf_dir):
     "GROUP BY 1", RULE_CTES))
 def q_predictions_sink(spark, sf_dir):
     """S9 (+R7): write batch predictions, re-read, count decisions."""
-    path = IO.write_parquet(rules.predict_batch(features(spark, sf_dir)), IO.scratch_path(spark, "predictions"))
+    path = IO.write_parquet(rules.predict_batch(features(spark, sf_dir, impute=False)), IO.scratch_path(spark, "predictions"))
     return IO.read_facts(spark, path).groupBy(F.col("is_fraud").cast("string").alias("is_fraud")).agg(F.count(F.lit(1)).alias("n"))
 
 

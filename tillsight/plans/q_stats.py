@@ -25,8 +25,8 @@ CORR_COLS = ["total_amount", "n_lines", "transaction_duration_seconds", "max_pro
 SCORE_COLS = ["n_lines", "n_voided", "n_age_restricted", "n_sold_by_weight", "hour"]
 
 
-def _labelled(spark, sf_dir):
-    return features(spark, sf_dir).where(F.col("label").isin("FRAUD", "NORMAL"))
+def _labelled(spark, sf_dir, impute: bool = False):
+    return features(spark, sf_dir, impute=impute).where(F.col("label").isin("FRAUD", "NORMAL"))
 
 
 def _chi2_sql(ct: str, correction: bool = True) -> str:
@@ -56,7 +56,7 @@ def _long_ct(cols, b_expr: str, where: str) -> str:
     f"ct AS ({_long_ct(['payment_medium'], 'label', 'TRUE')})," + _chi2_sql("ct")))
 def q_chi2(spark, sf_dir):
     """χ² test payment medium × label (2×3, no correction)."""
-    return finish(T.chi2_test(features(spark, sf_dir), "payment_medium", "label").drop("p_value"))
+    return finish(T.chi2_test(features(spark, sf_dir, impute=False), "payment_medium", "label").drop("p_value"))
 
 
 @register("chi2_payment_fraud_2x2", feature_sql(
@@ -80,7 +80,7 @@ def q_chi2_p(spark, sf_dir):
     "FROM fm GROUP BY payment_medium, label)"))
 def q_chi2_expected(spark, sf_dir):
     """Expected counts table."""
-    return finish(T.chi2_expected(features(spark, sf_dir), "payment_medium", "label"))
+    return finish(T.chi2_expected(features(spark, sf_dir, impute=False), "payment_medium", "label"))
 
 
 @register("chi2_screen", feature_sql(
@@ -156,7 +156,7 @@ _DRIFT_NUM = ["total_amount", "n_lines"]
     + ")," + _chi2_sql("ct")))
 def q_drift(spark, sf_dir):
     """T5: labelled vs unlabelled baskets — Welch for numeric, χ² for categorical columns."""
-    fm = features(spark, sf_dir)
+    fm = features(spark, sf_dir, impute=False)
     a, b = fm.where(F.col("label") != "UNKNOWN"), fm.where(F.col("label") == "UNKNOWN")
     return finish(T.drift_report(a, b, _DRIFT_NUM, _DRIFT_CAT).drop("p_value"))
 
@@ -183,7 +183,7 @@ def _cv_sql() -> str:
 @register("cramers_v", _cv_sql())
 def q_cramers_v(spark, sf_dir):
     """Bias-corrected Cramér's V for all pairs of categorical columns."""
-    return finish(T.cramers_v(features(spark, sf_dir), _CV_COLS))
+    return finish(T.cramers_v(features(spark, sf_dir, impute=False), _CV_COLS))
 
 
 def _pairs(cols):
@@ -200,7 +200,7 @@ _COMPLETE = " AND ".join(f"{c} IS NOT NULL" for c in CORR_COLS)
                        for x, y in _pairs(CORR_COLS))))
 def q_pearson(spark, sf_dir):
     """Pearson matrix on complete rows."""
-    return finish(T.pearson_matrix(features(spark, sf_dir), CORR_COLS))
+    return finish(T.pearson_matrix(features(spark, sf_dir, impute=False), CORR_COLS))
 
 
 def _rank_cte(cols) -> str:
@@ -217,7 +217,7 @@ def _rank_cte(cols) -> str:
     _rank_cte(CORR_COLS)))
 def q_spearman(spark, sf_dir):
     """Spearman matrix with |ρ| and 1 - |ρ| distance (exact average ranks)."""
-    return finish(T.spearman_matrix(features(spark, sf_dir), CORR_COLS, "transaction_id"))
+    return finish(T.spearman_matrix(features(spark, sf_dir, impute=False), CORR_COLS, "transaction_id"))
 
 
 _GAP_FEATURES = ["n_lines", "total_amount", "transaction_duration_seconds", "hour"]
@@ -233,7 +233,7 @@ _GAP_ALL = [*_GAP_FEATURES, "max_product_price"]
     + ")", _rank_cte(_GAP_ALL)))
 def q_monotone_gap(spark, sf_dir):
     """Pearson vs Spearman against a target, sorted by gap."""
-    return finish(T.monotone_gap(features(spark, sf_dir), _GAP_FEATURES, "max_product_price", "transaction_id"))
+    return finish(T.monotone_gap(features(spark, sf_dir, impute=False), _GAP_FEATURES, "max_product_price", "transaction_id"))
 
 
 @register("point_biserial", feature_sql(
@@ -241,7 +241,7 @@ def q_monotone_gap(spark, sf_dir):
                        for c in NUM_COLS)))
 def q_point_biserial(spark, sf_dir):
     """Point-biserial correlation of is_fraud with numeric features."""
-    fm = _labelled(spark, sf_dir).withColumn("is_fraud", (F.col("label") == "FRAUD").cast("int"))
+    fm = _labelled(spark, sf_dir, impute=True).withColumn("is_fraud", (F.col("label") == "FRAUD").cast("int"))
     return finish(T.point_biserial(fm, "is_fraud", NUM_COLS))
 
 
@@ -284,7 +284,7 @@ def q_ols(spark, sf_dir):
     "res AS (SELECT damage - (0.0001 * total_amount) AS e, CAST(n_lines AS DOUBLE) AS x FROM fm WHERE damage IS NOT NULL)"))
 def q_residuals(spark, sf_dir):
     """Breusch-Pagan LM and residual moments."""
-    fm = features(spark, sf_dir).where(F.col("damage").isNotNull())
+    fm = features(spark, sf_dir, impute=False).where(F.col("damage").isNotNull())
     r = fm.select((F.col("damage") - F.lit(0.0001) * F.col("total_amount")).alias("e"), "n_lines")
     return finish(T.residual_checks(r, "e", "n_lines").select("bp_lm", "skewness", "excess_kurtosis"))
 
@@ -292,6 +292,6 @@ def q_residuals(spark, sf_dir):
 @register("residual_normality")
 def q_residual_normality(spark, sf_dir):
     """D'Agostino K² and Breusch-Pagan p-values (rows-only)."""
-    fm = features(spark, sf_dir).where(F.col("damage").isNotNull())
+    fm = features(spark, sf_dir, impute=False).where(F.col("damage").isNotNull())
     r = fm.select((F.col("damage") - F.lit(0.0001) * F.col("total_amount")).alias("e"), "n_lines")
     return finish(T.residual_checks(r, "e", "n_lines"))
