@@ -114,29 +114,42 @@ def score_counts(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
     )
 
 
-def cumulative_by_score(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """Cumulative TP/FP for 'flag when score >= s', per distinct score, descending."""
+def cumulative_by_score(df: DataFrame, score: str = "p", y: str = "y", buckets: int = 1024) -> DataFrame:
+    """Cumulative TP/FP for 'flag when score >= s', one row per distinct score.
+
+    No single ordered window over all scores: distinct scores are spread over
+    value-range buckets, bucket totals give running offsets (a window over
+    ≤ ``buckets`` rows), and the running sum inside each bucket is a window
+    partitioned by bucket.  Exact for any number of distinct scores.
+    """
     sc = score_counts(df, score, y)
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    tot = Window.partitionBy()
-    return sc.select(
-        "score",
-        F.sum("pos").over(w).alias("tp"),
-        F.sum("neg").over(w).alias("fp"),
-        F.sum("pos").over(tot).alias("n_pos"),
-        F.sum("neg").over(tot).alias("n_neg"),
+    lo = sc.agg(F.min("score")).scalar()
+    hi = sc.agg(F.max("score")).scalar()
+    width = hi - lo
+    # descending order: bucket 0 holds the highest scores
+    b = F.when(width > 0, F.least(F.floor((hi - F.col("score")) / width * F.lit(buckets)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    sc = sc.withColumn("_b", b)
+    tot = sc.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select(
+        "_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
+    )
+    w = Window.partitionBy("_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    j = sc.join(F.broadcast(off), "_b")  # ≤ buckets rows
+    return j.select(
+        "score", "pos", "neg",
+        (F.col("_op") + F.sum("pos").over(w)).alias("tp"),
+        (F.col("_on") + F.sum("neg").over(w)).alias("fp"),
+        df.agg(F.count_if(F.col(y) == 1)).scalar().alias("n_pos"),
+        df.agg(F.count_if(F.col(y) == 0)).scalar().alias("n_neg"),
     )
 
 
 def average_precision(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """V3: Σ (R_k - R_{k-1}) · P_k over distinct scores (step-wise area)."""
+    """V3: Σ (R_k - R_{k-1}) · P_k over distinct scores = Σ pos_k · P_k / n_pos (no lag needed)."""
     c = cumulative_by_score(df, score, y)
-    w = Window.orderBy(F.desc("score"))
-    rec = F.col("tp") / F.col("n_pos")
     prec = F.col("tp") / (F.col("tp") + F.col("fp"))
-    c = c.withColumn("recall", rec).withColumn("precision", prec)
-    c = c.withColumn("d_recall", F.col("recall") - F.coalesce(F.lag("recall").over(w), F.lit(0.0)))
-    return c.agg(F.sum(F.col("d_recall") * F.col("precision")).alias("average_precision"))
+    return c.agg((F.sum(F.col("pos") * prec) / F.first("n_pos")).alias("average_precision"))
 
 
 def roc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
@@ -152,11 +165,14 @@ def roc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
 
 
 def auc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
-    """V4: trapezoid area under the ROC points."""
-    r = roc(df, score, y)
-    w = Window.orderBy(F.desc("threshold"))
-    area = (F.col("fpr") - F.lag("fpr").over(w)) * (F.col("tpr") + F.lag("tpr").over(w)) / F.lit(2.0)
-    return r.select(area.alias("a")).agg(F.sum("a").alias("auc"))
+    """V4: trapezoid area under the ROC points.
+
+    Each distinct score adds neg_k/n_neg × (tpr_k + tpr_{k-1})/2 =
+    neg_k · (2·TP_k − pos_k) / (2·n_pos·n_neg): no ordered window needed.
+    """
+    c = cumulative_by_score(df, score, y)
+    term = F.col("neg") * (F.lit(2.0) * F.col("tp") - F.col("pos"))
+    return c.agg((F.sum(term) / (F.lit(2.0) * F.first("n_pos") * F.first("n_neg"))).alias("auc"))
 
 
 # ---------------------------------------------------------------- V7 / V8 / V15
