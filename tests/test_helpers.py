@@ -57,3 +57,22 @@ def test_average_ranks_ties(spark):
         first = order.index(v) + 1
         ties = order.count(v)
         assert math.isclose(got[i], first + (ties - 1) / 2)
+
+
+def test_exact_quantiles_match_numpy(spark):
+    from tillsight.functions.quantiles import exact_quantiles
+
+    rnd = random.Random(3)
+    rows = [("a", float(rnd.randint(0, 50))) for _ in range(500)] + [("b", rnd.random()) for _ in range(333)] + [("c", 7.0)]
+    rows += [("a", None)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r["g"]: r for r in exact_quantiles(df, "x", probs, by=["g"], buckets=16).collect()}
+    for g in ("a", "b", "c"):
+        vals = np.array([x for gg, x in rows if gg == g and x is not None])
+        for p in probs:
+            name = f"q{int(round(p * 100))}"
+            assert math.isclose(got[g][name], float(np.quantile(vals, p)), rel_tol=1e-12, abs_tol=1e-12)
+    whole = exact_quantiles(df, "x", [0.5], names=["median"]).first()["median"]
+    allv = np.array([x for _, x in rows if x is not None])
+    assert math.isclose(whole, float(np.quantile(allv, 0.5)))

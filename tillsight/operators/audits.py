@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 
 from tillsight.functions import scalar as S
 from tillsight.functions.nulls import sum0
+from tillsight.functions.quantiles import exact_quantiles
 
 LABELS = ["FRAUD", "NORMAL", "UNKNOWN"]
 
@@ -62,29 +63,23 @@ def fraud_rate(df: DataFrame, col: str, label: str = "label") -> DataFrame:
 
 # ---------------------------------------------------------------- A13
 def describe(df: DataFrame, cols: Sequence[str], exact: bool = True) -> DataFrame:
-    """Count, nulls, mean, sample std, min, quartiles, max per column (long form)."""
-    def q(c: str, p: float) -> Column:
-        x = F.col(c).cast("double")
-        return F.percentile(x, F.lit(p)) if exact else F.percentile_approx(x, F.lit(p), F.lit(10000))
-
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs.append(
-            F.struct(
-                F.lit(c).alias("column"),
-                F.count(x).alias("count"),
-                F.count_if(x.isNull()).alias("null_count"),
-                F.avg(x).alias("mean"),
-                F.stddev_samp(x).alias("std"),
-                F.min(x).alias("min"),
-                q(c, 0.25).alias("p25"),
-                q(c, 0.5).alias("p50"),
-                q(c, 0.75).alias("p75"),
-                F.max(x).alias("max"),
-            )
-        )
-    return df.agg(F.array(*aggs).alias("_d")).select(F.explode("_d").alias("d")).select("d.*")
+    """Count, nulls, mean, sample std, min, quartiles, max per column (long form).
+
+    One long (column, value) pass feeds both the moments and the quartiles;
+    exact quartiles use :func:`exact_quantiles` (no single-task buffer).
+    """
+    arr = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in cols])
+    long = df.select(F.explode(arr).alias("_kv")).select("_kv.*")
+    mom = long.groupBy("column").agg(
+        F.count("x").alias("count"), F.count_if(F.col("x").isNull()).alias("null_count"), F.avg("x").alias("mean"),
+        F.stddev_samp("x").alias("std"), F.min("x").alias("min"), F.max("x").alias("max"),
+    )
+    if exact:
+        q = exact_quantiles(long, "x", [0.25, 0.5, 0.75], by=["column"], names=["p25", "p50", "p75"])
+    else:
+        q = long.groupBy("column").agg(*[F.percentile_approx("x", F.lit(p), F.lit(10000)).alias(n) for p, n in
+                                          ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))])
+    return mom.join(q, "column", "left").select("column", "count", "null_count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 # ---------------------------------------------------------------- A14
@@ -328,22 +323,29 @@ def segment_report(features: DataFrame, wrong_discount_ids: DataFrame, exact: bo
         .when(F.col("_wd"), F.lit("wrong_discount"))
         .otherwise(F.lit("rest"))
     )
-    med = F.percentile(F.col("damage"), F.lit(0.5)) if exact else F.percentile_approx("damage", F.lit(0.5), F.lit(10000))
-    return j.groupBy(seg.alias("segment")).agg(
+    j = j.withColumn("segment", seg)
+    agg = j.groupBy("segment").agg(
         F.count(F.lit(1)).alias("n_baskets"),
         F.count_if(F.col("label") == "FRAUD").alias("n_fraud"),
         (F.count_if(F.col("label") == "FRAUD") / F.count(F.lit(1))).alias("fraud_share"),
         sum0("damage").alias("damage_sum"),
         F.avg("damage").alias("damage_mean"),
-        med.alias("damage_median"),
     )
+    if exact:
+        med = exact_quantiles(j, "damage", [0.5], by=["segment"], names=["damage_median"])
+    else:
+        med = j.groupBy("segment").agg(F.percentile_approx("damage", F.lit(0.5), F.lit(10000)).alias("damage_median"))
+    return agg.join(med, "segment", "left")
 
 
 def damage_percentile(tx: DataFrame, p: float = 0.99, exact: bool = True) -> DataFrame:
     """Percentile of the positive damages."""
-    d = F.col("damage")
-    agg = F.percentile(d, F.lit(p)) if exact else F.percentile_approx(d, F.lit(p), F.lit(10000))
-    return tx.where(d > 0).agg(agg.alias("damage_p"), F.count(F.lit(1)).alias("n_positive"))
+    pos = tx.where(F.col("damage") > 0)
+    if exact:
+        q = exact_quantiles(pos, "damage", [p], names=["damage_p"])
+    else:
+        q = pos.agg(F.percentile_approx("damage", F.lit(p), F.lit(10000)).alias("damage_p"))
+    return q.select("damage_p", pos.agg(F.count(F.lit(1))).scalar().alias("n_positive"))
 
 
 # ---------------------------------------------------------------- J5 / J6 / J12 / J13 / J11
