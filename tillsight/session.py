@@ -50,14 +50,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Reliable checkpoint into the cluster's shared checkpoint folder.
+def cut_lineage(df: DataFrame, name: str = "lineage-cut") -> DataFrame:
+    """Cut lineage into the cluster's shared checkpoint folder.
 
-    Used by iterative drivers (fold loops, backward elimination) so that a
-    lost executor recomputes from the checkpoint, not from the scan.
+    Used by iterative drivers (fold loops) so that a lost executor recomputes
+    from the written table, not from the scan.  Implemented as a written
+    Parquet table (:func:`materialize`): ``Dataset.checkpoint`` on an
+    unpersisted plan would evaluate the plan twice.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return materialize(df, name)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
