@@ -164,9 +164,11 @@ def flag_rate_by_label(df: DataFrame, flags: Sequence[str], labels: Sequence[str
 def camera_quality_by_month(lines: DataFrame) -> DataFrame:
     """Monthly mean of the camera 'similar' flag and of its certainty."""
     ts = F.col("timestamp")
+    # certainty has two decimals: summing integer hundredths keeps the mean independent of summation order
+    cents = F.round(F.col("camera_certainty") * 100).cast("bigint")
     return lines.groupBy(F.year(ts).alias("year"), F.month(ts).alias("month")).agg(
         F.avg(F.col("camera_product_similar").cast("double")).alias("mean_similar"),
-        F.avg("camera_certainty").alias("mean_certainty"),
+        (F.sum(cents) / F.count(cents) / F.lit(100.0)).alias("mean_certainty"),
         F.count(F.lit(1)).alias("n_lines"),
     ).withColumn("month_start", S.month_start("year", "month"))
 

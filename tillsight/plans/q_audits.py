@@ -156,12 +156,14 @@ def q_flag_rate(spark, sf_dir):
 
 @register("camera_quality_by_month", basket_sql(
     "SELECT CAST(year(\"timestamp\") AS INTEGER) AS year, CAST(month(\"timestamp\") AS INTEGER) AS month, "
-    "ROUND(AVG(CAST(camera_product_similar AS DOUBLE)), 4) AS mean_similar, ROUND(AVG(camera_certainty), 4) AS mean_certainty, "
+    "ROUND(AVG(CAST(camera_product_similar AS DOUBLE)), 4) AS mean_similar, "
+    "ROUND(SUM(CAST(round(camera_certainty * 100) AS BIGINT)) / COUNT(camera_certainty) / 100.0, 6) AS mean_certainty, "
     "COUNT(*) AS n_lines, make_date(CAST(year(\"timestamp\") AS INTEGER), CAST(month(\"timestamp\") AS INTEGER), 1) AS month_start "
     "FROM transaction_lines GROUP BY 1, 2"))
 def q_camera_quality(spark, sf_dir):
-    """A23 (+F4, F9): monthly camera metrics."""
-    return finish(A.camera_quality_by_month(tables(spark, sf_dir).lines))
+    """A23 (+F4, F9): monthly camera metrics (mean certainty kept to 6 decimals: exact-cent sums)."""
+    out = A.camera_quality_by_month(tables(spark, sf_dir).lines)
+    return finish(out.withColumn("mean_certainty", F.round("mean_certainty", 6)), keep=("mean_certainty",))
 
 
 @register("missing_products_by_label", basket_sql(
