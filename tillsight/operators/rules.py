@@ -288,17 +288,20 @@ def to_response(screened: DataFrame, version: str = "0.1.0") -> DataFrame:
 
 # ---------------------------------------------------------------- R7
 def predict_batch(features: DataFrame, cost_fp: float = 10.0, gain_tp: float = 5.0, scored: DataFrame | None = None) -> DataFrame:
-    """Rule table, anti join, model on the rest, union (one row per basket)."""
-    certain = certain_frauds(features)
-    rest = remaining(features, certain)
-    s = fixed_linear_score(rest) if scored is None else scored.join(rest.select("transaction_id"), "transaction_id", "left_semi")
-    model = s.select(
+    """Rule table for certain frauds, the scorer for every other basket — one row per basket.
+
+    Same rows as 'rule table ∪ scorer(anti-join rest)', written as one
+    projection: every basket falls in exactly one branch, so the feature
+    matrix is read once instead of once per branch.
+    """
+    s = fixed_linear_score(features) if scored is None else scored
+    certain = F.coalesce(F.col("has_missing") | F.col("has_unscanned"), F.lit(False))
+    return s.select(
         "transaction_id",
-        decide("p", "damage_pred", cost_fp, gain_tp).alias("is_fraud"),
-        F.col("p").cast("float").alias("fraud_proba"),
-        F.col("damage_pred").cast("float").alias("estimated_damage"),
+        F.when(certain, F.lit(True)).otherwise(decide("p", "damage_pred", cost_fp, gain_tp)).alias("is_fraud"),
+        F.when(certain, F.lit(1.0)).otherwise(F.col("p")).cast("float").alias("fraud_proba"),
+        F.when(certain, F.col("price_unscanned_articles")).otherwise(F.col("damage_pred")).cast("float").alias("estimated_damage"),
     )
-    return certain.unionByName(model)
 
 
 # ---------------------------------------------------------------- R8

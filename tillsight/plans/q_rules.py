@@ -162,7 +162,7 @@ def q_responses(spark, sf_dir):
     ),
 )
 def q_predict_batch(spark, sf_dir):
-    """R7 (+R6, J7, U1, M5): rule table, anti join, scorer on the rest, union."""
+    """R7 (+R6, M5): rule table for certain frauds, scorer for the rest (one pass)."""
     return finish(rules.predict_batch(features(spark, sf_dir, impute=False)))
 
 
@@ -184,3 +184,17 @@ def q_wrong_discount(spark, sf_dir):
     return finish(
         tx.groupBy("label").agg(F.count(F.lit(1)).alias("n_baskets"), F.coalesce(F.sum("damage"), F.lit(0.0)).alias("damage"))
     )
+
+
+@register(
+    "remaining_after_rules",
+    feature_sql(
+        "SELECT label, COUNT(*) AS n FROM fm0 WHERE transaction_id NOT IN "
+        "(SELECT transaction_id FROM fm0 WHERE has_missing OR has_unscanned) GROUP BY label"
+    ),
+)
+def q_remaining(spark, sf_dir):
+    """J7 (+R6): baskets left for the model after removing rule hits (left anti join), by label."""
+    fm = features(spark, sf_dir, impute=False)
+    rest = rules.remaining(fm, rules.certain_frauds(fm))
+    return rest.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
