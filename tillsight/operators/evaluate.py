@@ -118,21 +118,22 @@ def cumulative_by_score(df: DataFrame, score: str = "p", y: str = "y", buckets:
     """Cumulative TP/FP for 'flag when score >= s', one row per distinct score.
 
     No single ordered window over all scores: distinct scores are spread over
-    value-range buckets, bucket totals give running offsets (a window over
-    ≤ ``buckets`` rows), and the running sum inside each bucket is a window
-    partitioned by bucket.  Exact for any number of distinct scores.
+    buckets of the probability range (bucket 0 = highest scores; values
+    outside [0, 1] fall into the edge buckets — any monotone bucketing keeps
+    the running sums exact), bucket totals give running offsets and class
+    totals (windows over ≤ ``buckets`` rows, broadcast back), and the running
+    sum inside each bucket is a window partitioned by bucket.
     """
     sc = score_counts(df, score, y)
-    lo = sc.agg(F.min("score")).scalar()
-    hi = sc.agg(F.max("score")).scalar()
-    width = hi - lo
-    # descending order: bucket 0 holds the highest scores
-    b = F.when(width > 0, F.least(F.floor((hi - F.col("score")) / width * F.lit(buckets)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
+    b = F.least(F.greatest(F.floor((F.lit(1.0) - F.col("score")) * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1)).cast("int")
     sc = sc.withColumn("_b", b)
     tot = sc.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
     before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    every = Window.partitionBy()
     off = tot.select(
-        "_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
+        "_b",
+        F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on"),
+        F.sum("_bp").over(every).alias("n_pos"), F.sum("_bn").over(every).alias("n_neg"),
     )
     w = Window.partitionBy("_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     j = sc.join(F.broadcast(off), "_b")  # ≤ buckets rows
@@ -140,8 +141,7 @@ def cumulative_by_score(df: DataFrame, score: str = "p", y: str = "y", buckets:
         "score", "pos", "neg",
         (F.col("_op") + F.sum("pos").over(w)).alias("tp"),
         (F.col("_on") + F.sum("neg").over(w)).alias("fp"),
-        df.agg(F.count_if(F.col(y) == 1)).scalar().alias("n_pos"),
-        df.agg(F.count_if(F.col(y) == 0)).scalar().alias("n_neg"),
+        "n_pos", "n_neg",
     )
 
 
