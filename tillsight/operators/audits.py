@@ -104,8 +104,8 @@ def shared_edge_hist(df: DataFrame, col: str, by: str, bins: int = 19) -> DataFr
     Skips the column when its range is zero; classes without values yield no rows.
     """
     x = F.col(col).cast("double")
-    lo = df.agg(F.min(x)).scalar()  # scalar subqueries: two numbers, no join
-    hi = df.agg(F.max(x)).scalar()
+    rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()  # one scalar subquery
+    lo, hi = rng["lo"], rng["hi"]
     idx = F.least(F.floor((x - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
     counted = df.where(x.isNotNull() & (hi > lo)).groupBy(F.col(by), idx.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
     return counted.select(by, "bin", (lo + (hi - lo) * F.col("bin") / F.lit(bins)).alias("edge_left"), "count")
@@ -257,8 +257,8 @@ def coverage(tx: DataFrame, rule_lines: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n"), F.max("label").alias("label"), F.max("damage").alias("damage"),
         F.bool_and(~F.coalesce(F.col("camera_product_similar"), F.lit(False))).alias("all_not_similar"),
     )
-    n_frauds = tx.agg(F.count_if(F.col("label") == "FRAUD")).scalar()
-    damage_total = tx.agg(sum0("damage")).scalar()
+    tot = tx.agg(F.struct(F.count_if(F.col("label") == "FRAUD").alias("n"), sum0("damage").alias("d"))).scalar()
+    n_frauds, damage_total = tot["n"], tot["d"]
     rule = per_basket.agg(
         sum0("n").cast("bigint").alias("n_lines"),
         F.count(F.lit(1)).alias("n_baskets"),
@@ -310,8 +310,8 @@ def discount_by_label(tx: DataFrame, lines: DataFrame, products: DataFrame, rati
 def damage_lost(tx: DataFrame, features: DataFrame) -> DataFrame:
     """Damage and row count in the raw table vs the feature table."""
     a = tx.agg(sum0("damage").alias("damage_raw"), F.count(F.lit(1)).alias("rows_raw"))
-    a = a.select("*", features.agg(sum0("damage")).scalar().alias("damage_features"),
-                 features.agg(F.count(F.lit(1))).scalar().alias("rows_features"))
+    fs = features.agg(F.struct(sum0("damage").alias("d"), F.count(F.lit(1)).alias("n"))).scalar()
+    a = a.select("*", fs["d"].alias("damage_features"), fs["n"].alias("rows_features"))
     return a.withColumn("damage_lost", F.col("damage_raw") - F.col("damage_features"))
 
 

@@ -275,11 +275,12 @@ def _grid2_cells(buckets: DataFrame, n1: int, n2: int, keys: Sequence[str] = ())
     The cell lattice is generated (``explode(sequence)``), (n1 + 1)·(n2 + 1)
     rows per key, and joined to the bucket totals on equality only.
     """
+    out_keys = list(keys)
+    keys = out_keys or ["_k"]
+    if not out_keys:  # a constant key: all steps stay equi-joins over tiny frames
+        buckets = buckets.withColumn("_k", F.lit(0))
     lattice = [F.explode(F.sequence(F.lit(0), F.lit(n1))).alias("k1")]
-    if keys:
-        base = buckets.select(*keys).distinct().select(*keys, *lattice)
-    else:
-        base = buckets.sparkSession.range(1).select(*lattice)
+    base = buckets.select(*keys).distinct().select(*keys, *lattice)
     cells = base.select(*keys, "k1", F.explode(F.sequence(F.lit(0), F.lit(n2))).alias("k2"))
     full = cells.join(buckets, [*keys, "k1", "k2"], "left").fillna(0, subset=["pos", "neg", "dmg"])
     w1 = Window.partitionBy(*keys, "k2").orderBy(F.desc("k1")).rowsBetween(Window.unboundedPreceding, 0)
@@ -290,10 +291,9 @@ def _grid2_cells(buckets: DataFrame, n1: int, n2: int, keys: Sequence[str] = ())
     ctl = full.select(*keys, (F.col("k1") - 1).alias("i"), (F.col("k2") - 1).alias("j"), "s_pos", "s_neg", "s_dmg").where(
         (F.col("i") >= 0) & (F.col("j") >= 0)
     )
-    if keys:
-        totals = buckets.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("dmg").alias("d_all"))
-        return ctl.join(totals, list(keys), "inner")
-    return ctl.select("*", buckets.agg(F.sum("pos")).scalar().alias("n_pos"), buckets.agg(F.sum("dmg")).scalar().alias("d_all"))
+    totals = buckets.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("dmg").alias("d_all"))
+    out = ctl.join(totals, keys, "inner")
+    return out if out_keys else out.drop("_k")
 
 
 def margin_grid(df: DataFrame, p_grid: Sequence[float] = P_GRID, m_grid: Sequence[float] = MARGIN_GRID,
@@ -374,10 +374,10 @@ def brier(df: DataFrame) -> DataFrame:
 def balanced_weights(df: DataFrame, y: str = "y") -> DataFrame:
     """M4: weight n / (2 · n_class) per row (one aggregate of two rows, broadcast back)."""
     cnt = df.groupBy(y).agg(F.count(F.lit(1)).alias("_n_class"))
-    tot = df.agg(F.count(F.lit(1))).scalar()
+    cnt = cnt.withColumn("_n", F.sum("_n_class").over(Window.partitionBy()))  # two rows
     return df.join(F.broadcast(cnt), y, "left").withColumn(
-        "weight", tot.cast("double") / (F.lit(2.0) * F.col("_n_class"))
-    ).drop("_n_class")
+        "weight", F.col("_n").cast("double") / (F.lit(2.0) * F.col("_n_class"))
+    ).drop("_n_class", "_n")
 
 
 def damage_weights(df: DataFrame, factor: float = 5.0) -> Column:
