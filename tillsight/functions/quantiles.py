@@ -28,15 +28,16 @@ from pyspark.sql import functions as F
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, buckets: int = 1024) -> DataFrame:
     """One row per group: ``by`` columns + one double column per probability."""
-    out_by = list(by)
+    by = list(by)
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     x = F.col(col).cast("double")
-    if not out_by:  # one global group: a constant key keeps everything a plain (broadcast) equi-join
-        df = df.withColumn("_g", F.lit(0))
-    by = out_by or ["_g"]
     counts = df.where(x.isNotNull()).groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    groups = counts.groupBy(*by).agg(F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
-    c = counts.join(F.broadcast(groups), by)  # one row per group
+    stats = [F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    if by:
+        c = counts.join(F.broadcast(counts.groupBy(*by).agg(*stats)), by)  # one row per group
+    else:  # one global group: a single struct scalar subquery
+        g0 = counts.agg(F.struct(*stats)).scalar()
+        c = counts.select("*", g0["_n"].alias("_n"), g0["_lo"].alias("_lo"), g0["_hi"].alias("_hi"))
     width = F.col("_hi") - F.col("_lo")
     c = c.withColumn(
         "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)), F.lit(buckets - 1)))
@@ -60,9 +61,7 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
             F.max(F.when(hit(F.ceil(h)), F.col("_v"))).alias(f"_hi_{name}"),
             F.first(h - F.floor(h)).alias(f"_fr_{name}"),
         ]
-    g = c.groupBy(*by).agg(*aggs)
-    if not out_by:  # a global quantile of an empty input is one row of nulls
-        g = df.sparkSession.range(1).select(F.lit(0).alias("_g")).join(g, "_g", "left")
-    return g.select(*out_by, *[
+    g = c.groupBy(*by).agg(*aggs) if by else c.agg(*aggs)  # a global aggregate: one row even when empty
+    return g.select(*by, *[
         (F.col(f"_lo_{n}") + F.col(f"_fr_{n}") * (F.col(f"_hi_{n}") - F.col(f"_lo_{n}"))).alias(n) for n in names
     ])

@@ -287,12 +287,15 @@ def _grid2_cells(buckets: DataFrame, n1: int, n2: int, keys: Sequence[str] = ())
     full = full.select(*keys, "k1", "k2", *[F.sum(c).over(w1).alias(c) for c in ("pos", "neg", "dmg")])
     w2 = Window.partitionBy(*keys, "k1").orderBy(F.desc("k2")).rowsBetween(Window.unboundedPreceding, 0)
     full = full.select(*keys, "k1", "k2", *[F.sum(c).over(w2).alias(f"s_{c}") for c in ("pos", "neg", "dmg")])
+    # totals = the suffix sums at cell (0, 0); a window over the lattice (≤ (n1+1)(n2+1) rows per key)
+    origin = (F.col("k1") == 0) & (F.col("k2") == 0)
+    lattice_key = Window.partitionBy(*keys)
+    full = full.select("*", F.max(F.when(origin, F.col("s_pos"))).over(lattice_key).alias("n_pos"),
+                       F.max(F.when(origin, F.col("s_dmg"))).over(lattice_key).alias("d_all"))
     # cell (i, j) is controlled by rows with k1 >= i + 1 and k2 >= j + 1
-    ctl = full.select(*keys, (F.col("k1") - 1).alias("i"), (F.col("k2") - 1).alias("j"), "s_pos", "s_neg", "s_dmg").where(
+    out = full.select(*keys, (F.col("k1") - 1).alias("i"), (F.col("k2") - 1).alias("j"), "s_pos", "s_neg", "s_dmg", "n_pos", "d_all").where(
         (F.col("i") >= 0) & (F.col("j") >= 0)
     )
-    totals = buckets.groupBy(*keys).agg(F.sum("pos").alias("n_pos"), F.sum("dmg").alias("d_all"))
-    out = ctl.join(totals, keys, "inner")
     return out if out_keys else out.drop("_k")
 
 

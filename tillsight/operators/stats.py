@@ -28,28 +28,27 @@ from tillsight.functions.special import chi2_p, t_p
 # ---------------------------------------------------------------- χ² core
 def chi2_from_counts(ct: DataFrame, keys: Sequence[str], a: str, b: str, n: str = "n", correction: bool = True) -> DataFrame:
     """χ² independence statistic per key from long counts (key.., a, b, n)."""
-    out_keys = list(keys)
-    keys = out_keys or ["_k"]
-    if not out_keys:  # one table: a constant key keeps every step an equi-join on tiny frames
-        ct = ct.withColumn("_k", F.lit(0))
+    keys = list(keys)
+    per_key = Window.partitionBy(*keys)  # over the small row / column total tables only
     rows = ct.groupBy(*keys, a).agg(F.sum(n).alias("_r"))
+    rows = rows.select("*", F.sum("_r").over(per_key).alias("_ntot"), F.count(F.lit(1)).over(per_key).alias("_nr"),
+                       F.sum(F.lit(1.0) / F.col("_r")).over(per_key).alias("_A"))
     cols = ct.groupBy(*keys, b).agg(F.sum(n).alias("_c"))
-    rs = rows.groupBy(*keys).agg(F.sum("_r").alias("_ntot"), F.count(F.lit(1)).alias("_nr"), F.sum(F.lit(1.0) / F.col("_r")).alias("_A"))
-    cs = cols.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nc"), F.sum(F.lit(1.0) / F.col("_c")).alias("_B"))
-    j = ct.join(rows, [*keys, a]).join(cols, [*keys, b]).join(rs, keys)
+    cols = cols.select("*", F.count(F.lit(1)).over(per_key).alias("_nc"), F.sum(F.lit(1.0) / F.col("_c")).over(per_key).alias("_B"))
+    j = ct.join(rows, [*keys, a]).join(cols, [*keys, b])
     e = F.col("_r") * F.col("_c") / F.col("_ntot")
-    cells = j.groupBy(*keys).agg(
+    stats = j.groupBy(*keys).agg(
         F.sum(F.col(n) * F.col(n) / (F.col("_r") * F.col("_c"))).alias("_S"),
         F.max(F.abs(F.col(n) - e)).alias("_D"),
+        *[F.first(c).alias(c) for c in ("_ntot", "_nr", "_A", "_nc", "_B")],
     )
-    stats = cells.join(rs, keys).join(cs, keys)
     N = F.col("_ntot").cast("double")
     dof = ((F.col("_nr") - 1) * (F.col("_nc") - 1)).cast("bigint")
     plain = N * F.col("_S") - N
     yates = F.pow(F.greatest(F.col("_D") - F.lit(0.5), F.lit(0.0)), 2) * N * F.col("_A") * F.col("_B")
     chi2 = F.when(dof == 1, yates).otherwise(plain) if correction else plain
     return stats.select(
-        *out_keys,
+        *keys,
         chi2.alias("chi2"),
         dof.alias("dof"),
         F.col("_ntot").cast("bigint").alias("n"),
