@@ -32,6 +32,8 @@ def test_matches_sql_twin(spark, con, name):
     assert sorted(df.columns) == sorted(cols)
     assert len(rows) == len(want)
     assert digest(df.columns, rows) == digest(cols, want)
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan  # no cross / non-equi joins
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE) - SLOW_ROWS_ONLY))
