@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import minhash
+from tillsight.llm import minhash, simhash
 from tillsight.llm.common import table
 
 
@@ -12,7 +12,12 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op2_simhash_pivots": op2_simhash_pivots,
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
 }
 
