@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import minhash, simhash
+from tillsight.llm import minhash, simhash, toxicity
 from tillsight.llm.common import table
 
 
@@ -16,7 +16,12 @@ def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_nb_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op3_nb_char_ngrams": op3_nb_char_ngrams,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
 }
