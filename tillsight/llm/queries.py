@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import minhash, simhash, toxicity
+from tillsight.llm import minhash, quality, simhash, toxicity
 from tillsight.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op10_one_permutation_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op1_rule_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -21,6 +25,7 @@ def op3_nb_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rule_ensemble": op1_rule_ensemble,
     "op3_nb_char_ngrams": op3_nb_char_ngrams,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
