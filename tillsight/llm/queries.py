@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import minhash, quality, simhash, toxicity
+from tillsight.llm import bpe, minhash, packing, quality, simhash, toxicity
 from tillsight.llm.common import table
 
 
@@ -24,7 +24,17 @@ def op3_nb_char_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op4_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trips(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op4_hilbert_packing": op4_hilbert_packing,
+    "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op1_rule_ensemble": op1_rule_ensemble,
     "op3_nb_char_ngrams": op3_nb_char_ngrams,
     "op2_simhash_pivots": op2_simhash_pivots,
