@@ -1,14 +1,49 @@
-"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over ``documents``, each written as Parquet and read again by the next.
+
+Toxic documents go, then those of low quality, then all but one of each group
+of near copies; passages that recur are cut out of what is left, and that is
+packed into sequences.  Every stage but the last returns the columns of
+``documents``; each takes its decisions on all that its predecessor kept.
+Empty tables pass through every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tillsight.llm import packing, quality, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table, written
 
-STAGES: list = []
 
-#: No stage but the filters can be said in SQL; the tests hold run() against a brute-force version.
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.clean(docs, table(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.one_of_each(docs)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.packed(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality", drop_low_quality),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("packing", pack),
+]
+
+#: Model scores and byte-level cuts cannot be said in SQL; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 

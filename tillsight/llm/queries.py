@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.llm import bpe, minhash, packing, quality, simhash, toxicity
+from tillsight.llm import bpe, minhash, packing, quality, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -32,7 +32,12 @@ def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trips(table(spark, sf_dir, "documents"))
 
 
+def op7_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removals(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op7_deep_shallow_suffixes": op7_deep_shallow_suffixes,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op1_rule_ensemble": op1_rule_ensemble,
