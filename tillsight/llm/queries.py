@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tillsight.llm import bpe, minhash, packing, quality, simhash, suffix_dedup, toxicity
+from tillsight.llm import backoff, bpe, minhash, packing, quality, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -36,7 +37,12 @@ def op7_deep_shallow_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.removals(table(spark, sf_dir, "documents"))
 
 
+def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return backoff.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
+
+
 QUERIES = {
+    "op9_stupid_backoff": op9_stupid_backoff,
     "op7_deep_shallow_suffixes": op7_deep_shallow_suffixes,
     "op4_hilbert_packing": op4_hilbert_packing,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
@@ -46,4 +52,4 @@ QUERIES = {
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op9_stupid_backoff": backoff.ORACLE}
