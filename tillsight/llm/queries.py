@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import backoff, bpe, minhash, packing, quality, simhash, suffix_dedup, toxicity
+from tillsight.llm import backoff, bpe, graph_dedup, minhash, packing, quality, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -41,7 +41,12 @@ def op9_stupid_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backoff.scores(table(spark, sf_dir, "documents")).withColumn("score", F.round("score", 6))
 
 
+def op8_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
+    "op8_robust_pruned_graph": op8_robust_pruned_graph,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op7_deep_shallow_suffixes": op7_deep_shallow_suffixes,
     "op4_hilbert_packing": op4_hilbert_packing,
