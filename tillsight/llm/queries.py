@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import backoff, bpe, graph_dedup, minhash, packing, quality, simhash, suffix_dedup, toxicity
+from tillsight.llm import backoff, bpe, graph_dedup, html_text, minhash, packing, quality, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -45,7 +45,12 @@ def op8_robust_pruned_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
+    "op5_host_suffix_array": op5_host_suffix_array,
     "op8_robust_pruned_graph": op8_robust_pruned_graph,
     "op9_stupid_backoff": op9_stupid_backoff,
     "op7_deep_shallow_suffixes": op7_deep_shallow_suffixes,
