@@ -32,6 +32,8 @@ def _gamma_p_series(a: float, x: float) -> float:
         total += term
         if abs(term) < abs(total) * _EPS:
             break
+    else:
+        raise ArithmeticError("the series did not converge")
     return total * math.exp(-x + a * math.log(x) - math.lgamma(a))
 
 
@@ -52,6 +54,8 @@ def _gamma_q_fraction(a: float, x: float) -> float:
         h *= delta
         if abs(delta - 1.0) < _EPS:
             break
+    else:
+        raise ArithmeticError("the series did not converge")
     return math.exp(-x + a * math.log(x) - math.lgamma(a)) * h
 
 
@@ -96,6 +100,8 @@ def _beta_fraction(a: float, b: float, x: float) -> float:
         h *= delta
         if abs(delta - 1.0) < _EPS:
             break
+    else:
+        raise ArithmeticError("the series did not converge")
     return h
 
 

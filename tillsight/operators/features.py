@@ -37,14 +37,19 @@ LINE_PRODUCT_COLUMNS = [
 ]
 
 
+MAX_CATEGORIES = 2_000
+
+
 def discover_categories(products: DataFrame) -> list[str]:
-    """Distinct product categories (sorted) + MISSING.
+    """Distinct product categories (sorted) + MISSING; they fix the one-hot columns.
 
-    A driver-side collect on the *dimension*, bounded by the number of
-    categories; it fixes the one-hot schema like the reference does.
+    More than ``MAX_CATEGORIES`` (one column each) are an error, not a cut:
+    at most one row above that bound reaches the driver.
     """
-    rows = products.select("category").where(F.col("category").isNotNull()).distinct().collect()
-    return sorted(r[0] for r in rows) + [S.MISSING]
+    rows = products.select("category").where(F.col("category").isNotNull()).distinct().limit(MAX_CATEGORIES + 1).collect()
+    if len(rows) > MAX_CATEGORIES:
+        raise ValueError(f"more than {MAX_CATEGORIES} product categories: one column for each is not what they are for")
+    return sorted({r[0] for r in rows} - {S.MISSING}) + [S.MISSING]
 
 
 def lines_with_products(lines: DataFrame, products: DataFrame) -> DataFrame:

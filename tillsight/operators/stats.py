@@ -151,13 +151,14 @@ def cramers_v(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = df.select(F.explode(arr).alias("_p")).select("_p.*").where(F.col("v1").isNotNull() & F.col("v2").isNotNull())
     ct = long.groupBy("col1", "col2", "v1", "v2").agg(F.count(F.lit(1)).alias("n"))
     chi = chi2_from_counts(ct, ["col1", "col2"], "v1", "v2", "n", True)
-    n = F.col("n").cast("double")
-    r, k = F.col("n_rows").cast("double"), F.col("n_cols").cast("double")
-    phi2corr = F.greatest(F.lit(0.0), F.col("chi2") / n - (k - 1) * (r - 1) / (n - 1))
-    rcorr = r - F.pow(r - 1, 2) / (n - 1)
-    kcorr = k - F.pow(k - 1, 2) / (n - 1)
-    v = F.sqrt(phi2corr / F.least(kcorr - 1, rcorr - 1))
-    return chi.where((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2)).select("col1", "col2", v.alias("cramers_v"))
+    # Bergsma (2013): under independence chi2 has the mean of its degrees of freedom (times n / (n - 1)), and a
+    # dimension of d levels counts as if it had (d - 1)^2 / (n - 1) levels fewer
+    freedom = {side: F.col(side).cast("double") - 1 for side in ("n_rows", "n_cols")}
+    less_one = F.col("n").cast("double") - 1
+    excess = F.col("chi2") / F.col("n") - freedom["n_rows"] * freedom["n_cols"] / less_one
+    bound = F.least(*[d * (1 - d / less_one) for d in freedom.values()])
+    strength = F.sqrt(F.when(excess > 0, excess).otherwise(0.0) / bound)
+    return chi.where((F.col("n_rows") >= 2) & (F.col("n_cols") >= 2)).select("col1", "col2", strength.alias("cramers_v"))
 
 
 # ---------------------------------------------------------------- T7 / T8 / T9 / T10

@@ -6,6 +6,8 @@ tables.  Written independently of the Spark code: scan gaps use a plain
 window per basket, null rules are spelled out with ``COALESCE``/``CASE``.
 """
 
+from tillsight.functions.scalar import CITY_CODES
+
 BASKET_CTES = """
 tx0 AS (
   SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority,
@@ -53,11 +55,11 @@ products AS (
   FROM part
 ),
 stores AS (
-  SELECT CAST(n_nationkey AS INTEGER) AS id, n_name AS location, r_name AS urbanization,
+  SELECT CAST(n_nationkey AS INTEGER) AS id, {city} AS location, r_name AS urbanization,
          CONCAT('1994-0', CAST(1 + n_nationkey % 9 AS VARCHAR), '-15') AS sco_introduction
   FROM nation JOIN region ON n_regionkey = r_regionkey
 )
-"""
+""".replace("{city}", "list_extract([" + ", ".join(f"'{c}'" for c in CITY_CODES) + f"], CAST(n_nationkey % {len(CITY_CODES)} AS INTEGER) + 1)")
 
 # Category list of the driver's part table (p_type), sorted, plus MISSING.
 CATEGORIES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD", "MISSING"]
@@ -119,8 +121,6 @@ def _case_map(col: str, mapping: dict) -> str:
 
 
 def _feature_ctes() -> str:
-    from tillsight.functions.scalar import CITY_CODES
-
     cat_cols = ", ".join(f"la.{_cat_flag(c)}" for c in CATEGORIES)
     return f"""
 fm0 AS (

@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tillsight.operators.features import feature_matrix
-from tillsight.plans.basket_sql import CATEGORIES
+from tillsight.operators.features import discover_categories, feature_matrix
 from tillsight.sources.basket import Basket, basket
 
 # Fixture config for the excluded-discount rule: even store ids exclude two categories.
@@ -18,4 +17,5 @@ def tables(spark: SparkSession, sf_dir: str) -> Basket:
 
 def features(spark: SparkSession, sf_dir: str, impute: bool = True, b: Basket | None = None) -> DataFrame:
     b = b or basket(spark, sf_dir)
-    return feature_matrix(b.transactions, b.lines, b.products, b.stores, categories=CATEGORIES, impute=impute)
+    categories = discover_categories(b.products)
+    return feature_matrix(b.transactions, b.lines, b.products, b.stores, categories=categories, impute=impute)

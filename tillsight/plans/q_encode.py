@@ -151,16 +151,12 @@ def q_poly(spark, sf_dir):
                         F.sum("`n_lines hour`").alias("n_lines_hour"), F.count(F.lit(1)).alias("n")))
 
 
-_NULL_CHECK = ["transaction_id", "store_id", "cash_desk", "total_amount", "n_lines", "payment_medium", "daytime", "hour", "label",
-               "has_voided", "mean_time_between_scans"]
-
-
 @register("rows_without_nulls", feature_sql(
-    "SELECT label, COUNT(*) AS n FROM fm WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in _NULL_CHECK) + " GROUP BY label"))
+    "SELECT label, COUNT(*) AS n FROM fm WHERE COLUMNS(* EXCLUDE (damage)) IS NOT NULL GROUP BY label"))
 def q_without_nulls(spark, sf_dir):
     """P10: rows without nulls in any column except damage, by label."""
-    fm = features(spark, sf_dir).select(*_NULL_CHECK, "damage")
-    return fm.dropna(subset=[c for c in _NULL_CHECK]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    fm = features(spark, sf_dir)
+    return fm.dropna(subset=[c for c in fm.columns if c != "damage"]).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
 
 
 @register("filter_overview", feature_sql(
@@ -244,9 +240,15 @@ def q_calendar(spark, sf_dir):
     ))
 
 
+def _ascii_sql(col: str) -> str:
+    for src, dst in S.UMLAUTS:
+        col = f"replace({col}, '{src}', '{dst}')"
+    return col
+
+
 @register("store_dimension", basket_sql(
     "SELECT CAST(id AS VARCHAR) AS store_id, " + "CASE location " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in S.CITY_CODES.items())
-    + " END AS location, urbanization, location AS location_ascii, strftime(strptime(sco_introduction, '%Y-%m-%d'), '%Y-%m-%d %H:%M:%S') AS sco_introduction FROM stores"))
+    + " END AS location, urbanization, " + _ascii_sql("location") + " AS location_ascii, strftime(strptime(sco_introduction, '%Y-%m-%d'), '%Y-%m-%d %H:%M:%S') AS sco_introduction FROM stores"))
 def q_stores(spark, sf_dir):
     """Store dimension with recoded location, transliteration and parsed SCO date."""
     from tillsight.operators.features import store_features

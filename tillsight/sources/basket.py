@@ -25,30 +25,22 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillsight.functions.scalar import CITY_CODES
+
 DRIVER_TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
 
-FACT_TABLES = ("lineitem", "orders")
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
     """Parquet scan of one driver table; ``columns`` prunes the ReadSchema.
 
-    Fact tables stored as a few large row groups cannot be split by the
-    scan; when the scan yields fewer partitions than the cluster's default
-    parallelism they are spread round-robin first.  On large inputs the scan
-    already has far more splits than cores and nothing changes.
+    The split size is the session's (``spark.sql.files.maxPartitionBytes``,
+    ``minPartitionNum``); no exchange is added here.
     """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    df = df.select(*columns) if columns else df
-    if name in FACT_TABLES:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
-            df = df.repartition(want)
-    return df
+    return df.select(*columns) if columns else df
 
 
 def _seconds(n: Column, ts: Column) -> Column:
@@ -155,7 +147,7 @@ def nation_as_stores(nation: DataFrame, region: DataFrame) -> DataFrame:
     nk = F.col("n_nationkey")
     return j.select(
         nk.cast("int").alias("id"),
-        F.col("n_name").alias("location"),
+        F.element_at(F.array(*map(F.lit, CITY_CODES)), (nk % len(CITY_CODES)).cast("int") + 1).alias("location"),
         F.col("r_name").alias("urbanization"),
         F.concat(F.lit("1994-0"), (F.lit(1) + nk % 9).cast("string"), F.lit("-15")).alias("sco_introduction"),
     )
