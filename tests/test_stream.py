@@ -32,7 +32,7 @@ def test_stream_rejects_and_results(spark):
     s = spark.createDataFrame(STORES, STORE_SCHEMA)
     q = start_request_stream(spark, src, out, rej, ck, p, s, rules.excluded_categories(spark, {}), ["ALCOHOL", "BEVERAGES", "DAIRY", "SNACKS", "MISSING"])
     q.awaitTermination()
-    res = {r["transaction_id"]: r for r in spark.read.parquet(out).collect()}
+    res = {int(r["transaction_id"]): r for r in spark.read.parquet(out).collect()}  # ids are text, as sent
     assert set(res) == {1, 2}
     assert res[1]["rule"] == "unscanned" and res[1]["estimated_damage"] == 10.0
     assert res[2]["rule"] == "no_lines"
@@ -40,3 +40,45 @@ def test_stream_rejects_and_results(spark):
     assert len(rejects) == 3 and "malformed JSON" in rejects
     assert any("header.payment_medium" in r for r in rejects) and any("line field missing" in r for r in rejects)
     assert F is not None
+
+
+def _stream(spark, docs, products, name):
+    src, out, rej, ck = (scratch_path(spark, f"{name}-{n}") for n in ("src", "out", "rej", "ck"))
+    spark.createDataFrame([(d,) for d in docs], "value string").coalesce(1).write.text(src)
+    s = spark.createDataFrame(STORES, STORE_SCHEMA)
+    cats = ["ALCOHOL", "BEVERAGES", "DAIRY", "SNACKS", "MISSING"]
+    start_request_stream(spark, src, out, rej, ck, products, s, rules.excluded_categories(spark, {}), cats).awaitTermination()
+    return spark.read.parquet(out).collect(), [r["reject_reason"] for r in spark.read.parquet(rej).collect()]
+
+
+def test_bad_records_do_not_stop_good_ones(spark):
+    """UUID ids are read as they are; values of a wrong type reject their own document only."""
+    uid = "6f1c2a34-9f0e-4c1b-8a55-0c3f6f3b7d10"
+    line = {"id": 1, "product_id": "4", "timestamp": "2024-03-04T09:01:00", "pieces_or_weight": 1.0, "sales_price": 0.0,
+            "was_voided": True, "camera_product_similar": False, "camera_certainty": 0.9}
+    late = json.loads(_doc(5, [line]))
+    late["transaction_header"]["transaction_start"] = "soon"
+    odd = json.loads(_doc(6, [line]))
+    odd["transaction_header"]["customer_feedback"] = "good"
+    docs = [
+        _doc("5b0e-not-a-number", [dict(line, product_id=uid)]), _doc(2, [dict(line, timestamp="yesterday")]),
+        _doc(3, [dict(line, camera_certainty="high")]), json.dumps(late), json.dumps(odd), _doc(7, [line]),
+    ]
+    res, rejects = _stream(spark, docs, spark.createDataFrame(PRODUCTS, PRODUCT_SCHEMA), "bad")
+    assert {r["transaction_id"] for r in res} == {"5b0e-not-a-number", "7"}
+    assert sorted(rejects) == [
+        "header.customer_feedback: not a int", "header.transaction_start: not a timestamp_ntz",
+        "line.camera_certainty: not a double", "line.timestamp: not a timestamp_ntz",
+    ]
+
+
+def test_requests_are_told_apart_without_their_ids(spark):
+    line = {"id": 1, "product_id": "4", "timestamp": "2024-03-04T09:01:00", "pieces_or_weight": 1.0, "sales_price": 0.0,
+            "was_voided": True, "camera_product_similar": False, "camera_certainty": 0.9}
+    clean = dict(line, product_id="1", was_voided=False, sales_price=2.0, camera_product_similar=True)
+    nameless = json.loads(_doc(0, [clean]))
+    del nameless["transaction_id"]
+    docs = [_doc(1, [line]), _doc(1, [clean]), json.dumps(nameless), json.dumps(nameless)]
+    res, rejects = _stream(spark, docs, spark.createDataFrame(PRODUCTS, PRODUCT_SCHEMA), "same")
+    assert not rejects and len(res) == 4 and len({r["request_id"] for r in res}) == 4
+    assert sorted((r["transaction_id"] or "", r["rule"]) for r in res) == [("", "model"), ("", "model"), ("1", "model"), ("1", "unscanned")]

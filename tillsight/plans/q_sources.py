@@ -28,12 +28,12 @@ def q_payload(spark, sf_dir):
     """S5 + S4: export one JSON document per basket, parse it back, compare with the tables."""
     b = tables(spark, sf_dir)
     parsed = parse_requests(to_payload(b.transactions, b.lines))
-    h = header_rows(parsed)
-    ln = line_rows(parsed).groupBy("transaction_id").agg(
+    h = header_rows(parsed, "transaction_id")
+    ln = line_rows(parsed, "transaction_id").groupBy("transaction_id").agg(
         F.count(F.lit(1)).alias("_n"), F.sum("sales_price").alias("sales_sum"), F.min("timestamp").alias("first_scan"))
     j = h.join(ln, h["id"] == ln["transaction_id"], "left")
     return finish(j.select(
-        F.col("id").alias("transaction_id"), "store_id", "payment_medium", "transaction_start",
+        F.col("id").cast("bigint").alias("transaction_id"), "store_id", "payment_medium", "transaction_start",
         F.col("n_lines").alias("n_request_lines"), F.coalesce(F.col("sales_sum"), F.lit(0.0)).alias("sales_sum"), "first_scan"))
 
 
@@ -117,4 +117,5 @@ def q_stream(spark, sf_dir):
     q = start_request_stream(spark, src, out, rej, ck, b.products, b.stores, excl, CATEGORIES)
     q.awaitTermination()
     res = spark.read.parquet(out).drop("epoch")
+    res = res.drop("request_id").withColumn("transaction_id", F.col("transaction_id").cast("bigint"))
     return finish(res.withColumn("offending_products", F.array_join("offending_products", ", ")))

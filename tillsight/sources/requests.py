@@ -3,45 +3,44 @@
 A request is one JSON document per basket: a header struct and an array of
 line structs.  Export (S5) nests lines per basket with ``collect_list`` —
 bounded by the basket's own line count — and renders ISO timestamps; parsing
-(S4) is ``from_json`` + ``explode_outer`` so baskets without lines survive.
+(S4) reads every field as text and casts it once, so ids may be any string and
+a value of the wrong type is a reject of its document, not an error of the job.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.functions import scalar as S
 
-LINE_SCHEMA = T.StructType([
-    T.StructField("id", T.IntegerType()),
-    T.StructField("product_id", T.StringType()),
-    T.StructField("timestamp", T.StringType()),
-    T.StructField("pieces_or_weight", T.DoubleType()),
-    T.StructField("sales_price", T.DoubleType()),
-    T.StructField("was_voided", T.BooleanType()),
-    T.StructField("camera_product_similar", T.BooleanType()),
-    T.StructField("camera_certainty", T.DoubleType()),
-])
-HEADER_SCHEMA = T.StructType([
-    T.StructField("store_id", T.StringType()),
-    T.StructField("cash_desk", T.IntegerType()),
-    T.StructField("transaction_start", T.StringType()),
-    T.StructField("transaction_end", T.StringType()),
-    T.StructField("total_amount", T.DoubleType()),
-    T.StructField("payment_medium", T.StringType()),
-    T.StructField("customer_feedback", T.IntegerType()),
-])
-REQUEST_SCHEMA = T.StructType([
-    T.StructField("transaction_id", T.LongType()),
-    T.StructField("transaction_header", HEADER_SCHEMA),
-    T.StructField("transaction_lines", T.ArrayType(LINE_SCHEMA)),
-])
+# field -> type; a request's text must cast to it
+LINE_TYPES = {
+    "id": "int", "product_id": "string", "timestamp": "timestamp_ntz", "pieces_or_weight": "double", "sales_price": "double",
+    "was_voided": "boolean", "camera_product_similar": "boolean", "camera_certainty": "double",
+}
+HEADER_TYPES = {
+    "store_id": "string", "cash_desk": "int", "transaction_start": "timestamp_ntz", "transaction_end": "timestamp_ntz",
+    "total_amount": "double", "payment_medium": "string", "customer_feedback": "int",
+}
 REQUIRED_HEADER = ["store_id", "cash_desk", "transaction_start", "transaction_end", "total_amount", "payment_medium"]
 REQUIRED_LINE = ["id", "timestamp", "pieces_or_weight", "sales_price", "was_voided"]
 
 
+def _texts(fields) -> T.StructType:
+    return T.StructType([T.StructField(f, T.StringType()) for f in fields])
+
+
+# every field is read as text first, so a value of the wrong type is seen and rejected instead of read as null
+REQUEST_SCHEMA = T.StructType([
+    T.StructField("transaction_id", T.StringType()),
+    T.StructField("transaction_header", _texts(HEADER_TYPES)),
+    T.StructField("transaction_lines", T.ArrayType(_texts(LINE_TYPES))),
+])
+
+
+
 def to_payload(tx: DataFrame, lines: DataFrame) -> DataFrame:
     """One JSON document per basket (lines sorted by id, ISO timestamps)."""
     line = F.struct(
@@ -59,58 +58,74 @@ def to_payload(tx: DataFrame, lines: DataFrame) -> DataFrame:
     t = tx.select(F.col("id").alias("transaction_id"), header.alias("transaction_header"))
     j = t.join(nested, "transaction_id", "left")
     doc = F.struct("transaction_id", "transaction_header",
-                   F.coalesce(F.col("transaction_lines"), F.array().cast(T.ArrayType(LINE_SCHEMA))).alias("transaction_lines"))
+                   F.coalesce(F.col("transaction_lines"), F.array()).alias("transaction_lines"))
     return j.select("transaction_id", F.to_json(doc).alias("payload"))
 
 
-def parse_requests(raw: DataFrame, text_col: str = "payload") -> DataFrame:
-    """JSON text -> typed request struct (PERMISSIVE: malformed text gives a null request)."""
-    return raw.select(F.from_json(F.col(text_col), REQUEST_SCHEMA).alias("request"), F.col(text_col).alias("raw"))
+def _typed(struct: Column, types: dict[str, str]) -> Column:
+    return F.struct(*[struct[f].try_cast(t).alias(f) for f, t in types.items()])
 
 
-def request_validity(parsed: DataFrame) -> DataFrame:
-    """ST2: reason why a request is invalid (null when valid)."""
-    h = F.col("request.transaction_header")
-    missing_header = [F.when(h[c].isNull(), F.lit(f"header.{c}")) for c in REQUIRED_HEADER]
-    bad_line = F.exists(
-        F.coalesce(F.col("request.transaction_lines"), F.array().cast(T.ArrayType(LINE_SCHEMA))),
-        lambda l: l["id"].isNull() | l["timestamp"].isNull() | l["pieces_or_weight"].isNull() | l["sales_price"].isNull() | l["was_voided"].isNull(),
-    )
+def _wrong(struct: Column, types: dict[str, str], required: list[str], name: str) -> list[Column]:
+    """For each field null, or what is wrong with it: its type, or that it is missing."""
+    out = []
+    for f, t in types.items():
+        bad = F.when(struct[f].isNotNull() & struct[f].try_cast(t).isNull(), F.lit(f"{name}.{f}: not a {t}"))
+        out.append(bad.when(struct[f].isNull(), F.lit(f"{name} field missing: {name}.{f}")) if f in required else bad)
+    return out
+
+
+def parse_requests(raw: DataFrame, text_col: str = "payload") -> DataFrame:
+    """JSON text -> (request_id, request, raw, reject_reason).
+
+    ``request_id`` is generated for every document, as a request carries no
+    key of its own that could be relied on: two documents with one
+    ``transaction_id`` (or none) stay two requests.  ``reject_reason`` (ST2) is
+    null for a valid document.
+    """
+    doc = F.from_json(F.col(text_col), REQUEST_SCHEMA)
+    parsed = raw.select(doc.alias("_doc"), F.col(text_col).alias("raw"))
+    header, lines = F.col("_doc.transaction_header"), F.col("_doc.transaction_lines")
     # PERMISSIVE from_json yields a struct of nulls (not a null struct) for malformed text
-    malformed = F.col("request").isNull() | (
-        F.col("request.transaction_id").isNull() & h.isNull() & F.col("request.transaction_lines").isNull()
+    malformed = F.col("_doc").isNull() | (F.col("_doc.transaction_id").isNull() & header.isNull() & lines.isNull())
+    of_lines = F.array_distinct(F.flatten(F.transform(
+        F.coalesce(lines, F.array()), lambda l: F.array_compact(F.array(*_wrong(l, LINE_TYPES, REQUIRED_LINE, "line")))
+    )))
+    found = F.concat(
+        F.array_compact(F.array(
+            *_wrong(header, HEADER_TYPES, REQUIRED_HEADER, "header"), F.when(lines.isNull(), F.lit("transaction_lines missing"))
+        )),
+        of_lines,
     )
-    reason = F.when(malformed, F.lit("malformed JSON")).otherwise(
-        F.concat_ws(", ", *missing_header, F.when(F.col("request.transaction_lines").isNull(), F.lit("transaction_lines")),
-                    F.when(bad_line, F.lit("line field missing")))
+    request = F.struct(
+        F.col("_doc.transaction_id").alias("transaction_id"),
+        _typed(header, HEADER_TYPES).alias("transaction_header"),
+        F.transform(lines, lambda l: _typed(l, LINE_TYPES)).alias("transaction_lines"),
     )
-    return parsed.withColumn("reject_reason", F.when(reason != "", reason))
+    return parsed.select(
+        F.concat_ws("-", F.substring(F.sha2("raw", 256), 1, 16), F.monotonically_increasing_id()).alias("request_id"),
+        request.alias("request"),
+        "raw",
+        F.when(malformed, F.lit("malformed JSON")).when(F.size(found) > 0, F.array_join(found, ", ")).alias("reject_reason"),
+    )
+
 
+def _key(name: str) -> Column:
+    return F.col("request.transaction_id") if name == "transaction_id" else F.col(name)
 
-def header_rows(parsed: DataFrame) -> DataFrame:
-    """Request -> transactions-shaped rows (label UNKNOWN, damage 0, n_lines = request lines)."""
+
+def header_rows(parsed: DataFrame, key: str = "request_id") -> DataFrame:
+    """Request -> transactions-shaped rows (label UNKNOWN, damage 0, n_lines = request lines), named by ``key``."""
     h = F.col("request.transaction_header")
     return parsed.select(
-        F.col("request.transaction_id").alias("id"),
-        h["store_id"].alias("store_id"), h["cash_desk"].alias("cash_desk"),
-        F.to_timestamp_ntz(h["transaction_start"]).alias("transaction_start"),
-        F.to_timestamp_ntz(h["transaction_end"]).alias("transaction_end"),
-        h["total_amount"].alias("total_amount"), h["payment_medium"].alias("payment_medium"),
-        h["customer_feedback"].alias("customer_feedback"),
+        _key(key).alias("id"),
+        *[h[f].alias(f) for f in HEADER_TYPES],
         F.lit(0.0).alias("damage"), F.lit("UNKNOWN").alias("label"),
         F.size(F.coalesce(F.col("request.transaction_lines"), F.array())).cast("bigint").alias("n_lines"),
     )
 
 
-def line_rows(parsed: DataFrame) -> DataFrame:
-    """Request -> transaction_lines-shaped rows (explode_outer keeps empty requests out of the lines)."""
-    ex = parsed.select(F.col("request.transaction_id").alias("transaction_id"), F.explode_outer("request.transaction_lines").alias("l"))
-    ex = ex.where(F.col("l").isNotNull())
-    return ex.select(
-        F.col("l.id").alias("id"), "transaction_id",
-        F.col("l.product_id").cast("bigint").alias("product_id"),
-        F.to_timestamp_ntz(F.col("l.timestamp")).alias("timestamp"),
-        F.col("l.pieces_or_weight").alias("pieces_or_weight"), F.col("l.sales_price").alias("sales_price"),
-        F.col("l.was_voided").alias("was_voided"), F.col("l.camera_product_similar").alias("camera_product_similar"),
-        F.col("l.camera_certainty").alias("camera_certainty"),
-    )
+def line_rows(parsed: DataFrame, key: str = "request_id") -> DataFrame:
+    """Request -> transaction_lines-shaped rows; a request without lines gives none."""
+    ex = parsed.select(_key(key).alias("transaction_id"), F.explode("request.transaction_lines").alias("l"))
+    return ex.select("l.id", "transaction_id", *[f"l.{f}" for f in LINE_TYPES if f != "id"])

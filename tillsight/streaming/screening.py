@@ -22,16 +22,22 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillsight.operators.features import feature_matrix
 from tillsight.operators.rules import screen
-from tillsight.sources.requests import header_rows, line_rows, parse_requests, request_validity
+from tillsight.sources.requests import header_rows, line_rows, parse_requests
 
 
 def screen_requests(parsed: DataFrame, products: DataFrame, stores: DataFrame, excluded: DataFrame,
                     categories: Sequence[str]) -> DataFrame:
-    """Batch screening of parsed, valid requests (online semantics: no label-wise imputation)."""
+    """Batch screening of parsed, valid requests (online semantics: no label-wise imputation).
+
+    Baskets are told apart by ``request_id``; product ids are compared as
+    text, as a request may name any.  ``transaction_id`` is what was sent.
+    """
     tx = header_rows(parsed)
     lines = line_rows(parsed)
+    products = products.withColumn("id", F.col("id").cast("string"))
     fm = feature_matrix(tx, lines, products, stores, categories=list(categories), impute=False)
-    return screen(tx, lines, products, fm, excluded)
+    out = screen(tx, lines, products, fm, excluded).withColumnRenamed("transaction_id", "request_id")
+    return out.join(parsed.select("request_id", F.col("request.transaction_id").alias("transaction_id")), "request_id")
 
 
 def start_request_stream(
@@ -52,10 +58,9 @@ def start_request_stream(
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.load(source_dir)
-    parsed = request_validity(parse_requests(raw, "value"))
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch = batch.persist()
+        batch = parse_requests(batch, "value").persist()
         try:
             rejects = batch.where(F.col("reject_reason").isNotNull()).select("raw", "reject_reason")
             rejects.write.mode("overwrite").parquet(f"{reject_dir}/epoch={epoch_id}")
@@ -65,6 +70,6 @@ def start_request_stream(
         finally:
             batch.unpersist()
 
-    writer = parsed.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
+    writer = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
     return writer.start()
