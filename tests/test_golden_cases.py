@@ -42,7 +42,9 @@ def test_golden_cases(spark):
 
     r = res[1]
     assert r["is_fraud"] and r["fraud_proba"] > 0 and r["estimated_damage"] > 0
-    assert r["explanation"]["human_readable_reason"].startswith("Das Modell hat einen möglichen Betrugsfall erkannt")
+    assert r["explanation"]["human_readable_reason"].startswith(
+        "Das Modell hat einen möglichen Betrugsfall erkannt: Merkmal payment_cash hat den Wert 1.00 (1.50 Einfluss)\n - Merkmal "
+    )
     r = res[2]
     assert not r["is_fraud"] and r["explanation"] is None
     r = res[3]

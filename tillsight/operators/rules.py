@@ -177,17 +177,25 @@ def fixed_linear_score(features: DataFrame) -> DataFrame:
     p = round(sigmoid(raw), 6); damage_pred = round(0.0001·total_amount, 4)
     """
     flag = F.coalesce(F.col("has_positive_price_difference"), F.lit(False)).cast("double")
-    raw = (
-        F.lit(-2.0)
-        + F.lit(1.5) * (F.col("payment_medium") == "CASH").cast("double")
-        + F.lit(0.02) * F.col("n_lines").cast("double")
-        + F.lit(0.8) * flag
-    )
+    cash, n_lines = (F.col("payment_medium") == "CASH").cast("double"), F.col("n_lines").cast("double")
+    raw = F.lit(-2.0) + F.lit(1.5) * cash + F.lit(0.02) * n_lines + F.lit(0.8) * flag
+    parts = {"payment_cash": (cash, 1.5), "n_lines": (n_lines, 0.02), "has_positive_price_difference": (flag, 0.8)}
+    contributions = F.array(*[
+        F.struct(F.lit(name).alias("feature"), value.alias("value"), (F.lit(weight) * value).alias("contribution"))
+        for name, (value, weight) in parts.items()
+    ])
+    features = features.withColumn("contributions", top_features(contributions))
     return features.withColumn("p", F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-raw)), 6)).withColumn(
         "damage_pred", F.round(F.lit(0.0001) * F.col("total_amount"), 4)
     )
 
 
+def top_features(contributions: Column, n: int = 5) -> Column:
+    """W6 within a row: the ``n`` entries of array<struct<feature, value, contribution>> of the largest |contribution|."""
+    ranked = F.sort_array(F.transform(contributions, lambda s: F.struct(-F.abs(s["contribution"]), s["feature"], s.alias("s"))))
+    return F.transform(F.slice(ranked, 1, n), lambda r: r["s"])
+
+
 def decide(p: str | Column, damage: str | Column, cost_fp: float = 10.0, gain_tp: float = 5.0) -> Column:
     """M5: control when p > cost_fp / (gain_tp + cost_fp + damage)."""
     pc = F.col(p) if isinstance(p, str) else p
@@ -248,7 +256,10 @@ def screen(tx: DataFrame, lines: DataFrame, products: DataFrame, features: DataF
     key, so the final joins need no further shuffle of the matrix.
     """
     scored = fixed_linear_score(features) if scored is None else scored
-    base = scored.select("transaction_id", "has_missing", "has_unscanned", "has_positive_price_difference", "n_voided", "p", "damage_pred")
+    base = scored.select(
+        "transaction_id", "has_missing", "has_unscanned", "has_positive_price_difference", "n_voided", "p", "damage_pred",
+        (S.reason_text("contributions") if "contributions" in scored.columns else F.lit(REASON_MODEL)).alias("model_reason"),
+    )
     j = (
         base.join(unscanned_details(lines, products), "transaction_id", "left")
         .join(discount_details(lines, products, tx, excluded), "transaction_id", "left")
@@ -264,7 +275,7 @@ def screen(tx: DataFrame, lines: DataFrame, products: DataFrame, features: DataF
                       F.coalesce(F.col("u_products"), F.array().cast("array<string>"))))
         .when(F.col("has_positive_price_difference") & F.col("d_damage").isNotNull(),
               _result("excluded_discount", F.lit(True), F.lit(1.0), F.col("d_damage"), F.lit(REASON_DISCOUNT), F.col("d_products")))
-        .otherwise(_result("model", fraud, F.col("p"), F.col("damage_pred"), F.when(fraud, F.lit(REASON_MODEL)), F.lit(None)))
+        .otherwise(_result("model", fraud, F.col("p"), F.col("damage_pred"), F.when(fraud, F.col("model_reason")), F.lit(None)))
     )
     return j.select("transaction_id", result.alias("r")).select("transaction_id", "r.*")
 

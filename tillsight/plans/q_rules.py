@@ -56,7 +56,10 @@ screened AS (
          WHEN r3.transaction_id IS NOT NULL THEN 'unscanned' WHEN r4.transaction_id IS NOT NULL THEN 'excluded_discount'
          ELSE 'model' END AS rule,
     s.p, s.damage_pred, r3.damage AS d3, r3.products AS p3, r4.damage AS d4, r4.products AS p4,
-    s.p > 10.0 / (5.0 + 10.0 + s.damage_pred) AS model_fraud
+    s.p > 10.0 / (5.0 + 10.0 + s.damage_pred) AS model_fraud,
+    [{{'f': 'payment_cash', 'v': CAST(s.payment_medium = 'CASH' AS DOUBLE), 'w': 1.5}},
+     {{'f': 'n_lines', 'v': CAST(s.n_lines AS DOUBLE), 'w': 0.02}},
+     {{'f': 'has_positive_price_difference', 'v': CAST(COALESCE(s.has_positive_price_difference, FALSE) AS DOUBLE), 'w': 0.8}}] AS parts
   FROM scored s
   LEFT JOIN r1 ON r1.transaction_id = s.transaction_id
   LEFT JOIN r3 ON r3.transaction_id = s.transaction_id
@@ -70,7 +73,9 @@ screen_out AS (
               WHEN 'excluded_discount' THEN d4 ELSE damage_pred END AS estimated_damage,
     CASE rule WHEN 'no_lines' THEN '{rules.REASON_NO_LINES}' WHEN 'missing_product' THEN '{rules.REASON_CAMERA}'
               WHEN 'unscanned' THEN '{rules.REASON_CAMERA}' WHEN 'excluded_discount' THEN '{rules.REASON_DISCOUNT}'
-              ELSE CASE WHEN model_fraud THEN '{rules.REASON_MODEL}' END END AS reason,
+              ELSE CASE WHEN model_fraud THEN 'Das Modell hat einen möglichen Betrugsfall erkannt: ' || array_to_string(list_transform(
+                list_sort(list_transform(parts, lambda x: {{'k': -(x.v * x.w), 'f': x.f, 'v': x.v, 'w': x.w}})),
+                lambda x: printf('Merkmal %s hat den Wert %.2f (%.2f Einfluss)', x.f, x.v, CAST(x.v * x.w AS DOUBLE))), chr(10) || ' - ') END END AS reason,
     CASE rule WHEN 'missing_product' THEN '{rules.UNKNOWN_PRODUCT}' WHEN 'unscanned' THEN p3
               WHEN 'excluded_discount' THEN p4 END AS offending_products
   FROM screened
