@@ -27,23 +27,3 @@ def count_true(x: str | Column) -> Column:
 def any_true(x: str | Column) -> Column:
     """any() of an all-null group is false."""
     return F.coalesce(F.bool_or(_c(x)), F.lit(False))
-
-
-def max_bool(x: str | Column) -> Column:
-    """Max of booleans, null when every value is null."""
-    return F.max(_c(x))
-
-
-def min_bool(x: str | Column) -> Column:
-    """Min of booleans, null when every value is null."""
-    return F.min(_c(x))
-
-
-def isin_false(x: str | Column, values: list) -> Column:
-    """Membership with null -> false."""
-    return F.coalesce(_c(x).isin(values), F.lit(False))
-
-
-def safe_div(a: str | Column, b: str | Column) -> Column:
-    """Division, null instead of inf/NaN or an ANSI error."""
-    return F.try_divide(_c(a).cast("double"), _c(b).cast("double"))

@@ -78,11 +78,6 @@ def prefix_count(grid: Sequence[float], positive_at: Callable[[Column], Column],
     return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), init, step_fn, lambda acc: acc["lo"])
 
 
-def grid_frame(spark: SparkSession, grid: Sequence[float], name: str = "t") -> DataFrame:
-    """The grid as a small frame (idx, value); size = len(grid), a parameter."""
-    return spark.createDataFrame([(i, float(v)) for i, v in enumerate(grid)], f"idx int, {name} double")
-
-
 def suffix_totals(buckets: DataFrame, n: int, key: str, sums: Sequence[str]) -> DataFrame:
     """From totals per bucket k (0..n) to S(i) = Σ_{k > i} and P(i) = Σ_{k <= i} for i in 0..n-1.
 

@@ -30,15 +30,6 @@ def _c(c: str | Column) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# ---------------------------------------------------------------- A1
-def count_rows(df: DataFrame) -> Column:
-    return F.count(F.lit(1))
-
-
-def count_keys(key: str) -> Column:
-    return F.count_distinct(F.col(key))
-
-
 # ---------------------------------------------------------------- A2 / W5
 def with_share(counts: DataFrame, count_col: str = "count", share_col: str = "proportion") -> DataFrame:
     """Share of the grand total, over already-aggregated rows."""
@@ -395,7 +386,3 @@ def union_all(dfs: Sequence[DataFrame]) -> DataFrame:
 def text_lengths(df: DataFrame, col: str) -> DataFrame:
     """distinct string lengths with counts."""
     return df.groupBy(F.char_length(F.col(col)).alias("length")).agg(F.count(F.lit(1)).alias("count"))
-
-
-def constant_string_schema() -> T.StructType:
-    return T.StructType([T.StructField("column", T.StringType())])

@@ -256,14 +256,5 @@ def feature_matrix(
     return j
 
 
-def category_flag_columns(df: DataFrame) -> list[str]:
-    known = {
-        "has_feedback", "has_voided", "has_unscanned", "has_age_restricted", "has_sold_by_weight",
-        "has_camera_detected_wrong_product", "has_camera_detected_wrong_product_high_certainty",
-        "has_positive_price_difference",
-    }
-    return [c for c in df.columns if c.startswith("has_") and c not in known]
-
-
 def union_all(dfs: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), dfs)

@@ -42,9 +42,9 @@ def assemble(cols: Sequence[str], out: str = FEATURES) -> VectorAssembler:
     return VectorAssembler(inputCols=list(cols), outputCol=out, handleInvalid="keep")
 
 
-def model_frame(df: DataFrame, cols: Sequence[str], key: str = "transaction_id") -> DataFrame:
-    """Numeric model input: nulls -> 0 (trees in Spark ML do not route NaN)."""
-    return df.select(key, "y", "damage", *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
+def model_frame(df: DataFrame, cols: Sequence[str], key: str = "transaction_id", keep: Sequence[str] = ()) -> DataFrame:
+    """Numeric model input: nulls -> 0 (trees in Spark ML do not route NaN); the columns ``keep`` go along."""
+    return df.select(key, "y", "damage", *keep, *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in cols])
 
 
 # ---------------------------------------------------------------- M1 / M7 / X2
@@ -115,27 +115,52 @@ def score(df: DataFrame, clf: PipelineModel, reg: PipelineModel | None = None, c
 
 
 # ---------------------------------------------------------------- M6
-def fit_combined(train: DataFrame, cols: Sequence[str], seed: int = 42, malus_factor: float = 1.3):
-    """M6: classifier + damage regressor + fitted malus (best V8 malus on train × factor)."""
+def fit_combined(train: DataFrame, cols: Sequence[str], seed: int = 42, malus_factor: float = 1.3, rows: str = "all"):
+    """M6: classifier + damage regressor + fitted malus (best V8 malus on train × factor).
+
+    The regressor learns from ``rows`` of the training set: from all of them
+    it predicts the expected damage, from "damage_only" the damage given one.
+    """
     clf = classifier_pipeline("decision_tree", cols, seed).fit(train)
-    reg = fit_regressor(train, cols, "damage_only", seed, max_iter=20)
+    reg = fit_regressor(train, cols, rows, seed, max_iter=20)
     s = score(train, clf, reg)
     best = V.best(V.malus_sweep(s)).first()
     return clf, reg, float(best["malus"]) * malus_factor
 
 
 # ---------------------------------------------------------------- M8
-def calibrate(scores: DataFrame, method: str = "sigmoid") -> DataFrame:
-    """M8: map out-of-fold scores to calibrated probabilities ('sigmoid', 'isotonic', 'none')."""
+def out_of_fold_scores(train: DataFrame, name: str, cols: Sequence[str], k: int = 3, seed: int = 42, key: str = "transaction_id") -> DataFrame:
+    """Scores of every training row by a model fitted on the folds it is not in."""
+    from tillsight.session import cut_lineage
+
+    fold = O.folds(train.withColumn("_s", F.col("y")), ["_s"], key, k, 1, seed).select(key, "fold")
+    base = cut_lineage(train.join(fold, key))
+    out = None
+    for f in range(k):
+        model = classifier_pipeline(name, cols, seed).fit(base.where(F.col("fold") != f))
+        part = score(base.where(F.col("fold") == f), model)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def calibrate(fitting: DataFrame, scores: DataFrame, method: str = "sigmoid") -> DataFrame:
+    """M8: ``scores`` with calibrated probabilities ('sigmoid', 'isotonic', 'none').
+
+    The map is fitted on ``fitting`` (p, y), out-of-fold scores of the training
+    rows, never on the rows it is applied to.  Equal scores are pooled before
+    the isotonic fit, whose last step is one task.
+    """
     if method == "none":
         return scores.withColumn("p_cal", F.col("p"))
     x = assemble(["p"], "pf").transform(scores)
+    fitting = fitting.groupBy("p").agg(F.avg("y").alias("y"), F.count(F.lit(1)).cast("double").alias("w")) if method == "isotonic" else fitting
+    learn = assemble(["p"], "pf").transform(fitting)
     if method == "sigmoid":
         m = LogisticRegression(featuresCol="pf", labelCol="y", regParam=0.0, predictionCol="_pred", probabilityCol="_prob",
-                               rawPredictionCol="_raw").fit(x)
+                               rawPredictionCol="_raw").fit(learn)
         return m.transform(x).withColumn("p_cal", proba("_prob")).drop("pf", "_pred", "_prob", "_raw")
     if method == "isotonic":
-        m = IsotonicRegression(featuresCol="pf", labelCol="y", predictionCol="p_cal").fit(x)
+        m = IsotonicRegression(featuresCol="pf", labelCol="y", predictionCol="p_cal", weightCol="w").fit(learn)
         return m.transform(x).drop("pf")
     raise ValueError(method)
 
@@ -198,10 +223,10 @@ def ablate(data: DataFrame, cols: Sequence[str], model: str = "decision_tree", k
 
 
 # ---------------------------------------------------------------- M13
-def train_final(data: DataFrame, cols: Sequence[str], path: str, seed: int = 42) -> tuple[PipelineModel, PipelineModel]:
-    """Fit classifier and regressor on all rows and persist them (Spark ML writer)."""
+def train_final(data: DataFrame, cols: Sequence[str], path: str, seed: int = 42, rows: str = "all") -> tuple[PipelineModel, PipelineModel]:
+    """Fit classifier and regressor on all rows (the latter on ``rows``) and persist them (Spark ML writer)."""
     clf = classifier_pipeline("decision_tree", cols, seed).fit(data)
-    reg = fit_regressor(data, cols, "damage_only", seed, max_iter=20)
+    reg = fit_regressor(data, cols, rows, seed, max_iter=20)
     clf.write().overwrite().save(f"{path}/classifier")
     reg.write().overwrite().save(f"{path}/regressor")
     return PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor")

@@ -4,8 +4,7 @@ The cascade runs on whole tables: the basket feature matrix is read once, the
 rule details that need line-level data (offending products, damages) are
 small aggregates of filtered lines, and the precedence (no lines -> missing
 product -> unscanned -> excluded discount -> model) is one ``CASE`` over
-co-partitioned rows, so nothing goes through the driver.  The single-rule
-functions (``rule_no_lines`` ...) remain for use on their own.
+co-partitioned rows, so nothing goes through the driver.
 """
 
 from __future__ import annotations
@@ -80,23 +79,6 @@ def remaining(features: DataFrame, decided: DataFrame) -> DataFrame:
 
 
 # ---------------------------------------------------------------- R1
-def rule_no_lines(tx: DataFrame, lines: DataFrame) -> DataFrame:
-    """Receipts without any line: fraud, probability unknown."""
-    return tx.join(lines.select(F.col("transaction_id").alias("id")).distinct(), "id", "left_anti").select(
-        F.col("id").alias("transaction_id"),
-        _result("no_lines", F.lit(True), F.lit(None), F.lit(None), F.lit(REASON_NO_LINES), F.lit(None)).alias("result"),
-    )
-
-
-# ---------------------------------------------------------------- R2
-def rule_missing(features: DataFrame) -> DataFrame:
-    """R2: a line whose product is unknown: fraud, p = 1, damage unknown."""
-    return features.where(F.col("has_missing")).select(
-        "transaction_id",
-        _result("missing_product", F.lit(True), F.lit(1.0), F.lit(None), F.lit(REASON_CAMERA), F.array(F.lit(UNKNOWN_PRODUCT))).alias("result"),
-    )
-
-
 # ---------------------------------------------------------------- R3 / J9
 def unscanned_lines(lines: DataFrame) -> DataFrame:
     """Lines the camera saw but nobody paid: voided, free, camera not 'similar'.
@@ -109,30 +91,6 @@ def unscanned_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def rule_unscanned(features: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
-    """Unscanned articles; damage = Σ price of the distinct offending products."""
-    hits = features.where(F.col("has_unscanned")).select("transaction_id")
-    ul = unscanned_lines(lines).join(hits, "transaction_id", "left_semi").select("transaction_id", "product_id")
-    listed = ul.groupBy("transaction_id").agg(
-        F.sort_array(F.collect_list(F.coalesce(F.col("product_id").cast("string"), F.lit("None")))).alias("products")
-    )
-    # Semi join on distinct ids — a product scanned twice counts once.
-    ids = ul.select("transaction_id", "product_id").where(F.col("product_id").isNotNull()).distinct()
-    damage = (
-        ids.join(products.select(F.col("id").alias("product_id"), "price"), "product_id", "inner")
-        .groupBy("transaction_id")
-        .agg(F.sum("price").alias("damage"))
-    )
-    out = hits.join(listed, "transaction_id", "left").join(damage, "transaction_id", "left")
-    return out.select(
-        "transaction_id",
-        _result(
-            "unscanned", F.lit(True), F.lit(1.0), F.coalesce(F.col("damage"), F.lit(0.0)), F.lit(REASON_CAMERA),
-            F.coalesce(F.col("products"), F.array().cast("array<string>")),
-        ).alias("result"),
-    )
-
-
 # ---------------------------------------------------------------- R4
 def discount_lines(lines: DataFrame, products: DataFrame, tx: DataFrame, excluded: DataFrame,
                    threshold: float = DISCOUNT_LINE_THRESHOLD) -> DataFrame:
@@ -154,21 +112,6 @@ def discount_lines(lines: DataFrame, products: DataFrame, tx: DataFrame, exclude
     return j.select("transaction_id", "product_id", "category", "price_difference")
 
 
-def rule_excluded_discount(features: DataFrame, lines: DataFrame, products: DataFrame, tx: DataFrame,
-                           excluded: DataFrame, threshold: float = DISCOUNT_LINE_THRESHOLD) -> DataFrame:
-    """Discount on an excluded category; only for baskets with a positive price difference."""
-    cand = features.where(F.col("has_positive_price_difference")).select("transaction_id")
-    dl = discount_lines(lines.join(cand, "transaction_id", "left_semi"), products, tx, excluded, threshold)
-    agg = dl.groupBy("transaction_id").agg(
-        F.sum("price_difference").alias("damage"),
-        F.sort_array(F.collect_list(S.offending_text("product_id", "category"))).alias("products"),
-    )
-    return agg.select(
-        "transaction_id",
-        _result("excluded_discount", F.lit(True), F.lit(1.0), F.col("damage"), F.lit(REASON_DISCOUNT), F.col("products")).alias("result"),
-    )
-
-
 # ---------------------------------------------------------------- model stand-in
 def fixed_linear_score(features: DataFrame) -> DataFrame:
     """Deterministic scorer (FIXTURES §4) used where a trained model would sit.
@@ -203,15 +146,6 @@ def decide(p: str | Column, damage: str | Column, cost_fp: float = 10.0, gain_tp
     return pc > F.lit(cost_fp) / (F.lit(gain_tp) + F.lit(cost_fp) + dc)
 
 
-def model_results(scored: DataFrame, cost_fp: float = 10.0, gain_tp: float = 5.0) -> DataFrame:
-    fraud = decide("p", "damage_pred", cost_fp, gain_tp)
-    return scored.select(
-        "transaction_id",
-        _result("model", fraud, F.col("p"), F.col("damage_pred"),
-                F.when(fraud, F.lit(REASON_MODEL)), F.lit(None)).alias("result"),
-    )
-
-
 # ---------------------------------------------------------------- R5
 def unscanned_details(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Per basket with unscanned candidates: whether the 3-valued rule can fire, offending ids, damage.

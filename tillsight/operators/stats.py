@@ -284,7 +284,3 @@ def residual_checks(df: DataFrame, resid: str, x: str) -> DataFrame:
         (n * F.col("_r2")).alias("bp_lm"), g1.alias("skewness"), (b2 - 3).alias("excess_kurtosis"),
         zs.alias("z_skew"), zk.alias("z_kurt"), k2.alias("k2"), F.exp(-k2 / 2).alias("k2_p_value"),
     ).withColumn("bp_p_value", chi2_p(F.col("bp_lm"), F.lit(1.0)))
-
-
-def significance_label(p: str | Column) -> Column:
-    return S.significance(p)

@@ -194,8 +194,3 @@ def feature_sql(body: str, extra_ctes: str = "") -> str:
     if extra_ctes:
         ctes += "," + extra_ctes
     return "WITH " + ctes + "\n" + body
-
-
-def round_cols(cols: list[str], digits: int = 4, alias: str = "") -> str:
-    pre = f"{alias}." if alias else ""
-    return ", ".join(f"ROUND({pre}{c}, {digits}) AS {c}" for c in cols)

@@ -29,7 +29,7 @@ def _data(spark, sf_dir):
     fm = features(spark, sf_dir).where(F.col("label").isin("FRAUD", "NORMAL"))
     fm = fm.withColumn("y", (F.col("label") == "FRAUD").cast("int")).withColumn("is_cash", (F.col("payment_medium") == "CASH").cast("int"))
     fm = fm.withColumn("damage", F.coalesce(F.col("damage"), F.lit(0.0))).withColumn("_s", F.col("label"))
-    data = ML.model_frame(fm, MODEL_COLS).join(fm.select("transaction_id", "_s"), "transaction_id")
+    data = ML.model_frame(fm, MODEL_COLS, keep=("_s",))
     split = O.split(data, ["_s"], "transaction_id", 0.2, 42)
     return data.drop("_s"), split.where(F.col("split") == "train").drop("_s", "split"), split.where(F.col("split") == "test").drop("_s", "split")
 
@@ -62,12 +62,13 @@ def q_combined(spark, sf_dir):
 
 @register("calibration_methods")
 def q_calibration(spark, sf_dir):
-    """M8 + V16: tree scores calibrated by sigmoid / isotonic / none, Brier score each."""
+    """M8 + V16: tree scores calibrated by sigmoid / isotonic / none on out-of-fold scores, Brier score each on the test split."""
     _, train, test = _data(spark, sf_dir)
+    fitting = ML.out_of_fold_scores(train, "decision_tree", MODEL_COLS)
     s = ML.score(test, ML.classifier_pipeline("decision_tree", MODEL_COLS).fit(train))
     out = None
     for m in ("none", "sigmoid", "isotonic"):
-        c = ML.calibrate(s, m).select("y", F.col("p_cal").alias("p"))
+        c = ML.calibrate(fitting, s, m).select("y", F.col("p_cal").alias("p"))
         b = V.brier(c).select(F.lit(m).alias("method"), "brier")
         out = b if out is None else out.unionByName(b)
     return finish(out)
