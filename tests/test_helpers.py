@@ -76,3 +76,19 @@ def test_exact_quantiles_match_numpy(spark):
     whole = exact_quantiles(df, "x", [0.5], names=["median"]).first()["median"]
     allv = np.array([x for _, x in rows if x is not None])
     assert math.isclose(whole, float(np.quantile(allv, 0.5)))
+
+
+def test_buckets_stand_outliers_and_frequent_values(spark):
+    """One value far off and one on 95 % of the rows: no bucket holds much more than its share of the distinct values."""
+    import numpy as np
+
+    from tillsight.functions.quantiles import bucket_bounds, bucket_of, exact_quantiles
+
+    values = [float(i) for i in range(2000)] + [1e9] + [7.0] * 40000
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    distinct = df.distinct()
+    bounds = distinct.agg(bucket_bounds("x", 64).alias("b")).first()["b"]
+    sizes = distinct.groupBy(bucket_of(F.col("x"), F.array(*map(F.lit, bounds)), 64).alias("b")).count().collect()
+    assert len(sizes) == 64 and max(r["count"] for r in sizes) <= 3 * 2001 / 64
+    got = exact_quantiles(df, "x", [0.01, 0.5, 0.99, 1.0], names=["a", "b", "c", "d"]).first()
+    assert [got[n] for n in "abcd"] == [float(np.quantile(values, p)) for p in (0.01, 0.5, 0.99, 1.0)]

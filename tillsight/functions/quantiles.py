@@ -6,9 +6,10 @@ value in a single task.  Here:
 
 1. rows are counted per (group, distinct value) with map-side partial
    aggregation;
-2. distinct values are spread over value-range buckets per group; bucket
-   totals give running offsets (a window over ≤ groups × buckets rows,
-   broadcast back);
+2. distinct values are spread over buckets per group, cut at approximate
+   quantiles of the distinct values, so neither outliers nor frequent values
+   fill one bucket; bucket totals give running offsets (a window over
+   ≤ groups × buckets rows, broadcast back);
 3. a window partitioned by (group, bucket) gives, for every distinct value,
    the number of rows below it;
 4. the two ranks around p·(n − 1) are picked by a per-row predicate in one
@@ -21,10 +22,22 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def bucket_bounds(value: str | Column, buckets: int) -> Column:
+    """Aggregate: at most ``buckets`` - 1 ascending cut points with about as many of the group's rows between any two."""
+    points = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    return F.percentile_approx(value, points, F.lit(20 * buckets))
+
+
+def bucket_of(value: Column, bounds: Column, buckets: int) -> Column:
+    """Number of cut points below ``value``, by bisection; a null ``bounds`` is one bucket."""
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(buckets.bit_length()))])
+    return F.aggregate(steps, F.lit(0), lambda i, s: F.when(F.get(bounds, i + s - 1) < value, i + s).otherwise(i))
+
+
 def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (),
                     names: Sequence[str] | None = None, buckets: int = 1024) -> DataFrame:
     """One row per group: ``by`` columns + one double column per probability."""
@@ -32,17 +45,13 @@ def exact_quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequenc
     names = list(names) if names else [f"q{int(round(p * 100))}" for p in probs]
     x = F.col(col).cast("double")
     counts = df.where(x.isNotNull()).groupBy(*by, x.alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
-    stats = [F.sum("_c").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")]
+    stats = [F.sum("_c").alias("_n"), bucket_bounds("_v", buckets).alias("_bounds")]
     if by:
         c = counts.join(F.broadcast(counts.groupBy(*by).agg(*stats)), by)  # one row per group
     else:  # one global group: a single struct scalar subquery
         g0 = counts.agg(F.struct(*stats)).scalar()
-        c = counts.select("*", g0["_n"].alias("_n"), g0["_lo"].alias("_lo"), g0["_hi"].alias("_hi"))
-    width = F.col("_hi") - F.col("_lo")
-    c = c.withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col("_v") - F.col("_lo")) / width * F.lit(buckets)), F.lit(buckets - 1)))
-        .otherwise(F.lit(0)).cast("int"),
-    )
+        c = counts.select("*", g0["_n"].alias("_n"), g0["_bounds"].alias("_bounds"))
+    c = c.withColumn("_b", bucket_of(F.col("_v"), F.col("_bounds"), buckets)).drop("_bounds")
     tot = c.groupBy(*by, "_b").agg(F.sum("_c").alias("_nb"))
     prior = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     off = tot.select(*by, "_b", F.coalesce(F.sum("_nb").over(prior), F.lit(0)).alias("_off"))  # ≤ groups × buckets rows

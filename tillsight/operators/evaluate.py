@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.functions.quantiles import bucket_bounds, bucket_of
 from tillsight.functions import scalar as S
 from tillsight.functions.nulls import sum0
 from tillsight.functions.sweep import prefix_count, suffix_totals
@@ -118,17 +119,16 @@ def cumulative_by_score(df: DataFrame, score: str = "p", y: str = "y", buckets:
     """Cumulative TP/FP for 'flag when score >= s', one row per distinct score.
 
     No single ordered window over all scores: distinct scores are spread over
-    buckets of the probability range (bucket 0 = highest scores; values
-    outside [0, 1] fall into the edge buckets — any monotone bucketing keeps
-    the running sums exact), bucket totals give running offsets and class
+    buckets cut at approximate quantiles of the distinct scores (any monotone
+    bucketing keeps the running sums exact), bucket totals give running offsets and class
     totals (windows over ≤ ``buckets`` rows, broadcast back), and the running
     sum inside each bucket is a window partitioned by bucket.
     """
     sc = score_counts(df, score, y)
-    b = F.least(F.greatest(F.floor((F.lit(1.0) - F.col("score")) * F.lit(buckets)), F.lit(0)), F.lit(buckets - 1)).cast("int")
-    sc = sc.withColumn("_b", b)
+    sc = sc.withColumn("_bounds", sc.agg(bucket_bounds("score", buckets)).scalar())
+    sc = sc.withColumn("_b", bucket_of(F.col("score"), F.col("_bounds"), buckets)).drop("_bounds")
     tot = sc.groupBy("_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
     every = Window.partitionBy()
     off = tot.select(
         "_b",

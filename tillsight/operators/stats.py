@@ -21,6 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tillsight.functions.quantiles import bucket_bounds, bucket_of
 from tillsight.functions import scalar as S
 from tillsight.functions.special import chi2_p, t_p
 
@@ -174,12 +175,9 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def average_ranks(long: DataFrame, feature: str = "feature", value: str = "value", buckets: int = 1024) -> DataFrame:
     """Exact average (tie-aware) ranks of ``value`` within each feature, no global window."""
     counts = long.groupBy(feature, value).agg(F.count(F.lit(1)).alias("_cnt"))
-    mm = counts.groupBy(feature).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))  # one row per feature
-    c = counts.join(F.broadcast(mm), feature)
-    width = F.col("_hi") - F.col("_lo")
-    c = c.withColumn(
-        "_b", F.when(width > 0, F.least(F.floor((F.col(value) - F.col("_lo")) / width * F.lit(buckets)), F.lit(buckets - 1))).otherwise(F.lit(0)).cast("int")
-    )
+    cuts = counts.groupBy(feature).agg(bucket_bounds(value, buckets).alias("_bounds"))  # one row per feature
+    c = counts.join(F.broadcast(cuts), feature)
+    c = c.withColumn("_b", bucket_of(F.col(value), F.col("_bounds"), buckets)).drop("_bounds")
     btot = c.groupBy(feature, "_b").agg(F.sum("_cnt").alias("_nb"))
     prior = Window.partitionBy(feature).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     boff = btot.select(feature, "_b", F.coalesce(F.sum("_nb").over(prior), F.lit(0)).alias("_off"))  # ≤ features × buckets rows
