@@ -70,7 +70,7 @@ def split_text(text: pa.Array | pa.ChunkedArray) -> tuple[bytes, np.ndarray]:
     return (data.slice(start, end - start).to_pybytes() if data is not None and end > start else b""), offsets - start
 
 
-def byte_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def byte_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """The same rows in slices whose ``column`` holds about ``max_bytes``, or one row if that is longer."""
     for batch in batches:
         n = len(batch)

@@ -39,6 +39,8 @@ MAX_TRAINING_ROWS = 20_000
 MIN_Z = 4.0
 THRESHOLD = 0.7
 REG = 1e-3
+#: The fit's many short jobs run over this few partitions of the bounded sample.
+FIT_TASKS = 4
 
 
 def _hits(text: pa.Array, used: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +100,7 @@ class ToxicityModel:
                 parts = [model.scores(part.column("text")) for part in byte_slices(iter([table]), "text")]
                 yield pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
-        return F.pandas_udf(run, "double", F.PandasUDFType.SCALAR_ITER)(text)
+        return F.pandas_udf(run, "double")(text)
 
 
 def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows: int = MAX_TRAINING_ROWS) -> ToxicityModel:
@@ -126,22 +128,24 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
     place = np.zeros(1 << HASH_BITS, np.int32)
     place[feature] = np.arange(len(feature))
 
-    def vectors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            row, hit = _hits(pa.array(frame["text"], pa.large_string(), from_pandas=True), used)
-            cuts = np.searchsorted(row, np.arange(len(frame) + 1))
-            yield pd.DataFrame(
-                {
-                    "label": frame["label"].astype(float),
-                    "index": [place[hit[s:e]].tolist() for s, e in zip(cuts, cuts[1:])],
-                    "value": [ratio[place[hit[s:e]]].tolist() for s, e in zip(cuts, cuts[1:])],
-                }
+    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            row, hit = _hits(batch.column("text"), used)
+            at = place[hit]
+            cuts = pa.array(np.searchsorted(row, np.arange(len(batch) + 1)).astype(np.int32))
+            yield pa.record_batch(
+                [
+                    batch.column("label").cast(pa.float64()),
+                    pa.ListArray.from_arrays(cuts, pa.array(at)),
+                    pa.ListArray.from_arrays(cuts, pa.array(ratio[at])),
+                ],
+                names=["label", "index", "value"],
             )
 
     size = len(feature)
     to_vector = F.udf(lambda i, v: SparseVector(size, i, v), VectorUDT())  # one call a training row
-    train = sample.mapInPandas(vectors, "label double, index array<int>, value array<double>")
-    train = written(train, "toxic-features").select("label", to_vector("index", "value").alias("features"))
+    train = sample.mapInArrow(vectors, "label double, index array<int>, value array<double>")
+    train = written(train, "toxic-features").coalesce(FIT_TASKS).select("label", to_vector("index", "value").alias("features"))
     fitted = LogisticRegression(maxIter=60, regParam=REG, standardization=False, aggregationDepth=2).fit(train)
     weights[feature] = fitted.coefficients.toArray() * ratio
     return ToxicityModel(weights, fitted.intercept)
@@ -150,7 +154,15 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
 def scored(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row of ``documents``."""
     model = fit(documents, labels)
-    rows = documents.select("doc_id", held_out().alias("held_out"), model.score(F.col("text")).alias("score"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in byte_slices(batches, "text"):
+            yield pa.record_batch([batch.column("doc_id"), pa.array(model.scores(batch.column("text")))], names=["doc_id", "score"])
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    rows = documents.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, score double").select(
+        "doc_id", held_out().alias("held_out"), "score"
+    )
     return rows.withColumn("predicted", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).cast(T.IntegerType()))
 
 
