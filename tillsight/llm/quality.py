@@ -34,6 +34,8 @@ MAX_TRAINING_ROWS = 20_000
 TREES = 24
 DEPTH = 4
 LASSO = 1e-3
+#: The fits' many short jobs run over this few partitions of the bounded sample.
+FIT_TASKS = 4
 THRESHOLD = 0.5
 
 #: Shares of a text's bytes by kind, then shares of its words and lines.
@@ -150,13 +152,13 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "quality", max_row
     n0, n1 = sizes.get(0.0, 0), sizes.get(1.0, 0)
     if not n0 or not n1:
         return RuleEnsemble([], math.log((n1 + 1) / (n0 + 1)))
-    points = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample).select("label", "features")
+    points = VectorAssembler(inputCols=list(STATISTICS), outputCol="features").transform(sample).select("label", "features").coalesce(FIT_TASKS)
     forest = RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, subsamplingRate=0.7, featureSubsetStrategy="sqrt", seed=7).fit(points)
     rules = tree_rules(forest)
     if not rules:
         return RuleEnsemble([], math.log(n1 / n0))
     met = sample.select("label", F.array(*map(condition, rules)).alias("met"))
-    met = written(met, "quality-rules").select("label", array_to_vector("met").alias("features"))
+    met = written(met, "quality-rules").coalesce(FIT_TASKS).select("label", array_to_vector("met").alias("features"))
     lasso = LogisticRegression(maxIter=100, regParam=LASSO, elasticNetParam=1.0).fit(met)
     weights = lasso.coefficients.toArray()
     return RuleEnsemble([(r, float(w)) for r, w in zip(rules, weights) if w != 0], float(lasso.intercept))
@@ -181,7 +183,7 @@ def statistics_struct(text: Column) -> Column:
             ]
             yield pd.DataFrame(np.concatenate(values) if values else np.zeros((0, len(STATISTICS))), columns=list(STATISTICS))
 
-    return F.pandas_udf(run, ", ".join(f"{s} double" for s in STATISTICS), F.PandasUDFType.SCALAR_ITER)(text)
+    return F.pandas_udf(run, ", ".join(f"{s} double" for s in STATISTICS))(text)
 
 
 def clean(documents: DataFrame, labels: DataFrame) -> DataFrame:
