@@ -43,7 +43,7 @@ from tillsight.session import ensure_checkpoint_dir
 
 WIDTH = 200
 GRAM = 40
-HOT = 20_000
+HOT = 150_000
 #: Starts of a very long text that are looked at together; positions fit into 20 bits.
 CHUNK = 1 << 19
 BLOCK_ROWS = 30_000
@@ -269,11 +269,8 @@ def spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     anchors = written(
         texts.mapInArrow(_anchor_batches, "k1 long, k2 long, gram long, pos int, least smallint, largest smallint"), "anchors"
     )
-    again = (
-        anchors.groupBy("gram")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where("n > 1")
-    )
+    # written, so that the join below meets plain shuffles, whose hot partitions Spark splits
+    again = written(anchors.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "recurring")
     place = F.struct("gram", "pos", F.col("least").cast("int").alias("least"), F.col("largest").cast("int").alias("largest"), "n")
     of_text = anchors.join(again, "gram").groupBy(*KEYS).agg(F.collect_list(place).alias("anchors"))  # a text's own anchors
     met = texts.join(of_text, KEYS)
@@ -286,7 +283,7 @@ def spans(texts: DataFrame, hot: int = HOT) -> DataFrame:
     )
     solved = written(solved, "offsets")
     if not again.where(F.col("n") > hot).isEmpty():
-        solved = solved.union(written(_hot_offsets(around.where(F.col("n") > hot)), "offsets-hot"))
+        solved = solved.union(written(_hot_offsets(written(around.where(F.col("n") > hot), "hot")), "offsets-hot"))
     placed = met.mapInArrow(_context_batches(False), "gram long, kind long, k1 long, k2 long, pos int").join(solved, ["gram", "kind"])
     span = F.struct((F.col("pos") - F.col("last")).alias("start"), (F.col("pos") - F.col("first") + WIDTH).alias("end"))
     return placed.groupBy(*KEYS).agg(F.collect_list(span).alias("spans"))
