@@ -39,7 +39,7 @@ from tillsight.llm.components import components
 
 COSINE = 0.98
 REGION = 20_000
-SHARD = 1_500
+SHARD = 400
 DEGREE = 24
 BEAM = 40
 ALPHA = 1.2
