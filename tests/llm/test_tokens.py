@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import zlib
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -110,3 +111,44 @@ def test_backoff_defined_cases(spark):
     want = [np.log(a / n), np.log(2 / a), np.log(0.4 * a / n), np.log(2 / a)]
     assert abs(got[1].score - np.mean(want)) < 1e-12
     assert backoff.scores(df.limit(0)).count() == 0
+
+
+def plain_backoff(rows):
+    """Scores by counting every word and bigram in dictionaries; ids are unique."""
+    words = {d: t.lower().encode().split() for d, t in rows}
+    uni, big = Counter(), Counter()
+    for w in words.values():
+        uni.update(w)
+        big.update(zip(w, w[1:]))
+    total = sum(uni.values())
+    out = {}
+    for d, w in words.items():
+        own, seen, logs = Counter(zip(w, w[1:])), 0, [np.log(uni[x] / total) for x in w[:1]]
+        for pair in zip(w, w[1:]):
+            left = big[pair] - own[pair]
+            seen += left > 0
+            logs.append(np.log(left / uni[pair[0]]) if left else np.log(0.4 * uni[pair[1]] / total))
+        out[d] = (len(w), seen, float(np.mean(logs)))
+    return out
+
+
+def test_backoff_counts_every_word_of_a_large_vocabulary(spark):
+    # 205,000 words of two documents each and a filler that puts them below one in 200,000
+    rows = [(i, " ".join(f"w{j}é" for j in range(50 * i, 50 * i + 50))) for i in range(4100)]
+    rows += [(10_000 + i, t + " end") for i, t in rows]
+    rows += [(20_000 + i, "the of the of " * 20) for i in range(1000)] + [(30_000 + i, "the of w1é w2é x") for i in range(20)]
+    want = plain_backoff(rows)
+    got = {r.doc_id: r for r in backoff.scores(spark.createDataFrame(rows, DOCS)).collect()}
+    assert set(got) == set(want)
+    for d, (n, seen, score) in want.items():
+        assert (got[d].n_words, got[d].n_seen) == (n, seen) and abs(got[d].score - score) < 1e-9
+
+
+def test_backoff_does_not_depend_on_where_counts_are_looked_up(spark):
+    rng = random.Random(2)
+    rows = [(i, " ".join(f"v{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    want = plain_backoff(rows)
+    df = spark.createDataFrame(rows, DOCS)
+    for share, hot in ((2.0, 2.0), (0.01, 0.05), (0.001, 0.001), (0.0, 2.0)):
+        got = {r.doc_id: r for r in backoff.scores(df, share=share, hot=hot).collect()}
+        assert all((got[d].n_words, got[d].n_seen) == v[:2] and abs(got[d].score - v[2]) < 1e-9 for d, v in want.items())

@@ -1,23 +1,30 @@
 """LM scoring by stupid backoff over word bigrams of the corpus itself (operator 9).
 
-Words are lower-cased and split at ASCII white space.  The vocabulary holds
-the words that make up at least ``SHARE`` of all words, so it has at most
-1 / SHARE entries whatever the corpus; other words are one unknown word.  With
-c the count over all documents, N the number of words, and c' the count over
-all documents but the scored one:
+Words are lower-cased and split at ASCII white space.  Every word and every
+bigram of the corpus counts, however rare.  With c the count over all
+documents, N the number of words, and c' the count over all documents but the
+scored one:
 
-    S(w2 | w1) = c'(w1 w2) / c(w1)     where c'(w1 w2) > 0, both words known
+    S(w2 | w1) = c'(w1 w2) / c(w1)     where c'(w1 w2) > 0
     S(w2 | w1) = ALPHA * c(w2) / N     otherwise
     S(w)       = c(w) / N              for the first word
 
-A document's score is the mean of ln S over its words.  Bigrams leave a task
-as one row per document and bigram; the count table is built from them by
-partial sums, and both sides meet partitioned by bigram.  A frequent bigram's
-rows are split by the adaptive skew join, and each document's parts are added
-up where they lie before they are sent to it.
+A document's score is the mean of ln S over its words.  Where a count is looked
+up depends on how frequent the word is, what is counted does not:
+
+* words that make up at least ``SHARE`` of all words, at most 1 / SHARE, have
+  their count broadcast and are named by a small id;
+* the others are named by 63 bits of their XXH64 hash (negative), and a
+  document's ln c of them is joined in by word;
+* bigrams of two words of at least ``HOT`` each, at most 1 / HOT^2, are counted
+  by partial sums and the counts broadcast;
+* the others meet partitioned by bigram, in one shuffle.  At least one of their
+  words is below HOT, so no such bigram has more than HOT of all rows.
 
 Defined cases: null text is empty; a document without words has n_words 0 and a
-null score; rows that share an id (null included) are one document.
+null score; rows that share an id (null included) are one document; words below
+SHARE whose 63 bits are equal are one word (two in 10^4 corpora of 5 * 10^7
+distinct words).
 """
 
 from __future__ import annotations
@@ -27,14 +34,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.llm.common import byte_slices, written
 
 SHARE = 1 / 200_000
+HOT = 1 / 1_000
 ALPHA = 0.4
-_WORD_BITS = 24
+_SIGN = -(1 << 63)
 
 
 def word_counts(documents: DataFrame) -> DataFrame:
@@ -43,72 +52,98 @@ def word_counts(documents: DataFrame) -> DataFrame:
     return documents.select(F.explode(words).alias("word")).where("word != ''").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _count_bigrams(vocabulary, known: np.ndarray, total: int, alpha: float):
-    """Rows of a document: one (key null) with its words and its score if every pair backed off, one for each known bigram."""
+def _rare(word: bytes) -> int:
+    """Name of a word without an id: its XXH64 as Spark computes it, sign bit set."""
+    return (xxhash.xxh64_intdigest(word, 42) & ~_SIGN) + _SIGN
+
+
+def _count_words(vocabulary, known: np.ndarray, total: int, alpha: float):
+    """Rows of a document: one (w1 null) with its words and its score if every pair backed off, less ln c of rare words;
+    one for each rare word (w2 null); one for each bigram."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids: dict[str, int] = vocabulary.value
-        unknown = len(known) - 1  # the last count is that of all unknown words
-        logs = np.log(np.maximum(known, 1) / total)
+        ids: dict[bytes, int] = vocabulary.value
+        logs = np.log(known)
         for batch in byte_slices(batches, "text"):
-            doc, key, n, base = [], [], [], []
+            doc, w1, w2, n, base = [], [], [], [], []
+            hashed: dict[bytes, int] = {}
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                words = np.array([ids.get(w.decode(), unknown) for w in text.encode().split()], np.int64)
-                doc.append(doc_id)
-                key.append(None)
-                n.append(len(words))
-                base.append(float(logs[words].sum() + max(0, len(words) - 1) * math.log(alpha)))
+                names = []
+                for w in text.encode().split():
+                    name = ids.get(w)
+                    if name is None:
+                        name = hashed.get(w)
+                        if name is None:
+                            name = hashed[w] = _rare(w)
+                    names.append(name)
+                words = np.array(names, np.int64)
+                rare, times = np.unique(words[words < 0], return_counts=True)
                 first, second = words[:-1], words[1:]
-                both = (first != unknown) & (second != unknown)
-                pairs, counts = np.unique(first[both] << _WORD_BITS | second[both], return_counts=True)
-                doc += [doc_id] * len(pairs)
-                key += pairs.tolist()
-                n += counts.tolist()
-                base += [None] * len(pairs)
-            yield pa.record_batch(
-                [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int64()), pa.array(base, pa.float64())],
-                names=["doc_id", "key", "n", "base"],
-            )
+                order = np.lexsort((second, first))
+                first, second = first[order], second[order]
+                starts = np.flatnonzero(np.concatenate((np.ones(min(1, len(first)), bool), (first[1:] != first[:-1]) | (second[1:] != second[:-1]))))
+                doc += [doc_id] * (1 + len(rare) + len(starts))
+                w1 += [None, *rare.tolist(), *first[starts].tolist()]
+                w2 += [None] * (1 + len(rare)) + second[starts].tolist()
+                n += [len(words), *times.tolist(), *np.diff(np.append(starts, len(first))).tolist()]
+                backed_off = logs[words[words >= 0]].sum() - len(words) * math.log(total) + max(0, len(words) - 1) * math.log(alpha)
+                base += [float(backed_off)] + [None] * (len(rare) + len(starts))
+            longs = [pa.array(column, pa.int64()) for column in (doc, w1, w2, n)]
+            yield pa.record_batch([*longs, pa.array(base, pa.float64())], names=["doc_id", "w1", "w2", "n", "base"])
 
     return run
 
 
-def scores(documents: DataFrame, share: float = SHARE, alpha: float = ALPHA) -> DataFrame:
+def scores(documents: DataFrame, share: float = SHARE, alpha: float = ALPHA, hot: float = HOT) -> DataFrame:
     """(doc_id, n_words, n_seen, score): n_seen of its bigrams also occur in other documents."""
     spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     counts = written(word_counts(docs), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
-    # at most 1 / share rows
-    entries = counts.where(F.col("n") >= share * total).orderBy("word").collect() if total else []
-    known = np.array([r["n"] for r in entries] + [total - sum(r["n"] for r in entries)], np.int64)
-    vocabulary = spark.sparkContext.broadcast({r["word"]: i for i, r in enumerate(entries)})
+    # at most 1 / share rows, the most frequent first: ids below ``n_hot`` are the hot words
+    entries = counts.where(F.col("n") >= share * total).orderBy(F.desc("n"), "word").collect() if total else []
+    known = np.array([r["n"] for r in entries], np.int64)
+    n_hot = int((known >= hot * total).sum())
+    vocabulary = spark.sparkContext.broadcast({r["word"].encode(): i for i, r in enumerate(entries)})
     lowered = docs.withColumn("text", F.lower("text"))
     rows = written(
-        lowered.mapInArrow(_count_bigrams(vocabulary, known, max(total, 1), alpha), "doc_id long, key long, n long, base double"),
+        lowered.mapInArrow(_count_words(vocabulary, known, max(total, 1), alpha), "doc_id long, w1 long, w2 long, n long, base double"),
         "bigrams",
     )
-    pairs = rows.where("key is not null").select("doc_id", "key", "n")
-    table = pairs.groupBy("key").agg(F.sum("n").alias("times"), F.count(F.lit(1)).alias("docs")).where("docs > 1").select("key", "times")
-    # the vocabulary's counts, at most 1 / share rows
-    sizes = spark.createDataFrame([(i, int(c)) for i, c in enumerate(known[:-1])], "id int, words long")
-    first, second = sizes.toDF("id1", "c1"), sizes.toDF("id2", "c2")
-    gain = F.log(F.col("times") - F.col("n")) - F.log(F.lit(alpha) * F.col("c1") * F.col("c2") / F.lit(float(max(total, 1))))
+    pairs = rows.where("w2 is not null").select("doc_id", "w1", "w2", "n")
+    is_hot = F.col("w1").between(0, n_hot - 1) & F.col("w2").between(0, n_hot - 1)
+    # at most 1 / hot^2 rows
+    table = pairs.where(is_hot).groupBy("w1", "w2").agg(F.sum("n").alias("times"))
+    frequent = pairs.where(is_hot).join(F.broadcast(table), ["w1", "w2"])
+    others = pairs.where(~is_hot).withColumn("times", F.sum("n").over(Window.partitionBy("w1", "w2")))
+    columns = ["doc_id", "w1", "w2", "n", "times"]
+    seen_frequent, seen_others = (x.where("times > n").select(*columns) for x in (frequent, others))
+    # the vocabulary's ln c, at most 1 / share rows
+    sizes = spark.createDataFrame([(i, float(x)) for i, x in enumerate(np.log(known))], "id long, log double")
+    first, second = sizes.toDF("w1", "log1"), sizes.toDF("w2", "log2")
+    gain = F.log(F.col("times") - F.col("n")) + F.lit(math.log(max(total, 1) / alpha))
+    gain -= F.coalesce("log1", F.lit(0.0)) + F.coalesce("log2", F.lit(0.0))
+    none = F.lit(0).cast("long")
     seen = (
-        pairs.join(table, "key")
-        .where("times > n")
-        .join(F.broadcast(first), F.shiftright("key", _WORD_BITS) == F.col("id1"))
-        .join(F.broadcast(second), F.col("key").bitwiseAND((1 << _WORD_BITS) - 1) == F.col("id2"))
-        .select("doc_id", F.lit(0).cast("long").alias("n_words"), F.col("n").alias("n_seen"), (F.col("n") * gain).alias("part"))
+        seen_frequent.union(seen_others)
+        .join(F.broadcast(first), "w1", "left")
+        .join(F.broadcast(second), "w2", "left")
+        .select("doc_id", none.alias("n_words"), F.col("n").alias("n_seen"), (F.col("n") * gain).alias("part"))
     )
-    base = rows.where("key is null").select("doc_id", F.col("n").alias("n_words"), F.lit(0).cast("long").alias("n_seen"), F.col("base").alias("part"))
-    whole = seen.union(base.select(*seen.columns)).groupBy("doc_id").agg(
+    base = rows.where("w1 is null").select("doc_id", F.col("n").alias("n_words"), none.alias("n_seen"), F.col("base").alias("part"))
+    # ln c of rare words: added for each occurrence, taken off for either word of a seen bigram (as in gain)
+    own = rows.where("w1 is not null and w2 is null").select("doc_id", F.col("w1").alias("w"), "n")
+    # no filter on w1 or w2 here: it would go below the shuffle of ``others``, which both uses share
+    taken = seen_others.select("doc_id", F.explode(F.array("w1", "w2")).alias("w"), (-F.col("n")).alias("n")).where("w < 0")
+    rare = counts.where(F.col("n") < share * total).groupBy(F.xxhash64("word").bitwiseOR(F.lit(_SIGN)).alias("w")).agg(F.log(F.sum("n")).alias("log"))
+    below = own.union(taken).join(rare, "w").select("doc_id", none.alias("n_words"), none.alias("n_seen"), (F.col("n") * F.col("log")).alias("part"))
+    whole = seen.union(base).union(below).groupBy("doc_id").agg(
         F.sum("n_words").alias("n_words"), F.sum("n_seen").alias("n_seen"), F.sum("part").alias("part")
     )
     return whole.select("doc_id", "n_words", "n_seen", F.when(F.col("n_words") > 0, F.col("part") / F.col("n_words")).alias("score"))
 
 
-#: The same scores for tables whose ids are unique.
+#: The same scores for tables whose ids are unique and whose words all make up SHARE or more: the twin still pools rarer words.
 ORACLE = f"""
 WITH tok AS (
   SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[ \\t-\\r]+'), lambda x: x != '') AS w FROM documents
