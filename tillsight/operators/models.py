@@ -12,6 +12,7 @@ frame so lost executors recompute from the checkpoint.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -48,6 +49,9 @@ def model_frame(df: DataFrame, cols: Sequence[str], key: str = "transaction_id",
 
 
 # ---------------------------------------------------------------- M1 / M7 / X2
+FACTORY = ("logistic", "decision_tree", "random_forest", "boosted_trees", "naive_bayes")
+
+
 def make_classifier(name: str, seed: int = 42, weight_col: str | None = None):
     """M1 (+M7): classifier factory as (stages before the model, model)."""
     if name == "logistic":
@@ -95,7 +99,7 @@ SELECTORS: dict[str, Callable[[DataFrame], DataFrame]] = {
 
 # ---------------------------------------------------------------- M3
 def fit_regressor(df: DataFrame, cols: Sequence[str], selector: str = "damage_only", seed: int = 42,
-                  max_iter: int = 50, max_depth: int = 5) -> PipelineModel:
+                  max_iter: int = 100, max_depth: int = 5) -> PipelineModel:
     """M3: gradient-boosted damage regressor on the selected rows."""
     rows = SELECTORS[selector](df)
     pipe = Pipeline(stages=[assemble(cols), GBTRegressor(labelCol="damage", maxIter=max_iter, maxDepth=max_depth, seed=seed)])
@@ -122,7 +126,7 @@ def fit_combined(train: DataFrame, cols: Sequence[str], seed: int = 42, malus_fa
     it predicts the expected damage, from "damage_only" the damage given one.
     """
     clf = classifier_pipeline("decision_tree", cols, seed).fit(train)
-    reg = fit_regressor(train, cols, rows, seed, max_iter=20)
+    reg = fit_regressor(train, cols, rows, seed)
     s = score(train, clf, reg)
     best = V.best(V.malus_sweep(s)).first()
     return clf, reg, float(best["malus"]) * malus_factor
@@ -187,12 +191,16 @@ def search(train: DataFrame, valid: DataFrame, cols: Sequence[str], name: str, g
 # ---------------------------------------------------------------- M10 / M11
 def cross_validate(data: DataFrame, cols: Sequence[str], models: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 42,
                    key: str = "transaction_id") -> DataFrame:
-    """Repeated stratified k-fold CV; per (model, repeat, fold) metrics on the held-out fold."""
+    """Repeated stratified k-fold CV; per (model, repeat, fold) metrics on the held-out fold.
+
+    Each fold's metrics are one row and are read as soon as its model is fitted,
+    so that no plan holds the models of all folds.
+    """
     from tillsight.session import cut_lineage
 
     folds = O.folds(data.withColumn("_s", F.col("y")), ["_s"], key, k, repeats, seed)
     base = cut_lineage(data.join(folds, key, "inner"))
-    out = None
+    rows, schema = [], None
     for r in range(repeats):
         for f in range(k):
             train = base.where((F.col("repeat") == r) & (F.col("fold") != f))
@@ -200,8 +208,9 @@ def cross_validate(data: DataFrame, cols: Sequence[str], models: Sequence[str],
             for name in models:
                 model = classifier_pipeline(name, cols, seed).fit(train)
                 m = V.evaluate(score(test, model)).select(F.lit(name).alias("model"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "*")
-                out = m if out is None else out.unionByName(m)
-    return out
+                rows.append(tuple(m.first()))
+                schema = m.schema
+    return data.sparkSession.createDataFrame(rows, T.StructType([T.StructField(x.name, x.dataType) for x in schema.fields]))
 
 
 def compare_models(per_fold: DataFrame, metrics: Sequence[str] = ("precision", "recall", "f1", "mcc", "business_value")) -> DataFrame:
@@ -226,7 +235,7 @@ def ablate(data: DataFrame, cols: Sequence[str], model: str = "decision_tree", k
 def train_final(data: DataFrame, cols: Sequence[str], path: str, seed: int = 42, rows: str = "all") -> tuple[PipelineModel, PipelineModel]:
     """Fit classifier and regressor on all rows (the latter on ``rows``) and persist them (Spark ML writer)."""
     clf = classifier_pipeline("decision_tree", cols, seed).fit(data)
-    reg = fit_regressor(data, cols, rows, seed, max_iter=20)
+    reg = fit_regressor(data, cols, rows, seed)
     clf.write().overwrite().save(f"{path}/classifier")
     reg.write().overwrite().save(f"{path}/regressor")
     return PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor")
@@ -251,6 +260,14 @@ def logit_screen(train: DataFrame, test: DataFrame, x: str) -> DataFrame:
     )
 
 
+def logit_screens(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """``logit_screen`` of every column, one row each."""
+    from tillsight.session import cut_lineage
+
+    train, test = cut_lineage(train), cut_lineage(test)
+    return reduce(DataFrame.unionByName, [logit_screen(train, test, c) for c in cols])
+
+
 def reduce_model(df: DataFrame, target: str, cols: Sequence[str], p_threshold: float = 0.05, family: str = "gaussian") -> DataFrame:
     """Backward elimination by the largest p-value until all p < threshold (OLS or binomial GLM)."""
     spark = df.sparkSession

@@ -36,9 +36,9 @@ def _data(spark, sf_dir):
 
 @register("model_comparison_cv")
 def q_cv(spark, sf_dir):
-    """M1 + M7 + M10 + X2 + A34: 3-fold stratified CV of logistic, tree and naive Bayes; metric × statistic × model."""
+    """M1 + M7 + M10 + X2 + A34: stratified CV of the whole factory, 5 folds and 5 repeats; metric × statistic × model."""
     data, _, _ = _data(spark, sf_dir)
-    per_fold = ML.cross_validate(data, MODEL_COLS, ["logistic", "decision_tree", "naive_bayes"], k=3, repeats=1)
+    per_fold = ML.cross_validate(data, MODEL_COLS, ML.FACTORY, k=5, repeats=5)
     return finish(ML.compare_models(per_fold))
 
 
@@ -46,7 +46,7 @@ def q_cv(spark, sf_dir):
 def q_regressor(spark, sf_dir):
     """M3 + X1 + V13: GBT damage regressor on damage-only rows, metrics on the test split."""
     _, train, test = _data(spark, sf_dir)
-    reg = ML.fit_regressor(train, MODEL_COLS, "damage_only", max_iter=20)
+    reg = ML.fit_regressor(train, MODEL_COLS, "damage_only")
     pred = reg.transform(test).withColumnRenamed("prediction", "damage_pred")
     return finish(V.regression_metrics(pred))
 
@@ -83,9 +83,9 @@ def q_search(spark, sf_dir):
 
 @register("feature_ablation")
 def q_ablation(spark, sf_dir):
-    """Leave-one-feature-out value for three features."""
+    """Leave-one-feature-out value for every model column, 5 folds."""
     data, _, _ = _data(spark, sf_dir)
-    return finish(ML.ablate(data, MODEL_COLS[:3] + ["is_cash"], "decision_tree", k=3))
+    return finish(ML.ablate(data, MODEL_COLS, "decision_tree", k=5))
 
 
 @register("final_models")
@@ -98,9 +98,9 @@ def q_final(spark, sf_dir):
 
 @register("logit_screen")
 def q_logit(spark, sf_dir):
-    """Univariate logit pseudo-R², accuracy, separation flag."""
+    """Univariate logit pseudo-R², accuracy, separation flag of every model column."""
     _, train, test = _data(spark, sf_dir)
-    return finish(ML.logit_screen(train, test, "is_cash"))
+    return finish(ML.logit_screens(train, test, MODEL_COLS))
 
 
 @register("backward_elimination")
