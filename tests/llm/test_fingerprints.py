@@ -141,3 +141,15 @@ def test_minhash_edges(spark):
 def test_native_plan_of_op10(spark):
     plan = minhash.edited_fingerprints(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Cartesian|NestedLoop|SinglePartition", plan)
+
+
+def test_one_of_each_decides_by_row(spark):
+    rng = random.Random(9)
+    text = lambda: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(300))
+    x, y, z = text(), text(), text()
+    near = x.upper()
+    rows = [(3, x), (5, near), (5, y), (5, y), (None, z), (None, z.upper()), (None, z)]
+    for order in (rows, rows[::-1]):
+        got = [(r.doc_id, r.text) for r in simhash.one_of_each(spark.createDataFrame(order, DOCS)).collect()]
+        assert sorted(r for r in got if r[0] is not None) == [(3, x), (5, y)]
+        assert [r[0] for r in got].count(None) == 1

@@ -67,12 +67,18 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def _prints(batch: pa.RecordBatch) -> pa.Array:
+    return pa.array(np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in byte_slices(batches, "text"):
-        prints = [fingerprint(t) for t in batch.column("text").to_pylist()]
-        yield pa.record_batch(
-            [batch.column("doc_id"), pa.array(np.array(prints, np.uint64).view(np.int64))], names=["doc_id", "fp"]
-        )
+        yield pa.record_batch([batch.column("doc_id"), _prints(batch)], names=["doc_id", "fp"])
+
+
+def _marked_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in byte_slices(batches, "text"):
+        yield pa.record_batch([batch.column("doc_id"), _prints(batch), batch.column("mark")], names=["doc_id", "fp", "mark"])
 
 
 def fingerprints(documents: DataFrame) -> DataFrame:
@@ -134,12 +140,17 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, bands: int = BANDS)
     return met.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def _grouped(prints: DataFrame, max_bits: int) -> DataFrame:
+    """(fp, first_id, root) of each distinct fingerprint of ``prints`` (doc_id, fp): its smallest id and its component."""
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(near_pairs(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(documents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
     prints = written(fingerprints(documents), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(near_pairs(distinct.select("fp"), max_bits)).select(F.col("node").alias("fp"), "root")
-    grouped = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    grouped = _grouped(prints, max_bits)
     least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
     found = grouped.join(least, "root").select("fp", "component_id")
     return prints.join(found, "fp", "left").select(
@@ -148,11 +159,25 @@ def near_duplicates(documents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame
 
 
 def one_of_each(documents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
-    """The rows of ``documents`` that stay: of each component the document with the smallest id, once.
+    """The rows of ``documents`` that stay: of each component one row, that with the smallest id.
 
-    Documents without an id stay as they are, since no decision can name them.
+    Rows are told apart by id and text, so rows of one id may go or stay each
+    by itself; of equal id in a component, the smallest (fingerprint, XXH64 of
+    the text) stays.  Of the rows without an id, one of each component stays,
+    also beside a row with an id.
     """
-    key = scratch_name("key")
-    kept = near_duplicates(documents, max_bits).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    stay = documents.join(kept, documents["doc_id"].cast("long") == F.col(key), "left_semi").dropDuplicates(["doc_id"])
-    return stay.unionByName(documents.where(F.col("doc_id").isNull()))
+    key, mark = scratch_name("key"), scratch_name("mark")
+    rows = documents.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64("text"))
+    prints = written(
+        rows.select(F.col(key).alias("doc_id"), "text", F.col(mark).alias("mark")).mapInArrow(_marked_batches, "doc_id long, fp long, mark long"),
+        "fingerprints",
+    )
+    root = _grouped(prints, max_bits).select("fp", "root")
+    kept = (
+        prints.join(root, "fp")
+        .groupBy("root", F.col("doc_id").isNull())
+        .agg(F.min(F.struct("doc_id", "fp", "mark")).alias("row"))
+        .select(F.col("row.doc_id").alias("a"), F.col("row.mark").alias("b"))
+    )
+    stay = rows.join(kept, rows[key].eqNullSafe(kept["a"]) & (rows[mark] == kept["b"]), "left_semi")
+    return stay.dropDuplicates([key, mark]).drop(key, mark)
