@@ -1,6 +1,9 @@
-"""The registered model queries cover every model, fold and column."""
+"""The registered model queries cover every model, fold and column; the encoder's categories are bounded."""
+
+import pytest
 
 from tests.conftest import SF_SMALL
+from tillsight.operators import encode
 from tillsight.operators import models as ML
 from tillsight.plans import QUERIES
 from tillsight.plans.q_models import MODEL_COLS
@@ -37,3 +40,11 @@ def test_cross_validation_gives_a_row_for_each_fold(spark):
 
 def test_logit_screen_has_a_row_for_each_column(spark):
     assert sorted(r.feature for r in QUERIES["logit_screen"](spark, SF_SMALL).collect()) == sorted(MODEL_COLS)
+
+
+def test_a_column_of_ids_is_no_category(spark):
+    ids = spark.range(encode.MAX_CATEGORIES + 1).selectExpr("cast(id as string) as a", "cast(id % 3 as string) as b")
+    with pytest.raises(ValueError, match="values in a"):
+        encode.category_lists(ids, ["a", "b"])
+    least = encode.category_lists(ids.where("a != '0'"), ["a", "b"])
+    assert len(least["a"]) == encode.MAX_CATEGORIES and least["b"] == ["0", "1", "2"]
