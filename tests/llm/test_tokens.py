@@ -10,6 +10,7 @@ import duckdb
 import numpy as np
 import public_tokenizers
 import tiktoken
+from tokenizers import Tokenizer
 
 from tillsight.llm import backoff, bpe, packing, queries
 
@@ -152,3 +153,10 @@ def test_backoff_does_not_depend_on_where_counts_are_looked_up(spark):
     for share, hot in ((2.0, 2.0), (0.01, 0.05), (0.001, 0.001), (0.0, 2.0)):
         got = {r.doc_id: r for r in backoff.scores(df, share=share, hot=hot).collect()}
         assert all((got[d].n_words, got[d].n_seen) == v[:2] and abs(got[d].score - v[2]) < 1e-9 for d, v in want.items())
+
+
+def test_packing_gives_the_tokenizer_files_ids_for_added_tokens():
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    encode = packing.encoder(packing.VOCABULARY)
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "plain it's we'll 123", "<|endoftext| >", ""):
+        assert encode(text).tolist() == library.encode(text, add_special_tokens=False).ids

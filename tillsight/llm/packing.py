@@ -19,6 +19,7 @@ empty table gives no piece.
 from __future__ import annotations
 
 import base64
+import json
 import re
 import zlib
 from collections.abc import Iterator
@@ -113,16 +114,19 @@ def encoder(vocabulary: str):
     """text -> array of ids by a public vocabulary file: a rank file (tiktoken) or a tokenizer file (tokenizers)."""
     if vocabulary.endswith(".json"):
         tokenizer = Tokenizer.from_file(public_tokenizers.path(vocabulary))
-        tokenizer.encode_special_tokens = True
         return lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
     with open(public_tokenizers.path(vocabulary), "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
     own = tiktoken.Encoding("packing", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    name = vocabulary.rsplit(".", 1)[0] + ".json"
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        added = [t["content"] for t in json.load(file).get("added_tokens") or []]
     slow: list = []
 
     def encode(text: str) -> np.ndarray:
-        if len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):  # more than the pattern's recursion bears there
-            slow[:] = slow or [encoder(vocabulary.rsplit(".", 1)[0] + ".json")]
+        # added tokens are the tokenizer file's alone; a long run is more than the pattern's recursion bears
+        if any(t in text for t in added) or len(text) >= LONG_RUN and re.search(rf"\s{{{LONG_RUN}}}", text):
+            slow[:] = slow or [encoder(name)]
             return slow[0](text)
         return np.array(own.encode_ordinary(text), np.uint32)
 
