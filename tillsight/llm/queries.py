@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import backoff, bpe, graph_dedup, html_text, minhash, packing, quality, simhash, suffix_dedup, toxicity
+from tillsight.llm import backoff, bpe, graph_dedup, html_text, minhash, packing, quality, search, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -49,6 +49,10 @@ def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op13_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op5_host_suffix_array": op5_host_suffix_array,
     "op8_robust_pruned_graph": op8_robust_pruned_graph,
@@ -60,6 +64,7 @@ QUERIES = {
     "op3_nb_char_ngrams": op3_nb_char_ngrams,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
+    "op13_presence_masks": op13_presence_masks,
 }
 
-ORACLE: dict[str, str] = {"op9_stupid_backoff": backoff.ORACLE}
+ORACLE: dict[str, str] = {"op9_stupid_backoff": backoff.ORACLE, "op13_presence_masks": search.ORACLE}
