@@ -25,6 +25,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written_in_buckets(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Like ``written``, in buckets by ``keys``, so that later joins by them leave its rows where they are.
+
+    Buckets need a table of the catalog to be written; it is dropped at once, and the files are read without it.
+    """
+    spark = df.sparkSession
+    name = f"{name}_{uuid.uuid4().hex[:12]}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}"
+    rows = df.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
+    out = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return out
+
+
 def scratch_name(prefix: str) -> str:
     """A column name that clashes with no column of the input."""
     return f"__{prefix}_{uuid.uuid4().hex[:8]}"
@@ -85,3 +101,39 @@ def byte_slices(batches: Iterator[pa.RecordBatch], column: str, max_bytes: int =
             end = max(start + 1, int(np.searchsorted(ends, base + max_bytes, side="right")))
             yield batch.slice(start, end - start)
             start = end
+
+
+def hashed_runs(data: bytes, inside: np.ndarray, offsets: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, 64-bit hash) of the maximal runs of bytes that ``inside`` marks in texts laid end to end.
+
+    ``offsets`` are the texts' n + 1 bounds; a run ends with its text.  The hash includes the run's length;
+    with ``lower``, A-Z count as a-z.
+    """
+    raw = np.frombuffer(data, np.uint8)
+    edge = np.zeros(len(raw) + 1, bool)
+    edge[offsets] = True
+    starts = np.flatnonzero(inside & (edge[:-1] | ~np.append(True, inside)[:-1]))
+    ends = np.flatnonzero(inside & (edge[1:] | ~np.append(inside, False)[1:])) + 1
+    hashes = np.zeros(len(starts), np.uint64)
+    longest = int((ends - starts).max()) if len(starts) else 0
+    powers = np.append(np.uint64(1), np.multiply.accumulate(np.full(longest, 0x9E3779B97F4A7C15, np.uint64)))
+    first = 0
+    while first < len(starts):  # about 2^20 bytes at a time, or one run
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + (1 << 20), side="right")))
+        base = starts[first]
+        own = raw[base : ends[last - 1]]
+        if lower:
+            own = np.where((own >= 65) & (own <= 90), own + 32, own)
+        begin, length = starts[first:last] - base, ends[first:last] - starts[first:last]
+        place = np.arange(len(own)) - np.repeat(begin, np.diff(np.append(begin, len(own))))
+        value = (own.astype(np.uint64) + np.uint64(1)) * powers[np.minimum(place, longest)]
+        value[~inside[base : base + len(own)]] = 0
+        hashes[first:last] = np.add.reduceat(value, begin) + length.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        first = last
+    return starts, ends, mixed(hashes)
+
+
+def mixed(h: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits spread."""
+    h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return h ^ (h >> np.uint64(32))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillsight.llm import backoff, bpe, graph_dedup, html_text, minhash, packing, quality, search, simhash, suffix_dedup, toxicity
+from tillsight.llm import backoff, bpe, collocations, graph_dedup, html_text, minhash, packing, phrases, quality, search, simhash, suffix_dedup, toxicity
 from tillsight.llm.common import table
 
 
@@ -49,6 +49,14 @@ def op5_host_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.main_text(table(spark, sf_dir, "pages"))
 
 
+def op11_phrase_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.removals(table(spark, sf_dir, "documents"))
+
+
+def op12_weighted_automata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_presence_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -64,7 +72,14 @@ QUERIES = {
     "op3_nb_char_ngrams": op3_nb_char_ngrams,
     "op2_simhash_pivots": op2_simhash_pivots,
     "op10_one_permutation_minhash": op10_one_permutation_minhash,
+    "op11_phrase_automata": op11_phrase_automata,
+    "op12_weighted_automata": op12_weighted_automata,
     "op13_presence_masks": op13_presence_masks,
 }
 
-ORACLE: dict[str, str] = {"op9_stupid_backoff": backoff.ORACLE, "op13_presence_masks": search.ORACLE}
+ORACLE: dict[str, str] = {
+    "op9_stupid_backoff": backoff.ORACLE,
+    "op11_phrase_automata": phrases.ORACLE,
+    "op12_weighted_automata": collocations.ORACLE,
+    "op13_presence_masks": search.ORACLE,
+}

@@ -34,12 +34,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import byte_slices, split_text
+from tillsight.llm.common import byte_slices, hashed_runs, split_text
 
 TOP = 20
 BLOCK_BYTES = 4 << 20
 SLICE_BYTES = 1 << 22
-_FACTOR = 0x9E3779B97F4A7C15
 #: Groups of the first round of scoring; each further round takes twice as many.
 FIRST_GROUPS = 32
 
@@ -51,29 +50,8 @@ def _term_bytes() -> np.ndarray:
 
 def terms_of(data: bytes, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(text, hash) of the terms of texts laid end to end, in order."""
-    raw = np.frombuffer(data, np.uint8)
-    if not len(raw):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    inside = _term_bytes()[raw]
-    first = np.zeros(len(raw) + 1, bool)
-    first[offsets] = True
-    before = np.append(False, inside[:-1])
-    starts = np.flatnonzero(inside & (~before | first[:-1]))
-    if not len(starts):
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    ends = np.flatnonzero(inside & (~np.append(inside[1:], False) | first[1:])) + 1
-    low = np.where((raw >= 65) & (raw <= 90), raw + 32, raw).astype(np.uint64) + np.uint64(1)
-    place = np.zeros(len(raw), np.int64)
-    place[starts] = starts
-    place = np.arange(len(raw)) - np.maximum.accumulate(place)
-    longest = int((ends - starts).max())
-    powers = np.append(np.uint64(1), np.multiply.accumulate(np.full(longest, _FACTOR, np.uint64)))
-    value = np.where(inside, low * powers[np.minimum(place, longest)], np.uint64(0))
-    h = np.add.reduceat(value, starts) + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
-    return np.searchsorted(offsets, starts, side="right") - 1, h
+    starts, _, hashes = hashed_runs(data, _term_bytes()[np.frombuffer(data, np.uint8)], offsets, lower=True)
+    return np.searchsorted(offsets, starts, side="right") - 1, hashes
 
 
 class Queries:
