@@ -120,8 +120,9 @@ def welch(df: DataFrame, cols: Sequence[str], group: str, g1: str, g2: str) -> D
     )
     se1 = F.col("var_1") / F.col("n_1")
     se2 = F.col("var_2") / F.col("n_2")
-    t = (F.col("mean_1") - F.col("mean_2")) / F.sqrt(se1 + se2)
-    dof = F.pow(se1 + se2, 2) / (F.pow(se1, 2) / (F.col("n_1") - 1) + F.pow(se2, 2) / (F.col("n_2") - 1))
+    # neither group varies: no statistic
+    t = F.try_divide(F.col("mean_1") - F.col("mean_2"), F.sqrt(se1 + se2))
+    dof = F.try_divide(F.pow(se1 + se2, 2), F.pow(se1, 2) / (F.col("n_1") - 1) + F.pow(se2, 2) / (F.col("n_2") - 1))
     out = agg.where((F.col("n_1") > 1) & (F.col("n_2") > 1)).select(
         "feature", "mean_1", "mean_2", F.sqrt("var_1").alias("std_1"), F.sqrt("var_2").alias("std_2"),
         "n_1", "n_2", t.alias("t"), dof.alias("dof"),
@@ -141,6 +142,12 @@ def drift_report(a: DataFrame, b: DataFrame, num: Sequence[str], cat: Sequence[s
     return w.unionByName(c)
 
 
+def columns_by_kind(df: DataFrame, leave: Sequence[str]) -> tuple[list[str], list[str]]:
+    """(numeric and boolean, text) columns of a table, but those to leave."""
+    kinds = [(c, t) for c, t in df.dtypes if c not in leave]
+    return [c for c, t in kinds if t != "string"], [c for c, t in kinds if t == "string"]
+
+
 # ---------------------------------------------------------------- T6
 def cramers_v(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Bias-corrected Cramér's V for every pair of categorical columns (one pass)."""
@@ -228,22 +235,32 @@ def outlier_counts(df: DataFrame, cols: Sequence[str], z: float = 3.0) -> DataFr
 
 
 # ---------------------------------------------------------------- T12 / T13
-def ols_screen(train: DataFrame, test: DataFrame, x: str, y: str) -> DataFrame:
-    """Univariate OLS on train (slope, intercept, R², slope p-value, r) and R² on test."""
-    tr = train.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    fit = tr.agg(
-        F.regr_slope("y", "x").alias("slope"), F.regr_intercept("y", "x").alias("intercept"), F.regr_r2("y", "x").alias("r2_train"),
-        F.corr("x", "y").alias("r"), F.count(F.lit(1)).alias("n"), F.regr_sxx("y", "x").alias("_sxx"), F.regr_syy("y", "x").alias("_syy"),
-    )
-    slope, icpt = fit.select("slope").scalar(), fit.select("intercept").scalar()
-    te = test.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).dropna()
-    resid = F.col("y") - (icpt + slope * F.col("x"))
-    r2_test = te.agg((F.lit(1.0) - F.sum(resid * resid) / (F.var_pop("y") * F.count(F.lit(1)))).alias("r2")).select("r2").scalar()
-    sse = (F.lit(1.0) - F.col("r2_train")) * F.col("_syy")
-    se = F.sqrt(sse / (F.col("n") - 2) / F.col("_sxx"))
-    t = F.col("slope") / se
-    out = fit.select(F.lit(x).alias("feature"), "slope", "intercept", "r2_train", r2_test.alias("r2_test"), "r", "n", t.alias("t"))
-    return out.withColumn("p_value", t_p(F.col("t"), (F.col("n") - 2).cast("double")))
+def ols_screen(rows: DataFrame, cols: Sequence[str], y: str, split: str = "split") -> DataFrame:
+    """Univariate OLS of ``y`` on every column: slope, intercept, R², r and slope t on the train rows, R² on the test rows.
+
+    One pass: both splits' centred moments of every column are partial sums, and
+    the residuals of the test rows follow from them.  Where a column or ``y``
+    does not vary, what would divide by it is null.
+    """
+    arr = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in cols])
+    long = rows.select(split, F.col(y).cast("double").alias("y"), F.explode(arr).alias("_kv")).select(split, "y", "_kv.*").dropna()
+    moments = long.groupBy("feature", split).agg(
+        F.count(F.lit(1)).alias("n"), F.avg("x").alias("mx"), F.avg("y").alias("my"),
+        F.regr_sxx("y", "x").alias("sxx"), F.regr_sxy("y", "x").alias("sxy"), F.regr_syy("y", "x").alias("syy"),
+    )
+    train = moments.where(F.col(split) == "train").drop(split)
+    test = moments.where(F.col(split) == "test").select("feature", *[F.col(c).alias(f"{c}_test") for c in ("n", "mx", "my", "sxx", "sxy", "syy")])
+    fit = train.join(test, "feature", "left").withColumn("slope", F.try_divide("sxy", "sxx")).withColumn("intercept", F.col("my") - F.col("slope") * F.col("mx"))
+    shift = F.col("my_test") - F.col("intercept") - F.col("slope") * F.col("mx_test")
+    sse_test = F.col("syy_test") - 2 * F.col("slope") * F.col("sxy_test") + F.pow("slope", 2) * F.col("sxx_test") + F.col("n_test") * F.pow(shift, 2)
+    r = F.try_divide(F.col("sxy"), F.sqrt(F.col("sxx") * F.col("syy")))
+    sse = F.greatest(F.col("syy") - F.pow("slope", 2) * F.col("sxx"), F.lit(0.0))
+    t = F.try_divide(F.col("slope"), F.sqrt(F.try_divide(F.try_divide(sse, F.col("n") - 2), F.col("sxx"))))
+    out = fit.select(
+        "feature", "slope", "intercept", (r * r).alias("r2_train"), (F.lit(1.0) - F.try_divide(sse_test, F.col("syy_test"))).alias("r2_test"),
+        r.alias("r"), "n", t.alias("t"),
+    )
+    return out.withColumn("p_value", F.when(F.col("t").isNotNull(), t_p(F.col("t"), (F.col("n") - 2).cast("double"))))
 
 
 def residual_checks(df: DataFrame, resid: str, x: str) -> DataFrame:

@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from tillsight.operators import sampling as O
 from tillsight.operators import stats as T
-from tillsight.plans.basket_sql import feature_sql
+from tillsight.plans.basket_sql import CATEGORIES, feature_sql
 from tillsight.plans.common import features
-from tillsight.plans.q_sampling import _SPLIT_SQL
+from tillsight.plans.q_sampling import _rank
 from tillsight.plans.registry import finish, register
 
 _LAB = "label IN ('FRAUD', 'NORMAL')"
@@ -142,23 +142,49 @@ def q_welch_p(spark, sf_dir):
     return finish(T.welch(features(spark, sf_dir), NUM_COLS, "label", "FRAUD", "NORMAL"))
 
 
-_DRIFT_CAT = ["payment_medium", "daytime"]
-_DRIFT_NUM = ["total_amount", "n_lines"]
+#: The twins' list of the feature matrix' columns; the queries take them from its schema.
+_FLAGS = ["has_feedback", "feedback_low", "feedback_middle", "feedback_high", "feedback_top", "has_voided", "has_unscanned", "has_age_restricted",
+          "has_sold_by_weight", "has_camera_detected_wrong_product", "has_camera_detected_wrong_product_high_certainty",
+          *["has_" + c.lower() for c in CATEGORIES], "has_positive_price_difference"]
+_NUMBERS = ["total_amount", "n_lines", "hour", "transaction_duration_seconds", "n_voided", "price_unscanned_articles", "n_age_restricted",
+            "popularity_max", "popularity_min", "max_product_price", "n_sold_by_weight", "calculated_price_difference", "mean_time_between_scans",
+            "max_time_between_scans", "time_to_first_scan", "time_from_last_scan_to_end", "days_since_sco_introduction"]
+_TEXTS = ["store_id", "cash_desk", "payment_medium", "feedback_categorical", "daytime", "hour_categorical", "day_of_week", "month", "location", "urbanization"]
+_NO_FEATURES = ("transaction_id", "damage", "label")
 
 
-@register("drift_labeled_unlabeled", feature_sql(
-    """SELECT feature, 'welch' AS test, ROUND((m1 - m2) / sqrt(v1 / n1 + v2 / n2), 4) AS statistic,
-              ROUND(pow(v1 / n1 + v2 / n2, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1)), 4) AS dof
-       FROM (""" + _welch_sql(_DRIFT_NUM, "side", "a", "b", "sides") + """) WHERE n1 > 1 AND n2 > 1
+def _drift_sql(source: str) -> str:
+    """T5 over every column of the rows of ``source``, a query with a column ``side`` (a or b)."""
+    variance = "(v1 / n1 + v2 / n2)"
+    return feature_sql(
+        f"""SELECT feature, 'welch' AS test, ROUND((m1 - m2) / NULLIF(sqrt{variance}, 0), 4) AS statistic,
+              ROUND(pow{variance[:-1]}, 2) / NULLIF(pow(v1 / n1, 2) / (n1 - 1) + pow(v2 / n2, 2) / (n2 - 1), 0), 4) AS dof
+       FROM (""" + _welch_sql(_NUMBERS + _FLAGS, "side", "a", "b", "sides") + """) WHERE n1 > 1 AND n2 > 1
        UNION ALL SELECT feature, 'chi2', ROUND(chi2, 4), CAST(dof AS DOUBLE) FROM chi WHERE n_rows >= 2 AND n_cols >= 2""",
-    "sides AS (SELECT *, CASE WHEN label = 'UNKNOWN' THEN 'b' ELSE 'a' END AS side FROM fm), ct AS ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS a, side AS b, COUNT(*) AS n FROM sides WHERE {c} IS NOT NULL GROUP BY 2, 3" for c in _DRIFT_CAT)
-    + ")," + _chi2_sql("ct")))
+        f"sides AS ({source}), ct AS ("
+        + " UNION ALL ".join(f"SELECT '{c}' AS feature, CAST({c} AS VARCHAR) AS a, side AS b, COUNT(*) AS n FROM sides WHERE {c} IS NOT NULL GROUP BY 2, 3" for c in _TEXTS)
+        + ")," + _chi2_sql("ct"))
+
+
+_ROW_SPLIT = "CASE WHEN rk <= CAST(round(n * 0.2) AS BIGINT) THEN 'test' ELSE 'train' END"
+_RANKED = f"SELECT *, {_rank('label', 'transaction_id')} AS rk, COUNT(*) OVER (PARTITION BY label) AS n FROM fm"
+
+
+@register("drift_labeled_unlabeled", _drift_sql("SELECT *, CASE WHEN label = 'UNKNOWN' THEN 'b' ELSE 'a' END AS side FROM fm"))
 def q_drift(spark, sf_dir):
-    """T5: labelled vs unlabelled baskets — Welch for numeric, χ² for categorical columns."""
-    fm = features(spark, sf_dir, impute=False)
-    a, b = fm.where(F.col("label") != "UNKNOWN"), fm.where(F.col("label") == "UNKNOWN")
-    return finish(T.drift_report(a, b, _DRIFT_NUM, _DRIFT_CAT).drop("p_value"))
+    """T5: labelled vs unlabelled baskets — Welch for every numeric, χ² for every text column."""
+    fm = features(spark, sf_dir)
+    num, cat = T.columns_by_kind(fm, _NO_FEATURES)
+    return finish(T.drift_report(fm.where(F.col("label") != "UNKNOWN"), fm.where(F.col("label") == "UNKNOWN"), num, cat).drop("p_value"))
+
+
+@register("drift_train_test", _drift_sql(f"SELECT * EXCLUDE (rk, n), CASE WHEN {_ROW_SPLIT} = 'train' THEN 'a' ELSE 'b' END AS side FROM ({_RANKED} WHERE {_LAB})"))
+def q_drift_split(spark, sf_dir):
+    """T5 (+O8): train vs test rows of the stratified split of the labelled baskets, every column."""
+    fm = _labelled(spark, sf_dir, impute=True)
+    num, cat = T.columns_by_kind(fm, _NO_FEATURES)
+    s = O.split(fm, ["label"], "transaction_id", 0.2, 42)
+    return finish(T.drift_report(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), num, cat).drop("p_value"))
 
 
 _CV_COLS = ["payment_medium", "daytime", "day_of_week", "cash_desk"]
@@ -254,26 +280,33 @@ def q_outliers(spark, sf_dir):
     return T.outlier_counts(features(spark, sf_dir), NUM_COLS)
 
 
-_OLS_CTE = f"sp AS ({_SPLIT_SQL.replace('FROM transactions', 'FROM transactions WHERE damage IS NOT NULL')}), " \
-           "tr AS (SELECT CAST(t.n_lines AS DOUBLE) AS x, t.damage AS y FROM transactions t JOIN sp USING (id) WHERE split = 'train'), " \
-           "te AS (SELECT CAST(t.n_lines AS DOUBLE) AS x, t.damage AS y FROM transactions t JOIN sp USING (id) WHERE split = 'test'), " \
-           "fit AS (SELECT regr_slope(y, x) AS slope, regr_intercept(y, x) AS icpt, regr_r2(y, x) AS r2, corr(x, y) AS r, COUNT(*) AS n, " \
-           "regr_sxx(y, x) AS sxx, regr_syy(y, x) AS syy FROM tr)"
+def _ols_sql() -> str:
+    """T12 by centred moments, for every column."""
+    moments = " UNION ALL ".join(
+        f"""SELECT '{c}' AS feature, split, COUNT(*) AS n, AVG(x) AS mx, AVG(y) AS my, regr_sxx(y, x) AS sxx, regr_sxy(y, x) AS sxy, regr_syy(y, x) AS syy
+            FROM (SELECT split, CAST({c} AS DOUBLE) AS x, damage AS y FROM sp) WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY split"""
+        for c in _NUMBERS + _FLAGS
+    )
+    return feature_sql(
+        """SELECT feature, ROUND(slope, 4) AS slope, ROUND(icpt, 4) AS intercept, ROUND(r * r, 4) AS r2_train,
+              ROUND(1.0 - (syy_t - 2 * slope * sxy_t + slope * slope * sxx_t + n_t * pow(my_t - icpt - slope * mx_t, 2)) / NULLIF(syy_t, 0), 4) AS r2_test,
+              ROUND(r, 4) AS r, n, ROUND(slope / NULLIF(sqrt(greatest(syy - slope * slope * sxx, 0.0) / (n - 2) / NULLIF(sxx, 0)), 0), 4) AS t
+       FROM fit""",
+        f"""sp AS (SELECT * EXCLUDE (rk, n), {_ROW_SPLIT} AS split FROM ({_RANKED} WHERE damage IS NOT NULL)), m AS ({moments}),
+        fit AS (
+          SELECT *, my - slope * mx AS icpt FROM (
+            SELECT a.*, a.sxy / NULLIF(a.sxx, 0) AS slope, a.sxy / NULLIF(sqrt(a.sxx * a.syy), 0) AS r,
+              b.n AS n_t, b.mx AS mx_t, b.my AS my_t, b.sxx AS sxx_t, b.sxy AS sxy_t, b.syy AS syy_t
+            FROM m a LEFT JOIN m b ON a.feature = b.feature AND b.split = 'test' WHERE a.split = 'train'))""",
+    )
 
 
-@register("ols_screen", feature_sql(
-    """SELECT 'n_lines' AS feature, ROUND(slope, 4) AS slope, ROUND(icpt, 4) AS intercept, ROUND(r2, 4) AS r2_train,
-              ROUND((SELECT 1.0 - SUM(pow(y - (fit.icpt + fit.slope * x), 2)) / (VAR_POP(y) * COUNT(*)) FROM te), 4) AS r2_test,
-              ROUND(r, 4) AS r, n, ROUND(slope / sqrt((1.0 - r2) * syy / (n - 2) / sxx), 4) AS t
-       FROM fit""", _OLS_CTE))
+@register("ols_screen", _ols_sql())
 def q_ols(spark, sf_dir):
-    """T12 (+O8): univariate OLS of damage on n_lines, R² on train and test, slope t."""
-    from tillsight.plans.common import tables
-
-    t = tables(spark, sf_dir).transactions.where(F.col("damage").isNotNull()).select("id", "label", "n_lines", "damage")
-    s = O.split(t, ["label"], "id", 0.2, 42)
-    out = T.ols_screen(s.where(F.col("split") == "train"), s.where(F.col("split") == "test"), "n_lines", "damage")
-    return finish(out.drop("p_value"))
+    """T12 (+O8): univariate OLS of the damage on every numeric column, R² on train and test, slope t."""
+    fm = features(spark, sf_dir).where(F.col("damage").isNotNull())
+    num, _ = T.columns_by_kind(fm, _NO_FEATURES)
+    return finish(T.ols_screen(O.split(fm, ["label"], "transaction_id", 0.2, 42), num, "damage").drop("p_value"))
 
 
 @register("residual_checks", feature_sql(
