@@ -10,8 +10,8 @@ from tools.oracle_check import TABLES, digest
 
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
-SLOW_ROWS_ONLY = {"model_comparison_cv", "feature_ablation", "parameter_search", "combined_model", "calibration_methods",
-                  "damage_regressor", "final_models"}
+#: Whole boosted-tree workflows of minutes; tests/test_whole_models.py runs the same functions on small frames.
+SLOW_ROWS_ONLY = {"model_comparison_cv", "parameter_search", "combined_model", "final_models"}
 
 
 @pytest.fixture(scope="module")

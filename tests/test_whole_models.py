@@ -1,5 +1,7 @@
 """The registered model queries cover every model, fold and column; the encoder's categories are bounded."""
 
+import duckdb
+import pyarrow as pa
 import pytest
 
 from tests.conftest import SF_SMALL
@@ -9,26 +11,51 @@ from tillsight.plans import QUERIES
 from tillsight.plans.q_models import MODEL_COLS
 
 
-def test_comparison_and_ablation_run_whole(spark, monkeypatch):
-    asked = {}
+def small(spark, n=150):
+    rows = [(i, int(i % 5 == 0), float(i % 5 == 0) * (1 + i % 9), float((i % 5 == 0) * 2 + i % 7), float(i % 11)) for i in range(n)]
+    return spark.createDataFrame(rows, "transaction_id long, y int, damage double, x double, z double")
 
-    def cross_validate(data, cols, models, k=5, repeats=1, *rest, **more):
-        asked[",".join(models), k, repeats] = list(cols)
-        raise InterruptedError
 
-    def ablate(data, cols, model="decision_tree", k=3, seed=42):
-        asked["ablate", k] = list(cols)
-        raise InterruptedError
+def test_comparison_runs_every_model_and_its_metrics_are_those_of_its_scores(spark):
+    """The whole factory, fitted side by side; the metrics are recounted from the written scores by DuckDB."""
+    scores = ML.cross_validated_scores(small(spark), ["x", "z"], ML.FACTORY, k=2, repeats=1)
+    got = {(r.model, r.repeat, r.fold): r for r in ML.fold_table(scores).collect()}
+    assert set(got) == {(m, 0, f) for m in ML.FACTORY for f in (0, 1)}
+    con = duckdb.connect()
+    con.register("scores", pa.Table.from_pylist([r.asDict() for r in scores.collect()]))
+    want = con.execute("""
+        WITH cut AS (SELECT model, repeat, fold, p, sum(y) AS pos, count(*) AS n FROM scores GROUP BY ALL),
+        run AS (SELECT *, sum(pos) OVER w AS tp, sum(n) OVER w AS flagged FROM cut WINDOW w AS (PARTITION BY model, repeat, fold ORDER BY p DESC)),
+        ap AS (SELECT model, repeat, fold, sum(pos * tp / flagged::DOUBLE) / sum(pos) AS auc_pr FROM run GROUP BY ALL)
+        SELECT s.model, s.repeat, s.fold, count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
+          count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn, any_value(auc_pr) AS auc_pr,
+          5 * count(*) FILTER (WHERE y = 1 AND yhat = 1) - 10 * count(*) FILTER (WHERE y = 0 AND yhat = 1)
+            - coalesce(sum(damage) FILTER (WHERE y = 1 AND yhat = 0), 0) AS value
+        FROM scores s JOIN ap USING (model, repeat, fold) GROUP BY s.model, s.repeat, s.fold""").fetchall()
+    assert len(want) == len(got)
+    for model, repeat, fold, tp, fp, fn, tn, auc_pr, value in want:
+        r = got[model, repeat, fold]
+        assert (r.tp, r.fp, r.fn, r.tn) == (tp, fp, fn, tn) and abs(r.auc_pr - auc_pr) < 1e-9 and abs(r.business_value - value) < 1e-9
+        assert tp + fp + fn + tn == 75
+    table = ML.compare_models(ML.fold_table(scores))
+    assert set(table.columns) == {"metric", "statistic", *ML.FACTORY} and table.count() == 4 * len(ML.COMPARED)
 
-    monkeypatch.setattr(ML, "cross_validate", cross_validate)
-    monkeypatch.setattr(ML, "ablate", ablate)
-    for name in ("model_comparison_cv", "feature_ablation"):
-        try:
-            QUERIES[name](spark, SF_SMALL)
-        except InterruptedError:
-            pass
-    every = "logistic,decision_tree,random_forest,boosted_trees,naive_bayes"
-    assert asked == {(every, 5, 5): MODEL_COLS, ("ablate", 5): MODEL_COLS}
+
+def test_creators_and_ablation(spark):
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import DecisionTreeClassifier
+
+    made = []
+
+    def create():
+        made.append(1)
+        return Pipeline(stages=[DecisionTreeClassifier(labelCol="y", maxDepth=2)])
+
+    scores = ML.cross_validated_scores(small(spark, 60), ["x", "z"], {"mine": create}, k=3, repeats=2)
+    assert len(made) == 6 and scores.groupBy("repeat").count().collect()[0]["count"] == 60 and scores.select("model").distinct().collect()[0][0] == "mine"
+    for model in ("decision_tree", "logistic"):
+        rows = {r.feature: r for r in ML.ablate(small(spark, 60), ["x", "z"], model, k=2).collect()}
+        assert set(rows) == {"x", "z"} and all(r["drop"] == (r.value_without >= r.value_full) for r in rows.values())
 
 
 def test_cross_validation_gives_a_row_for_each_fold(spark):

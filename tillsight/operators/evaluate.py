@@ -152,6 +152,24 @@ def average_precision(df: DataFrame, score: str = "p", y: str = "y") -> DataFram
     return c.agg((F.sum(F.col("pos") * prec) / F.first("n_pos")).alias("average_precision"))
 
 
+def average_precision_by(df: DataFrame, keys: Sequence[str], score: str = "p", y: str = "y", buckets: int = 256) -> DataFrame:
+    """V3 of each group (fold, model): running counts from bucket offsets per group, no window over a whole group.
+
+    Scores are shares, so buckets are equal parts of [0, 1]; groups without a positive have a null.
+    """
+    counts = df.groupBy(*keys, F.col(score).alias("score")).agg(F.count_if(F.col(y) == 1).alias("pos"), F.count_if(F.col(y) == 0).alias("neg"))
+    counts = counts.withColumn("_b", F.floor(F.col("score") * buckets))
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("pos").alias("_bp"), F.sum("neg").alias("_bn"))  # groups × buckets rows
+    before = Window.partitionBy(*keys).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(
+        *keys, "_b", F.coalesce(F.sum("_bp").over(before), F.lit(0)).alias("_op"), F.coalesce(F.sum("_bn").over(before), F.lit(0)).alias("_on")
+    )
+    inside = Window.partitionBy(*keys, "_b").orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    tp, fp = F.col("_op") + F.sum("pos").over(inside), F.col("_on") + F.sum("neg").over(inside)
+    part = counts.join(offsets, [*keys, "_b"]).select(*keys, "pos", (F.col("pos") * tp / (tp + fp)).alias("_part"))
+    return part.groupBy(*keys).agg(F.try_divide(F.sum("_part"), F.sum("pos")).alias("average_precision"))
+
+
 def roc(df: DataFrame, score: str = "p", y: str = "y") -> DataFrame:
     """V4: ROC points (threshold, fpr, tpr) per distinct score, plus the origin."""
     c = cumulative_by_score(df, score, y)

@@ -4,15 +4,15 @@ Scores are not expected to equal the reference's libraries (XGBoost,
 LightGBM, sklearn); the operators reproduce the *workflow*: classifier
 factory, damage regressor, cost-based decision, calibration, parameter search,
 repeated stratified cross-validation, ablation and persistence.  Every fit is
-a distributed Spark ML job; driver loops only iterate over parameter settings
-or folds (a handful), and fold data are cut from one cached, checkpointed
-frame so lost executors recompute from the checkpoint.
+a distributed Spark ML job; independent fits run side by side in driver threads
+that share the cluster, and their rows are cut from one written frame with
+assembled features, so lost executors recompute from that.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from functools import reduce
+from collections.abc import Callable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -24,15 +24,15 @@ from pyspark.ml.classification import (
     NaiveBayes,
     RandomForestClassifier,
 )
-from pyspark.ml.feature import PCA, RobustScaler, StandardScaler, VectorAssembler
+from pyspark.ml.feature import PCA, RobustScaler, StandardScaler, VectorAssembler, VectorSlicer
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, GeneralizedLinearRegression, IsotonicRegression, LinearRegression
-from pyspark.ml.tuning import ParamGridBuilder
+from pyspark.ml.regression import GBTRegressor, IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.operators import evaluate as V
+from tillsight.operators import regression as R
 from tillsight.operators import sampling as O
 from tillsight.operators.rules import decide
 
@@ -53,21 +53,20 @@ FACTORY = ("logistic", "decision_tree", "random_forest", "boosted_trees", "naive
 
 
 def make_classifier(name: str, seed: int = 42, weight_col: str | None = None):
-    """M1 (+M7): classifier factory as (stages before the model, model)."""
+    """M1 (+M7): classifier factory as (stages before the model, model); every model takes the weight column."""
     if name == "logistic":
-        lr = LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=200, regParam=0.0)
-        if weight_col:
-            lr = lr.setWeightCol(weight_col)
-        return [RobustScaler(inputCol=FEATURES, outputCol="scaled")], lr
-    if name == "decision_tree":
-        return [], DecisionTreeClassifier(labelCol="y", maxDepth=8, seed=seed)
-    if name == "random_forest":
-        return [], RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=8, seed=seed)
-    if name == "boosted_trees":
-        return [], GBTClassifier(labelCol="y", maxIter=100, maxDepth=5, stepSize=0.1, seed=seed)
-    if name == "naive_bayes":
-        return [], NaiveBayes(labelCol="y", modelType="gaussian")
-    raise ValueError(name)
+        pre, model = [RobustScaler(inputCol=FEATURES, outputCol="scaled")], LogisticRegression(featuresCol="scaled", labelCol="y", maxIter=200, regParam=0.0)
+    elif name == "decision_tree":
+        pre, model = [], DecisionTreeClassifier(labelCol="y", maxDepth=8, seed=seed)
+    elif name == "random_forest":
+        pre, model = [], RandomForestClassifier(labelCol="y", numTrees=100, maxDepth=8, seed=seed)
+    elif name == "boosted_trees":
+        pre, model = [], GBTClassifier(labelCol="y", maxIter=100, maxDepth=5, stepSize=0.1, seed=seed)
+    elif name == "naive_bayes":
+        pre, model = [], NaiveBayes(labelCol="y", modelType="gaussian")
+    else:
+        raise ValueError(name)
+    return pre, model.setWeightCol(weight_col) if weight_col else model
 
 
 def classifier_pipeline(name: str, cols: Sequence[str], seed: int = 42, weight_col: str | None = None) -> Pipeline:
@@ -75,6 +74,30 @@ def classifier_pipeline(name: str, cols: Sequence[str], seed: int = 42, weight_c
     return Pipeline(stages=[assemble(cols), *pre, model])
 
 
+#: M4: weightings of the training rows by name; each adds the column ``weight``.
+WEIGHTS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "balanced": lambda df: V.balanced_weights(df, "y"),
+    "damage": lambda df: df.withColumn("weight", V.damage_weights(df)),
+}
+
+
+def fit_classifier(train: DataFrame, name: str, cols: Sequence[str], seed: int = 42, weights: str | None = None,
+                   threshold: bool = False) -> PipelineModel:
+    """M1 + M4 + M2: a classifier of the factory, weighted and with a fitted threshold if asked for.
+
+    The threshold is the one of V7 with the best business value on the training
+    rows; it becomes the model's own ``thresholds``, so it is saved, loaded and
+    applied (column ``prediction``) with it.
+    """
+    rows = WEIGHTS[weights](train) if weights else train
+    model = classifier_pipeline(name, cols, seed, "weight" if weights else None).fit(rows)
+    if threshold:
+        scores = model.transform(train).select("y", "damage", proba().alias("p"))
+        t = min(float(V.best(V.threshold_sweep(scores)).first()["threshold"]), 1 - 1e-9)
+        model.stages[-1].setThresholds([1 - t, t])
+    return model
+
+
 def proba(col: str = "probability") -> Column:
     return vector_to_array(F.col(col))[1]
 
@@ -169,51 +192,153 @@ def calibrate(fitting: DataFrame, scores: DataFrame, method: str = "sigmoid") ->
     raise ValueError(method)
 
 
+# ---------------------------------------------------------------- side by side
+#: Rows of a training table per partition: the many short jobs of a fit have no more tasks than the rows fill.
+ROWS_PER_TASK = 250_000
+THREADS = 8
+
+
+def side_by_side(spark, jobs: Sequence[Callable], threads: int = THREADS) -> list:
+    """Run independent driver calls in threads that keep the session's properties; results in order.
+
+    Under ``spark.scheduler.mode=FAIR`` their jobs share a pool of their own.
+    """
+    from pyspark import inheritable_thread_target
+
+    sc = spark.sparkContext
+
+    def of(job: Callable) -> Callable:
+        def run():
+            sc.setLocalProperty("spark.scheduler.pool", "model-fits")
+            try:
+                return job()
+            finally:
+                sc.setLocalProperty("spark.scheduler.pool", None)
+
+        return inheritable_thread_target(spark)(run)
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        return [f.result() for f in [pool.submit(of(job)) for job in jobs]]
+
+
+def training_table(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in as many partitions as its rows fill, for the many passes of model fits."""
+    from tillsight.session import cut_lineage
+
+    rows = cut_lineage(df, name)
+    parts = 1 + rows.count() // ROWS_PER_TASK
+    return cut_lineage(rows.coalesce(parts), name) if rows.rdd.getNumPartitions() > parts else rows
+
+
 # ---------------------------------------------------------------- M9
-def search(train: DataFrame, valid: DataFrame, cols: Sequence[str], name: str, grid: dict[str, list], seed: int = 42) -> DataFrame:
-    """M9: evaluate every grid point by business value on a validation split (driver loop over settings)."""
+#: Spaces of the random draws: (low, high) of a whole or real number, drawn evenly or by logarithm.
+SEARCH_SPACE: dict[str, tuple] = {
+    "maxIter": ("whole", 10, 60), "maxDepth": ("whole", 2, 8), "stepSize": ("log", 0.02, 0.5), "subsamplingRate": ("real", 0.5, 1.0),
+    "minInstancesPerNode": ("whole", 1, 20), "maxBins": ("whole", 16, 64), "minInfoGain": ("log", 1e-6, 1e-2),
+}
+
+
+def draw(space: Mapping[str, tuple], trials: int, seed: int = 42) -> list[dict]:
+    """M9: ``trials`` random settings of a space; the same seed draws the same."""
+    rng = np.random.default_rng(seed)
+    out = []
+    for _ in range(trials):
+        setting = {}
+        for p, (kind, low, high) in space.items():
+            if kind == "whole":
+                setting[p] = int(rng.integers(low, high + 1))
+            else:
+                setting[p] = float(np.exp(rng.uniform(np.log(low), np.log(high))) if kind == "log" else rng.uniform(low, high))
+        out.append(setting)
+    return out
+
+
+def search(train: DataFrame, valid: DataFrame, cols: Sequence[str], name: str, settings: Sequence[Mapping], seed: int = 42) -> DataFrame:
+    """M9: one trial per setting, its classifier scored by business value and the damage regressor of the same setting by R²; a row each."""
     spark = train.sparkSession
-    pre, est = make_classifier(name, seed)
-    builder = ParamGridBuilder()
-    for p, values in grid.items():
-        builder = builder.addGrid(est.getParam(p), values)
-    rows = []
-    for pm in builder.build():
-        model = Pipeline(stages=[assemble(cols), *pre, est]).fit(train, pm)
-        s = score(valid, model)
-        m = V.evaluate(s).first()
-        rows.append(({k.name: float(v) for k, v in pm.items()}, float(m["business_value"]), float(m["precision"]), float(m["recall"])))
-    return spark.createDataFrame(
-        [(str(p), v, pr, rc) for p, v, pr, rc in rows], "params string, business_value double, precision double, recall double"
-    )
+    train, valid = training_table(train, "search-train"), training_table(valid, "search-valid")
+
+    def trial(number: int, setting: Mapping) -> Callable:
+        def run() -> tuple:
+            pre, est = make_classifier(name, seed)
+            model = Pipeline(stages=[assemble(cols), *pre, est.copy({est.getParam(p): v for p, v in setting.items() if est.hasParam(p)})]).fit(train)
+            m = V.evaluate(score(valid, model)).first()
+            reg = GBTRegressor(labelCol="damage", seed=seed)
+            reg = reg.copy({reg.getParam(p): v for p, v in setting.items()})
+            fitted = Pipeline(stages=[assemble(cols), reg]).fit(select_damage_only(train))
+            r2 = V.regression_metrics(fitted.transform(select_damage_only(valid)).withColumnRenamed("prediction", "damage_pred")).first()["r2"]
+            return (number, str(sorted(setting.items())), float(m["business_value"]), float(m["precision"]), float(m["recall"]), None if r2 is None else float(r2))
+
+        return run
+
+    rows = side_by_side(spark, [trial(i, x) for i, x in enumerate(settings)])
+    return spark.createDataFrame(rows, "trial int, params string, business_value double, precision double, recall double, r2 double")
+
+
+def best_trials(trials: DataFrame) -> DataFrame:
+    """M9: the best trial by either objective (ties: the earliest)."""
+    best = lambda c: F.max_by(F.struct("trial", c), F.struct(F.col(c), -F.col("trial")))
+    wide = trials.agg(best("business_value").alias("b"), best("r2").alias("r"))
+    row = lambda name, c, value: F.struct(F.lit(name).alias("objective"), F.col(c)["trial"].alias("trial"), F.col(c)[value].alias("value"))
+    return wide.select(F.inline(F.array(row("business_value", "b", "business_value"), row("r2", "r", "r2"))))
 
 
 # ---------------------------------------------------------------- M10 / M11
-def cross_validate(data: DataFrame, cols: Sequence[str], models: Sequence[str], k: int = 5, repeats: int = 1, seed: int = 42,
-                   key: str = "transaction_id") -> DataFrame:
-    """Repeated stratified k-fold CV; per (model, repeat, fold) metrics on the held-out fold.
+def cross_validated_scores(data: DataFrame, cols: Sequence[str], models: Sequence[str] | Mapping[str, Callable[[], Pipeline]], k: int = 5,
+                           repeats: int = 1, seed: int = 42, key: str = "transaction_id", threads: int = THREADS) -> DataFrame:
+    """M10 + X2: scores of every row by models that have not seen its fold (model, repeat, fold, key, y, damage, p, yhat).
 
-    Each fold's metrics are one row and are read as soon as its model is fitted,
-    so that no plan holds the models of all folds.
+    ``models`` are names of the factory, or names and what creates an unfitted
+    pipeline over the assembled column ``features``.  The rows and their folds
+    are written once, features assembled; all fits run side by side.
     """
-    from tillsight.session import cut_lineage
+    from tillsight.session import scratch_table
 
+    spark = data.sparkSession
+    creators = models if isinstance(models, Mapping) else {m: (lambda m=m: Pipeline(stages=[*(x := make_classifier(m, seed))[0], x[1]])) for m in models}
     folds = O.folds(data.withColumn("_s", F.col("y")), ["_s"], key, k, repeats, seed)
-    base = cut_lineage(data.join(folds, key, "inner"))
-    rows, schema = [], None
-    for r in range(repeats):
-        for f in range(k):
-            train = base.where((F.col("repeat") == r) & (F.col("fold") != f))
-            test = base.where((F.col("repeat") == r) & (F.col("fold") == f))
-            for name in models:
-                model = classifier_pipeline(name, cols, seed).fit(train)
-                m = V.evaluate(score(test, model)).select(F.lit(name).alias("model"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), "*")
-                rows.append(tuple(m.first()))
-                schema = m.schema
-    return data.sparkSession.createDataFrame(rows, T.StructType([T.StructField(x.name, x.dataType) for x in schema.fields]))
-
-
-def compare_models(per_fold: DataFrame, metrics: Sequence[str] = ("precision", "recall", "f1", "mcc", "business_value")) -> DataFrame:
+    of_row = folds.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("repeat", "fold"))).alias("folds"))  # ``repeats`` entries
+    base = training_table(assemble(cols).transform(data.join(of_row, key)).select(key, "y", "damage", FEATURES, "folds.fold"), "folds")
+    place = scratch_table(spark, "cv-scores")
+
+    def job(name: str, r: int, f: int) -> Callable:
+        def run() -> str:
+            own = F.col("fold")[r]
+            model = creators[name]().fit(base.where(own != f))
+            path = f"{place}/{name}-{r}-{f}"
+            out = score(base.where(own == f).select(key, "y", "damage", FEATURES), model)
+            out.select(F.lit(name).alias("model"), F.lit(r).alias("repeat"), F.lit(f).alias("fold"), key, "y", "damage", "p", "yhat").write.parquet(path)
+            return path
+
+        return run
+
+    order = sorted(creators, key=lambda m: m != "boosted_trees")  # the longest fits begin first
+    paths = side_by_side(spark, [job(m, r, f) for m in order for r in range(repeats) for f in range(k)], threads)
+    return spark.read.parquet(*paths)
+
+
+FOLD_KEYS = ("model", "repeat", "fold")
+
+
+def fold_table(scores: DataFrame) -> DataFrame:
+    """The metrics of each (model, repeat, fold), AUC-PR included."""
+    return V.evaluate(scores, FOLD_KEYS).join(V.average_precision_by(scores, FOLD_KEYS).withColumnRenamed("average_precision", "auc_pr"), list(FOLD_KEYS))
+
+
+def cross_validate(data: DataFrame, cols: Sequence[str], models: Sequence[str] | Mapping[str, Callable[[], Pipeline]], k: int = 5, repeats: int = 1,
+                   seed: int = 42, key: str = "transaction_id") -> DataFrame:
+    """Repeated stratified k-fold CV; per (model, repeat, fold) metrics on the held-out fold."""
+    from tillsight.session import cut_lineage
+
+    return cut_lineage(fold_table(cross_validated_scores(data, cols, models, k, repeats, seed, key)), "cv-metrics")
+
+
+#: The metrics of the comparison table; the last four are the mean confusion matrix.
+COMPARED = ("precision", "recall", "f1", "mcc", "auc_pr", "damage_total", "damage_prevented", "damage_missed", "detected_bonus", "fp_penalty",
+            "business_value", "tn", "fp", "fn", "tp")
+
+
+def compare_models(per_fold: DataFrame, metrics: Sequence[str] = COMPARED) -> DataFrame:
     """rows = metric × statistic, columns = model (A34 + pivot)."""
     summ = V.fold_summary(per_fold, ["model"], list(metrics))
     long = summ.unpivot(["model", "metric"], ["mean", "max", "min", "var"], "statistic", "value")
@@ -221,14 +346,25 @@ def compare_models(per_fold: DataFrame, metrics: Sequence[str] = ("precision", "
 
 
 def ablate(data: DataFrame, cols: Sequence[str], model: str = "decision_tree", k: int = 3, seed: int = 42) -> DataFrame:
-    """Leave-one-feature-out CV value vs the full model; drop list = features whose removal does not hurt."""
-    base = cross_validate(data, cols, [model], k, 1, seed).agg(F.avg("business_value")).first()[0]
-    rows = []
-    for c in cols:
-        rest = [x for x in cols if x != c]
-        v = cross_validate(data, rest, [model], k, 1, seed).agg(F.avg("business_value")).first()[0]
-        rows.append((c, float(v), float(base), bool(v >= base)))
-    return data.sparkSession.createDataFrame(rows, "feature string, value_without double, value_full double, drop boolean")
+    """Leave-one-feature-out CV value vs the full model; drop list = features whose removal does not hurt.
+
+    Each reduced model reads the same assembled vector through a slice, so the
+    folds are made and written once and all fits run side by side.
+    """
+    def without(c: str | None) -> Callable[[], Pipeline]:
+        def create() -> Pipeline:
+            pre, est = make_classifier(model, seed)
+            rest = [i for i, x in enumerate(cols) if x != c]
+            first = pre[0].copy({pre[0].inputCol: "kept"}) if pre else None
+            return Pipeline(stages=[VectorSlicer(inputCol=FEATURES, outputCol="kept", indices=rest), *([first] if pre else []), est if pre else est.setFeaturesCol("kept")])
+
+        return create
+
+    per_fold = cross_validate(data, cols, {c or "": without(c) for c in (None, *cols)}, k, 1, seed)
+    value = per_fold.groupBy("model").agg(F.avg("business_value").alias("value"))
+    full = value.where("model = ''").select(F.col("value").alias("value_full"), F.lit(1).alias("_one"))
+    reduced = value.where("model != ''").select(F.col("model").alias("feature"), F.col("value").alias("value_without"), F.lit(1).alias("_one"))
+    return reduced.join(full, "_one").select("feature", "value_without", "value_full", (F.col("value_without") >= F.col("value_full")).alias("drop"))
 
 
 # ---------------------------------------------------------------- M13
@@ -242,50 +378,18 @@ def train_final(data: DataFrame, cols: Sequence[str], path: str, seed: int = 42,
 
 
 # ---------------------------------------------------------------- T14 / T15 / T16
-def logit_screen(train: DataFrame, test: DataFrame, x: str) -> DataFrame:
-    """Univariate logit — McFadden pseudo-R² on test, accuracy, perfect-separation flag."""
-    asm = assemble([x], "xf")
-    m = LogisticRegression(featuresCol="xf", labelCol="y", regParam=0.0, maxIter=100).fit(asm.transform(train))
-    pr = m.transform(asm.transform(test)).select("y", proba().alias("p"), "prediction")
-    eps = F.lit(1e-15)
-    ll = F.when(F.col("y") == 1, F.log(F.greatest(F.col("p"), eps))).otherwise(F.log(F.greatest(1 - F.col("p"), eps)))
-    base = test.agg(F.avg(F.col("y").cast("double"))).first()[0]
-    ll0 = F.when(F.col("y") == 1, F.lit(float(np.log(base)))).otherwise(F.lit(float(np.log(1 - base))))
-    coef = float(m.coefficients[0])
-    separated = bool(abs(coef) > 1e3 or m.summary.objectiveHistory[-1] < 1e-6)
-    return pr.agg(
-        F.lit(x).alias("feature"), (F.lit(1.0) - F.sum(ll) / F.sum(ll0)).alias("pseudo_r2_test"),
-        F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("accuracy"),
-        F.lit(coef).alias("coefficient"), F.lit(separated).alias("perfect_separation"),
-    )
-
-
-def logit_screens(train: DataFrame, test: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``logit_screen`` of every column, one row each."""
-    from tillsight.session import cut_lineage
+def reduce_model(rows: DataFrame, target: str, cols: Sequence[str], p_threshold: float = 0.05, family: str = "gaussian", degree: int = 1,
+                 interaction_only: bool = False) -> DataFrame:
+    """Backward elimination by the largest p-value until all p < threshold (OLS or logit), a row for each step.
 
-    train, test = cut_lineage(train), cut_lineage(test)
-    return reduce(DataFrame.unionByName, [logit_screen(train, test, c) for c in cols])
-
-
-def reduce_model(df: DataFrame, target: str, cols: Sequence[str], p_threshold: float = 0.05, family: str = "gaussian") -> DataFrame:
-    """Backward elimination by the largest p-value until all p < threshold (OLS or binomial GLM)."""
-    spark = df.sparkSession
-    keep = list(cols)
-    steps = []
-    while keep:
-        x = assemble(keep, "xf").transform(df.select(target, *keep).dropna())
-        if family == "gaussian":
-            model = LinearRegression(featuresCol="xf", labelCol=target, solver="normal", regParam=0.0).fit(x)
-        else:
-            model = GeneralizedLinearRegression(featuresCol="xf", labelCol=target, family="binomial", link="logit", regParam=0.0).fit(x)
-        pv = list(model.summary.pValues)[: len(keep)]  # last entry is the intercept
-        worst = int(np.argmax(pv))
-        steps.append((len(steps), ",".join(keep), keep[worst], float(pv[worst])))
-        if pv[worst] < p_threshold:
-            break
-        keep.pop(worst)
-    return spark.createDataFrame(steps, "step int, features string, worst_feature string, worst_p double")
+    ``rows`` has a column ``split``; the model is fitted on its train rows and
+    scored (R² or accuracy) on both.
+    """
+    gaussian = family == "gaussian"
+    steps = (R.eliminate_ols if gaussian else R.eliminate_logit)(rows, cols, target, p_threshold, degree, interaction_only)
+    found = [(i, ", ".join(features), worst, p, "r2" if gaussian else "accuracy", *scores) for i, (features, worst, p, *scores) in enumerate(steps)]
+    schema = "step int, features string, worst_feature string, worst_p double, score_name string, score_train double, score_test double"
+    return rows.sparkSession.createDataFrame(found, schema)
 
 
 def pca_variance(df: DataFrame, cols: Sequence[str], k: int = 5) -> DataFrame:

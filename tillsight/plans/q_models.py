@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from tillsight.operators import evaluate as V
 from tillsight.operators import models as ML
+from tillsight.operators import regression as R
 from tillsight.operators import sampling as O
 from tillsight.plans.basket_sql import feature_sql
 from tillsight.plans.common import features
 from tillsight.plans.q_rules import SCORED_CTE
+from tillsight.plans.q_stats import _RANKED, _ROW_SPLIT
 from tillsight.plans.registry import finish, register
 from tillsight.sources.files import scratch_path
 
@@ -76,9 +78,9 @@ def q_calibration(spark, sf_dir):
 
 @register("parameter_search")
 def q_search(spark, sf_dir):
-    """M9: decision-tree depth grid by business value on the validation split."""
+    """M9: 20 random settings of boosted trees, by business value (classifier) and R² (damage regressor) on the validation split."""
     _, train, test = _data(spark, sf_dir)
-    return finish(ML.search(train, test, MODEL_COLS, "decision_tree", {"maxDepth": [3, 5, 8]}))
+    return finish(ML.search(train, test, MODEL_COLS, "boosted_trees", ML.draw(ML.SEARCH_SPACE, 20)))
 
 
 @register("feature_ablation")
@@ -96,25 +98,74 @@ def q_final(spark, sf_dir):
     return finish(V.evaluate(ML.score(data, clf, reg)))
 
 
+def _split_rows(spark, sf_dir):
+    """The labelled rows with their split, written once for the passes over them."""
+    data, train, test = _data(spark, sf_dir)
+    split = lambda df, name: df.withColumn("split", F.lit(name))
+    return ML.training_table(split(train, "train").unionByName(split(test, "test")), "split-rows")
+
+
 @register("logit_screen")
 def q_logit(spark, sf_dir):
-    """Univariate logit pseudo-R², accuracy, separation flag of every model column."""
-    _, train, test = _data(spark, sf_dir)
-    return finish(ML.logit_screens(train, test, MODEL_COLS))
+    """T14 (+F26): univariate logit of every model column: pseudo-R² and accuracy on both splits, separation, relevance."""
+    return finish(R.logit_screen(_split_rows(spark, sf_dir), MODEL_COLS))
+
+
+#: 0/1 columns of the model frame; for these the maximum of the likelihood is known in closed form.
+_FLAG_COLS = ["is_cash", "has_positive_price_difference", "feedback_top", "has_camera_detected_wrong_product_high_certainty"]
+
+
+def _logit_sql() -> str:
+    """T14 of 0/1 columns: the fitted probability of either value is its share of frauds among the train rows."""
+    cells = " UNION ALL ".join(f"SELECT '{c}' AS feature, split, y, COALESCE(CAST({c} AS INTEGER), 0) AS x, COUNT(*) AS n FROM sp GROUP BY ALL" for c in _FLAG_COLS)
+    return feature_sql(
+        """SELECT feature, ROUND(CASE WHEN ok THEN ln(p1 / (1 - p1)) - ln(p0 / (1 - p0)) END, 4) AS coefficient,
+              ROUND(CASE WHEN ok THEN 1 - ll_train / null_train END, 4) AS pseudo_r2_train, ROUND(CASE WHEN ok THEN 1 - ll_test / null_test END, 4) AS pseudo_r2_test,
+              NOT ok AS perfect_separation
+       FROM fits""",
+        f"""sp AS (SELECT * EXCLUDE (rk, n), CAST(label = 'FRAUD' AS INTEGER) AS y, CAST(payment_medium = 'CASH' AS INTEGER) AS is_cash, {_ROW_SPLIT} AS split
+               FROM ({_RANKED} WHERE label IN ('FRAUD', 'NORMAL'))),
+        cells AS ({cells}),
+        shares AS (
+          SELECT feature, SUM(n) FILTER (WHERE x = 1 AND y = 1) / SUM(n) FILTER (WHERE x = 1)::DOUBLE AS p1,
+            SUM(n) FILTER (WHERE x = 0 AND y = 1) / SUM(n) FILTER (WHERE x = 0)::DOUBLE AS p0, COUNT(*) = 4 AS ok
+          FROM cells WHERE split = 'train' GROUP BY feature),
+        base AS (SELECT feature, split, SUM(n) FILTER (WHERE y = 1)::DOUBLE AS ones, SUM(n)::DOUBLE AS n FROM cells GROUP BY feature, split),
+        nulls AS (SELECT feature, split, ones * ln(ones / n) + (n - ones) * ln(1 - ones / n) AS ll FROM base),
+        lls AS (
+          SELECT c.feature, c.split, SUM(n * CASE WHEN NOT ok THEN 0 WHEN x = 1 THEN CASE WHEN y = 1 THEN ln(p1) ELSE ln(1 - p1) END
+            ELSE CASE WHEN y = 1 THEN ln(p0) ELSE ln(1 - p0) END END) AS ll
+          FROM cells c JOIN shares s ON c.feature = s.feature GROUP BY c.feature, c.split),
+        fits AS (
+          SELECT s.*, a.ll AS ll_train, b.ll AS ll_test, c.ll AS null_train, d.ll AS null_test FROM shares s
+          JOIN lls a ON s.feature = a.feature AND a.split = 'train' JOIN lls b ON s.feature = b.feature AND b.split = 'test'
+          JOIN nulls c ON s.feature = c.feature AND c.split = 'train' JOIN nulls d ON s.feature = d.feature AND d.split = 'test')""",
+    )
+
+
+@register("logit_screen_flags", _logit_sql())
+def q_logit_flags(spark, sf_dir):
+    """The Newton screen of the 0/1 columns; their twin states the closed form."""
+    out = R.logit_screen(_split_rows(spark, sf_dir), _FLAG_COLS)
+    return finish(out.select("feature", "coefficient", "pseudo_r2_train", "pseudo_r2_test", "perfect_separation"))
 
 
 @register("backward_elimination")
 def q_backward(spark, sf_dir):
-    """OLS backward elimination by p-value for the damage."""
-    data, _, _ = _data(spark, sf_dir)
-    return finish(ML.reduce_model(data, "damage", ["total_amount", "n_lines", "hour", "n_voided", "is_cash"], 0.05))
+    """OLS backward elimination by p-value for the damage, all model columns, R² on both splits."""
+    return finish(ML.reduce_model(_split_rows(spark, sf_dir), "damage", MODEL_COLS))
+
+
+@register("backward_elimination_degree2")
+def q_backward_degree(spark, sf_dir):
+    """T15 + E8: the same over all products of two model columns."""
+    return finish(ML.reduce_model(_split_rows(spark, sf_dir), "damage", MODEL_COLS, degree=2))
 
 
 @register("backward_elimination_logit")
 def q_backward_logit(spark, sf_dir):
-    """Binomial GLM backward elimination for the label."""
-    data, _, _ = _data(spark, sf_dir)
-    return finish(ML.reduce_model(data.withColumn("yd", F.col("y").cast("double")), "yd", ["n_lines", "hour", "is_cash", "has_positive_price_difference"], 0.05, "binomial"))
+    """Logit backward elimination for the label, all model columns, accuracy on both splits."""
+    return finish(ML.reduce_model(_split_rows(spark, sf_dir), "y", MODEL_COLS, family="binomial"))
 
 
 @register("pca_variance")

@@ -61,6 +61,13 @@ def cut_lineage(df: DataFrame, name: str = "lineage-cut") -> DataFrame:
     return materialize(df, name)
 
 
+def scratch_table(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillsight-tables/{name}-{uuid.uuid4().hex[:12]}"
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Cut lineage by writing a Parquet table below the shared checkpoint folder and reading it back.
 
@@ -68,9 +75,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     plan once to count and again to write), this runs the plan exactly once;
     readers get column pruning and predicate pushdown on the written table.
     """
-    import uuid
-
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tillsight-tables/{name}-{uuid.uuid4().hex[:12]}"
+    path = scratch_table(spark, name)
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
