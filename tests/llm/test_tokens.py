@@ -145,13 +145,15 @@ def test_backoff_counts_every_word_of_a_large_vocabulary(spark):
         assert (got[d].n_words, got[d].n_seen) == (n, seen) and abs(got[d].score - score) < 1e-9
 
 
-def test_backoff_does_not_depend_on_where_counts_are_looked_up(spark):
+def test_backoff_does_not_depend_on_shards(spark):
     rng = random.Random(2)
     rows = [(i, " ".join(f"v{int(rng.paretovariate(0.6)) % 300}" for _ in range(rng.randrange(1, 40)))) for i in range(300)]
+    rows.append((999, "v1 v2 " * 60_000))  # a very long text
     want = plain_backoff(rows)
-    df = spark.createDataFrame(rows, DOCS)
-    for share, hot in ((2.0, 2.0), (0.01, 0.05), (0.001, 0.001), (0.0, 2.0)):
-        got = {r.doc_id: r for r in backoff.scores(df, share=share, hot=hot).collect()}
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    for shard_bytes in (1, 500, 1 << 24):
+        got = {r.doc_id: r for r in backoff.scores(df, shard_bytes=shard_bytes).collect()}
+        assert set(got) == set(want)
         assert all((got[d].n_words, got[d].n_seen) == v[:2] and abs(got[d].score - v[2]) < 1e-9 for d, v in want.items())
 
 
