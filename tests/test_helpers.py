@@ -92,3 +92,36 @@ def test_buckets_stand_outliers_and_frequent_values(spark):
     assert len(sizes) == 64 and max(r["count"] for r in sizes) <= 3 * 2001 / 64
     got = exact_quantiles(df, "x", [0.01, 0.5, 0.99, 1.0], names=["a", "b", "c", "d"]).first()
     assert [got[n] for n in "abcd"] == [float(np.quantile(values, p)) for p in (0.01, 0.5, 0.99, 1.0)]
+
+
+def test_null_keys_are_dealt_out_and_keep_their_rows(spark):
+    from tillsight.functions.nulls import left_join_spread
+
+    left = spark.createDataFrame([(i, None if i % 2 else i % 10, f"t{i}") for i in range(2000)], "line long, product_id long, note string")
+    right = spark.createDataFrame([(i, f"p{i}") for i in range(8)], "product_id long, name string")
+    rows = left_join_spread(left, right, "product_id")
+    got = {r.line: (r.product_id, r.name, r.note) for r in rows.collect()}
+    assert len(got) == rows.count() == 2000 and rows.columns == ["product_id", "line", "note", "name"]
+    assert all(got[i] == ((None, None) if i % 2 else (i % 10, f"p{i % 10}" if i % 10 < 8 else None)) + (f"t{i}",) for i in range(2000))
+    # half of the rows have no key: no task gets them all
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        by_join = left_join_spread(left.repartition(4), right.hint("merge"), "product_id").selectExpr("spark_partition_id() as p", "product_id")
+        most = by_join.where("product_id is null").groupBy("p").count().agg({"count": "max"}).first()[0]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert most < 400
+
+
+def test_average_ranks_with_a_value_on_most_rows(spark):
+    from tillsight.operators import stats
+
+    rows = [(i, "a", 0.0 if i % 20 else float(i % 170)) for i in range(3000)] + [(i, "b", float(i * 7919 % 3000)) for i in range(3000)]
+    got = {(r.feature, r.key): r["rank"] for r in stats.average_ranks(spark.createDataFrame(rows, "key long, feature string, value double")).collect()}
+    assert len(got) == 6000
+    for name in "ab":
+        own = sorted((v, k) for k, f, v in rows if f == name)
+        places = {}
+        for place, (v, _) in enumerate(own, 1):
+            places.setdefault(v, []).append(place)
+        assert all(got[name, k] == sum(places[v]) / len(places[v]) for v, k in own)

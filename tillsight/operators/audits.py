@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillsight.functions import scalar as S
-from tillsight.functions.nulls import sum0
+from tillsight.functions.nulls import left_join_spread, sum0
 from tillsight.functions.quantiles import exact_quantiles
 
 LABELS = ["FRAUD", "NORMAL", "UNKNOWN"]
@@ -102,15 +102,6 @@ def shared_edge_hist(df: DataFrame, col: str, by: str, bins: int = 19) -> DataFr
     return counted.select(by, "bin", (lo + (hi - lo) * F.col("bin") / F.lit(bins)).alias("edge_left"), "count")
 
 
-def score_hist(df: DataFrame, score: str = "p", y: str = "y", bins: int = 50) -> DataFrame:
-    """Probability histogram on [0, 1] per class: bin, n_normal, n_fraud."""
-    b = F.least(F.floor(F.col(score) * F.lit(bins)), F.lit(bins - 1)).cast("int")
-    return df.groupBy(b.alias("bin")).agg(
-        F.count_if(F.col(y) == 0).alias("n_normal"),
-        F.count_if(F.col(y) == 1).alias("n_fraud"),
-    )
-
-
 # ---------------------------------------------------------------- A18-A21
 def crosstab(df: DataFrame, a: str, b: str) -> DataFrame:
     """A18 long form: (a, b, n)."""
@@ -182,7 +173,7 @@ def wide_join(tx: DataFrame, lines: DataFrame, products: DataFrame, stores: Data
 def missing_products(tx: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """Lines without a known product, per label: baskets affected and lines."""
     p = products.select(F.col("id").alias("product_id"), F.lit(True).alias("_known"))
-    miss = lines.join(p, "product_id", "left").where(F.col("_known").isNull())
+    miss = left_join_spread(lines, p, "product_id").where(F.col("_known").isNull())
     per_basket = miss.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n_missing"))
     t = tx.select(F.col("id").alias("transaction_id"), "label")
     j = per_basket.join(t, "transaction_id", "inner")
@@ -354,13 +345,13 @@ def labeled_line_table(tx: DataFrame, lines: DataFrame, products: DataFrame, sto
     t = tx.where(F.col("label") != "UNKNOWN").select(F.col("id").alias("transaction_id"), "label", "damage", "store_id")
     p = products.select(F.col("id").alias("product_id"), "category", "price")
     s = stores.select(F.col("id").alias("store_id"), "location", "urbanization")
-    return lines.join(t, "transaction_id", "inner").join(p, "product_id", "left").join(F.broadcast(s), "store_id", "left")
+    return left_join_spread(lines.join(t, "transaction_id", "inner"), p, "product_id").join(F.broadcast(s), "store_id", "left")
 
 
 def labeled_lines(tx: DataFrame, lines: DataFrame, products: DataFrame) -> DataFrame:
     """Receipts ⟕ (lines ⟕ products); receipts without lines keep one null row."""
     p = products.select(F.col("id").alias("product_id"), "category", "price")
-    lp = lines.join(p, "product_id", "left")
+    lp = left_join_spread(lines, p, "product_id")
     t = tx.select(F.col("id").alias("transaction_id"), "label", "damage")
     return t.join(lp, "transaction_id", "left")
 

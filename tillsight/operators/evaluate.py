@@ -220,6 +220,14 @@ def threshold_sweep(df: DataFrame, grid: Sequence[float] = THRESHOLDS_100, gain_
     return _sweep(df, grid, lambda t: F.col("p") > t, gain_tp, cost_fp, "threshold", F.col("p"))
 
 
+def gated_sweep(df: DataFrame, grid: Sequence[float] = THRESHOLDS_18, gain_tp: float = GAIN_TP, cost_fp: float = COST_FP) -> DataFrame:
+    """V7: value of 'control when p >= t and the expected gain of it is the larger' for every t of the grid, and how many are controlled."""
+    p = F.col("p")
+    worth = p * F.lit(gain_tp) - (F.lit(1.0) - p) * F.lit(cost_fp) > -p * F.col("damage_pred")
+    out = _sweep(df, grid, lambda t: (p >= t) & worth, gain_tp, cost_fp, "threshold")
+    return out.withColumn("n_controls", F.col("tp") + F.col("fp"))
+
+
 def malus_sweep(df: DataFrame, grid: Sequence[float] = MALUS_GRID, gain_tp: float = GAIN_TP) -> DataFrame:
     """V8: value of the cost rule p > m / (gain + m + damage_pred) for every malus m (FP cost stays 10)."""
     rule = lambda m: F.col("p") > m / (F.lit(gain_tp) + m + F.col("damage_pred"))

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillsight.functions import scalar as S
-from tillsight.functions.nulls import any_true, count_true, sum0
+from tillsight.functions.nulls import any_true, count_true, left_join_spread, sum0
 
 LINE_PRODUCT_COLUMNS = [
     "transaction_id", "product_id", "was_voided", "pieces_or_weight", "sales_price",
@@ -55,10 +55,9 @@ def discover_categories(products: DataFrame) -> list[str]:
 def lines_with_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Every line keeps its row; unknown products give null attributes."""
     p = products.select(
-        F.col("id").alias("_pid"), "price", "category", "popularity", "sold_by_weight", "age_restricted",
+        F.col("id").alias("product_id"), "price", "category", "popularity", "sold_by_weight", "age_restricted",
     )
-    j = lines.join(p, lines["product_id"] == p["_pid"], "left")
-    return j.select(*LINE_PRODUCT_COLUMNS)
+    return left_join_spread(lines, p, "product_id").select(*LINE_PRODUCT_COLUMNS)
 
 
 def unscanned_flag(df: DataFrame | None = None) -> Column:

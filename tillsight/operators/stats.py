@@ -179,8 +179,18 @@ def pearson_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return wide.select(F.explode(arr).alias("_r")).select("_r.*")
 
 
+#: Values that more than one in so many rows of a feature have are looked up by broadcast: at most so many a feature.
+FREQUENT = 1_000
+
+
 def average_ranks(long: DataFrame, feature: str = "feature", value: str = "value", buckets: int = 1024) -> DataFrame:
-    """Exact average (tie-aware) ranks of ``value`` within each feature, no global window."""
+    """Exact average (tie-aware) ranks of ``value`` within each feature, no global window.
+
+    Ranks are given to distinct values and brought back to the rows.  A value
+    that more than one in ``FREQUENT`` rows of its feature have (the zeros of a
+    count, say) would be a hot key there: such values, at most ``FREQUENT`` a
+    feature, are broadcast, and only the others meet their rows by value.
+    """
     counts = long.groupBy(feature, value).agg(F.count(F.lit(1)).alias("_cnt"))
     cuts = counts.groupBy(feature).agg(bucket_bounds(value, buckets).alias("_bounds"))  # one row per feature
     c = counts.join(F.broadcast(cuts), feature)
@@ -191,10 +201,16 @@ def average_ranks(long: DataFrame, feature: str = "feature", value: str = "value
     c = c.join(F.broadcast(boff), [feature, "_b"])
     w = Window.partitionBy(feature, "_b").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranked = c.select(
-        feature, value,
+        feature, value, "_cnt",
         (F.col("_off") + F.coalesce(F.sum("_cnt").over(w), F.lit(0)) + (F.col("_cnt") + 1) / F.lit(2.0)).alias("rank"),
     )
-    return long.join(ranked, [feature, value])
+    sizes = btot.groupBy(feature).agg(F.sum("_nb").alias("_n"))  # a row per feature
+    frequent = counts.join(F.broadcast(sizes), feature).where(F.col("_cnt") * FREQUENT > F.col("_n")).select(feature, value, F.lit(True).alias("_hot"))
+    ranked = ranked.join(F.broadcast(frequent), [feature, value], "left")
+    hot = ranked.where("_hot").select(feature, value, F.col("rank").alias("_hot_rank"))  # FREQUENT rows a feature at most
+    marked = long.join(F.broadcast(hot), [feature, value], "left")
+    met = marked.where("_hot_rank is null").drop("_hot_rank").join(ranked.where("_hot is null").select(feature, value, "rank"), [feature, value])
+    return met.unionByName(marked.where("_hot_rank is not null").withColumnRenamed("_hot_rank", "rank"))
 
 
 def spearman_matrix(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:

@@ -125,6 +125,16 @@ def q_threshold_best(spark, sf_dir):
     return finish(V.best(V.threshold_sweep(_ev(spark, sf_dir))))
 
 
+_GATED = "(p >= g.v AND p * 5.0 - (1.0 - p) * 10.0 > -p * damage_pred)"
+
+
+@register("gated_threshold_sweep", _sweep_sql(V.THRESHOLDS_18, "threshold", _GATED).replace(
+    " AS business_value", f" AS business_value, COUNT(*) FILTER (WHERE {_GATED}) AS n_controls"))
+def q_gated_sweep(spark, sf_dir):
+    """V7: the 18 thresholds of the sweep that also asks for the larger expected gain; controls and value."""
+    return finish(V.gated_sweep(_ev(spark, sf_dir)))
+
+
 @register("threshold_sweep_101", _sweep_sql(V.THRESHOLDS_101, "threshold", "p > g.v"))
 def q_threshold_sweep_101(spark, sf_dir):
     """V7: 101 thresholds in [0, 1]."""

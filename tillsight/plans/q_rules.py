@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tillsight.functions import scalar as S
 from tillsight.operators import rules
 from tillsight.plans.basket_sql import feature_sql
 from tillsight.plans.common import FIXTURE_EXCLUDED, features, tables
@@ -153,6 +154,18 @@ def q_responses(spark, sf_dir):
     )
 
 
+@register("response_validity", feature_sql(
+    "SELECT COUNT(*) AS n, COUNT(*) FILTER (WHERE regexp_full_match('0.1.0', '[0-9]+\\.[0-9]+\\.[0-9]+')) AS n_valid_version, "
+    "COUNT(*) FILTER (WHERE fraud_proba IS NULL OR fraud_proba BETWEEN 0 AND 1) AS n_valid_proba FROM screen_out", RULE_CTES))
+def q_response_validity(spark, sf_dir):
+    """responses with a semantic version and a probability that is missing or a share."""
+    r = rules.to_response(_screen(spark, sf_dir), version="0.1.0").select("response.version", "response.fraud_proba")
+    return r.agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(S.valid_version("version")).alias("n_valid_version"),
+        F.count_if(S.valid_probability("fraud_proba")).alias("n_valid_proba"),
+    )
+
+
 @register(
     "predict_batch",
     feature_sql(
