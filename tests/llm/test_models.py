@@ -24,9 +24,48 @@ def test_quality_on_held_out_rows(spark):
 
 
 def test_toxicity_on_held_out_rows(spark):
-    pairs = checked(spark, "op3_nb_char_ngrams", "toxic")
-    assert sum(p == y for p, y in pairs) / len(pairs) > 0.9
-    assert sum(p for p, y in pairs if y == 0) == 0  # clean documents are left alone
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = toxicity.scored(docs, labels).join(labels, "doc_id").join(docs.select("doc_id", "lang"), "doc_id").where("held_out and toxic is not null")
+    by = {r["lang"]: r for r in rows.groupBy("lang").agg(
+        F.sum("toxic").alias("toxic"), F.sum(F.col("toxic") * F.col("predicted")).alias("caught"),
+        F.sum((1 - F.col("toxic")) * F.col("predicted")).alias("alarms"), F.sum(1 - F.col("toxic")).alias("clean"),
+    ).collect()}
+    total = lambda name: sum(r[name] for r in by.values())
+    assert total("caught") / total("toxic") >= 0.8 and total("alarms") / total("clean") <= 0.01
+    assert all(r["caught"] / r["toxic"] >= 0.5 for r in by.values()), by
+
+
+def test_toxicity_scores_vary_where_labels_are_few(spark):
+    rows = queries.QUERIES["op3_nb_char_ngrams"](spark, "/root/testdata/sf0.001")
+    assert rows.select("score").distinct().count() > 50 and rows.where("predicted = 1").count() > 0
+
+
+def test_feature_counts_and_ratios_are_those_of_the_texts(spark):
+    import math
+    from collections import Counter
+
+    import numpy as np
+
+    texts = [(f"Bad {w} naïve 日本 {i % 7}" if i % 3 else f"good {w} day {i % 5}", int(i % 3 > 0)) for i, w in enumerate(["ab", "", "zz zz", "ÄB"] * 20)]
+    want, sizes = Counter(), np.zeros((toxicity.FOLDS, 2))
+    for text, label in texts:
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+        grams = {low[i : i + n] for n in toxicity.ORDERS for i in range(len(low) - n + 1)}
+        features = {int(f) for g in grams for f in toxicity.NGrams().of(g) if len(g) in toxicity.ORDERS}
+        assert {int(f) for f in toxicity.NGrams().of(text)} == features  # n-grams of a text are those of its parts
+        for f in {*features, -1}:
+            want[f, toxicity.fold_of(text), label] += 1
+        sizes[toxicity.fold_of(text), label] += 1
+    counts = toxicity.feature_counts(spark.createDataFrame(texts, "text string, label int"))
+    got = {r["feature"]: r for r in counts.withColumn("ratio", toxicity.log_ratio([0, 1, 2], sizes)).collect()}
+    assert {f for f, _, _ in want} == set(got)
+    n0, n1 = sizes.sum(axis=0)
+    for f, r in got.items():
+        by = [sum(want[f, fold, c] for fold in range(3)) for c in (0, 1)]
+        assert all(r[f"{'ab'[c]}{fold}"] == want[f, fold, c] for fold in range(3) for c in (0, 1))
+        ratio = math.log((by[1] + 30 * n1 / (n0 + n1)) / n1) - math.log((by[0] + 30 * n0 / (n0 + n1)) / n0)
+        assert abs(r["ratio"] - (ratio if sum(by) >= 3 and abs(ratio) >= 0.5 else 0)) < 1e-9
 
 
 def test_held_out_is_the_stated_remainder(spark):
