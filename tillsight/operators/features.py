@@ -52,6 +52,16 @@ def discover_categories(products: DataFrame) -> list[str]:
     return sorted({r[0] for r in rows} - {S.MISSING}) + [S.MISSING]
 
 
+#: The matrix' flags that name no product category.
+OTHER_FLAGS = ("has_feedback", "has_voided", "has_unscanned", "has_age_restricted", "has_sold_by_weight", "has_camera_detected_wrong_product",
+               "has_camera_detected_wrong_product_high_certainty", "has_positive_price_difference")
+
+
+def category_flags(matrix: DataFrame) -> list[str]:
+    """The columns of a feature matrix that say whether a basket has a product of a category."""
+    return [c for c, t in matrix.dtypes if t == "boolean" and c.startswith("has_") and c not in OTHER_FLAGS]
+
+
 def lines_with_products(lines: DataFrame, products: DataFrame) -> DataFrame:
     """Every line keeps its row; unknown products give null attributes."""
     p = products.select(

@@ -250,7 +250,7 @@ def predict_batch(features: DataFrame, cost_fp: float = 10.0, gain_tp: float = 5
 
 
 # ---------------------------------------------------------------- R8
-def wrong_discount_baskets(lines: DataFrame, products: DataFrame, categories: Sequence[str], eps: float = 0.01) -> DataFrame:
+def wrong_discount_baskets(lines: DataFrame, products: DataFrame, categories: Sequence[str] = WRONG_DISCOUNT_CATEGORIES, eps: float = 0.01) -> DataFrame:
     """Distinct baskets with a line |nominal - paid| > eps in the given categories."""
     p = products.select(F.col("id").alias("product_id"), "category", "price").where(F.col("category").isin(list(categories)))
     j = lines.join(p, "product_id", "inner")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillsight.functions import scalar as S
 from tillsight.operators import audits as A
 from tillsight.operators import rules
+from tillsight.operators.features import category_flags
 from tillsight.plans.basket_sql import CATEGORIES, feature_sql
 from tillsight.plans.common import features, tables
 from tillsight.plans.registry import basket_sql, finish, register
@@ -17,7 +18,8 @@ NULL_COLS = [
     "has_camera_detected_wrong_product", "has_camera_detected_wrong_product_high_certainty",
     "mean_time_between_scans", "max_time_between_scans", "time_to_first_scan", "damage",
 ]
-FLAG_COLS = ["has_" + c.lower() for c in CATEGORIES] + ["has_voided", "has_unscanned", "feedback_top"]
+MORE_FLAGS = ["has_voided", "has_unscanned", "feedback_top"]
+FLAG_COLS = ["has_" + c.lower() for c in CATEGORIES] + MORE_FLAGS  # the twin's list; the query discovers the categories
 
 
 @register("row_counts", basket_sql(
@@ -151,7 +153,8 @@ def _flag_rate_sql() -> str:
 @register("flag_rate_by_label", _flag_rate_sql())
 def q_flag_rate(spark, sf_dir):
     """A21 (+F11): wide -> long -> wide, fraud rate per flag, German category names."""
-    return finish(A.flag_rate_by_label(features(spark, sf_dir, impute=False), FLAG_COLS))
+    fm = features(spark, sf_dir, impute=False)
+    return finish(A.flag_rate_by_label(fm, category_flags(fm) + MORE_FLAGS))
 
 
 @register("camera_quality_by_month", basket_sql(

@@ -6,16 +6,19 @@ from itertools import combinations
 
 from pyspark.sql import functions as F
 
+from tillsight.functions import scalar as S
 from tillsight.operators import mining as M
+from tillsight.operators.features import category_flags, discover_categories
 from tillsight.plans.basket_sql import CATEGORIES, feature_sql
 from tillsight.plans.common import features, tables
 from tillsight.plans.registry import basket_sql, finish, register
 
 RULE_COLS = ["payment_medium", "daytime", "feedback_categorical", "has_unscanned", "has_missing", "has_positive_price_difference", "cash_desk"]
-FLAGS = ["has_" + c.lower() for c in CATEGORIES] + [
+MORE_FLAGS = [
     "has_voided", "has_unscanned", "has_age_restricted", "has_sold_by_weight", "has_positive_price_difference",
     "feedback_low", "feedback_top", "has_feedback",
 ]
+FLAGS = ["has_" + c.lower() for c in CATEGORIES] + MORE_FLAGS  # the twins' list; the queries discover the categories
 _LAB = "label IN ('FRAUD', 'NORMAL')"
 
 
@@ -46,7 +49,8 @@ def q_single_rules(spark, sf_dir):
         for a, b in combinations(FLAGS, 2)) + ") WHERE matches > 0"))
 def q_pair_rules(spark, sf_dir):
     """Two-flag rules over all binary columns, one aggregate pass."""
-    return finish(M.pair_rules(_labelled(spark, sf_dir), FLAGS))
+    fm = _labelled(spark, sf_dir)
+    return finish(M.pair_rules(fm, category_flags(fm) + MORE_FLAGS))
 
 
 _RULES_SQL = {
@@ -122,9 +126,10 @@ _VOCAB = [c.lower() for c in CATEGORIES if c != "MISSING"]
     _ITEMS_CTE))
 def q_multi_hot(spark, sf_dir):
     """Multi-hot item columns (column sums over all baskets)."""
-    items, _ = _items(spark, sf_dir)
-    mh = M.multi_hot(items, _VOCAB)
-    return mh.agg(*[F.sum(f"item_{v}").cast("bigint").alias(f"item_{v}") for v in _VOCAB])
+    items, b = _items(spark, sf_dir)
+    names = [c.lower() for c in discover_categories(b.products) if c != S.MISSING]
+    mh = M.multi_hot(items, names)
+    return mh.agg(*[F.sum(f"item_{v}").cast("bigint").alias(f"item_{v}") for v in names])
 
 
 def _powerset_sql() -> str:

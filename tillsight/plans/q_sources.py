@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tillsight.operators import audits as A
 from tillsight.operators import rules
-from tillsight.plans.basket_sql import CATEGORIES, feature_sql
+from tillsight.operators.features import discover_categories
+from tillsight.plans.basket_sql import feature_sql
 from tillsight.plans.common import FIXTURE_EXCLUDED, features, tables
 from tillsight.plans.q_rules import RULE_CTES
 from tillsight.plans.registry import basket_sql, finish, register
@@ -114,7 +115,7 @@ def q_stream(spark, sf_dir):
     to_payload(b.transactions, b.lines).select(F.col("payload").alias("value")).write.mode("overwrite").text(src)
     out, rej, ck = (IO.scratch_path(spark, n) for n in ("stream-out", "stream-rejects", "stream-ckpt"))
     excl = rules.excluded_categories(spark, FIXTURE_EXCLUDED)
-    q = start_request_stream(spark, src, out, rej, ck, b.products, b.stores, excl, CATEGORIES)
+    q = start_request_stream(spark, src, out, rej, ck, b.products, b.stores, excl, discover_categories(b.products))
     q.awaitTermination()
     res = spark.read.parquet(out).drop("epoch")
     res = res.drop("request_id").withColumn("transaction_id", F.col("transaction_id").cast("bigint"))
