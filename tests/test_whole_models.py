@@ -75,3 +75,22 @@ def test_a_column_of_ids_is_no_category(spark):
         encode.category_lists(ids, ["a", "b"])
     least = encode.category_lists(ids.where("a != '0'"), ["a", "b"])
     assert len(least["a"]) == encode.MAX_CATEGORIES and least["b"] == ["0", "1", "2"]
+
+
+def test_final_models_score_raw_rows_after_loading(spark, tmp_path):
+    from pyspark.ml import PipelineModel
+
+    rows = [(i, int(i % 4 == 0), 3.0 * (i % 4 == 0), float(i % 7) if i % 9 else None, i % 3 == 0, ["it's", "b c", None, "d\\"][i % 4]) for i in range(80)]
+    schema = "transaction_id long, y int, damage double, amount double, flag boolean, medium string"
+    data = spark.createDataFrame(rows, schema)
+    clf, reg = ML.train_final(data, str(tmp_path))
+    want = sorted(tuple(r) for r in ML.score(data, clf, reg).collect())
+    other = spark.newSession()
+    again = [PipelineModel.load(f"{tmp_path}/{name}") for name in ("classifier", "regressor")]
+    raw = other.createDataFrame(rows + [(900, 0, 0.0, 1.0, None, "never seen")], schema)
+    got = sorted(tuple(r) for r in ML.score(raw, *again).collect())
+    assert got[:-1] == want and len(got) == 81
+    encoder = encode.BasketEncoder(drop_first=True).fit(data, ("transaction_id", "y", "damage"))
+    stage, names = encoder.stage()
+    row = stage.transform(data.where("transaction_id = 0")).select(*names).first()
+    assert len(names) == len(encoder.columns_) and dict(zip(encoder.columns_, row))["medium_it_s"] == 1.0

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from tillsight.operators import evaluate as V
 from tillsight.operators import regression as R
 from tillsight.operators import sampling as O
+from tillsight.operators.encode import BasketEncoder
 from tillsight.operators.rules import decide
 
 FEATURES = "features"
@@ -135,7 +136,7 @@ def score(df: DataFrame, clf: PipelineModel, reg: PipelineModel | None = None, c
     """M2: probability, predicted damage and the M5 cost decision per row."""
     s = clf.transform(df).select(key, "y", "damage", proba().alias("p"), *[c for c in df.columns if c not in (key, "y", "damage")])
     if reg is not None:
-        s = reg.transform(s).withColumnRenamed("prediction", "damage_pred")
+        s = reg.transform(s).select(key, "y", "damage", "p", F.col("prediction").alias("damage_pred"))
     else:
         s = s.withColumn("damage_pred", F.lit(0.0))
     return s.select(key, "y", "damage", "p", "damage_pred", decide("p", "damage_pred", cost_fp, gain_tp).cast("int").alias("yhat"))
@@ -368,13 +369,30 @@ def ablate(data: DataFrame, cols: Sequence[str], model: str = "decision_tree", k
 
 
 # ---------------------------------------------------------------- M13
-def train_final(data: DataFrame, cols: Sequence[str], path: str, seed: int = 42, rows: str = "all") -> tuple[PipelineModel, PipelineModel]:
-    """Fit classifier and regressor on all rows (the latter on ``rows``) and persist them (Spark ML writer)."""
-    clf = classifier_pipeline("decision_tree", cols, seed).fit(data)
-    reg = fit_regressor(data, cols, rows, seed)
-    clf.write().overwrite().save(f"{path}/classifier")
-    reg.write().overwrite().save(f"{path}/regressor")
-    return PipelineModel.load(f"{path}/classifier"), PipelineModel.load(f"{path}/regressor")
+def train_final(data: DataFrame, path: str, exclude: Sequence[str] = ("transaction_id", "label", "damage", "y"), seed: int = 42,
+                rows: str = "all") -> tuple[PipelineModel, PipelineModel]:
+    """M13 + S11: fit classifier and regressor on all rows (the latter on ``rows``), encoder included, save and load them again.
+
+    The encoder is fitted on the columns that are not excluded and is the first
+    stage of either pipeline, so raw rows can be scored by what is loaded.
+    """
+    encoder = BasketEncoder(drop_first=True).fit(data, exclude)
+    encode, names = encoder.stage()
+    estimators = {
+        "classifier": (data, DecisionTreeClassifier(labelCol="y", maxDepth=8, seed=seed)),
+        "regressor": (SELECTORS[rows](data), GBTRegressor(labelCol="damage", maxIter=100, maxDepth=5, seed=seed)),
+    }
+
+    def job(name: str) -> Callable:
+        def run() -> PipelineModel:
+            table, model = estimators[name]
+            Pipeline(stages=[encode, assemble(names), model]).fit(table).write().overwrite().save(f"{path}/{name}")
+            return PipelineModel.load(f"{path}/{name}")
+
+        return run
+
+    clf, reg = side_by_side(data.sparkSession, [job("classifier"), job("regressor")])
+    return clf, reg
 
 
 # ---------------------------------------------------------------- T14 / T15 / T16

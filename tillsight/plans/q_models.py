@@ -92,9 +92,11 @@ def q_ablation(spark, sf_dir):
 
 @register("final_models")
 def q_final(spark, sf_dir):
-    """Train on all rows, persist, reload and score."""
-    data, _, _ = _data(spark, sf_dir)
-    clf, reg = ML.train_final(data, MODEL_COLS, scratch_path(spark, "models"))
+    """M13 + S11: train on all labelled baskets, encoder included, save, load and score raw rows."""
+    fm = features(spark, sf_dir).where(F.col("label").isin("FRAUD", "NORMAL"))
+    fm = fm.withColumn("y", (F.col("label") == "FRAUD").cast("int")).withColumn("damage", F.coalesce(F.col("damage"), F.lit(0.0)))
+    data = ML.training_table(fm, "final-rows")
+    clf, reg = ML.train_final(data, scratch_path(spark, "models"))
     return finish(V.evaluate(ML.score(data, clf, reg)))
 
 
