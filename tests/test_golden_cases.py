@@ -103,6 +103,29 @@ def test_scan_gaps_across_time_slices(spark):
     assert abs(fm[20]["mean_time_between_scans"] - sum(gaps) / len(gaps)) < 1e-9
 
 
+def test_scan_gaps_of_a_hot_basket(spark):
+    """One basket with 30 % of all lines within a minute: the same gaps, and no task sorts more than a second of it."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from tillsight.operators.features import scan_gaps
+
+    rnd = random.Random(6)
+    rows = [(1, T0 + timedelta(seconds=rnd.randrange(60), microseconds=rnd.randrange(10**6))) for _ in range(3000)]
+    rows += [(2 + i % 500, T0 + timedelta(hours=rnd.randrange(30), seconds=rnd.randrange(3600))) for i in range(7000)] + [(900, None), (901, T0)]
+    lines = spark.createDataFrame(rows, "transaction_id long, timestamp timestamp_ntz")
+    got = {r.transaction_id: r for r in scan_gaps(lines).collect()}
+    assert set(got) == {t for t, ts in rows if ts}
+    for t, r in got.items():
+        ts = sorted(x for k, x in rows if k == t and x)
+        gaps = [(b - a).total_seconds() for a, b in zip(ts, ts[1:])]
+        assert r.max_time_between_scans == (max(gaps) if gaps else None)
+        assert (r.mean_time_between_scans is None) if not gaps else abs(r.mean_time_between_scans - sum(gaps) / len(gaps)) < 1e-6
+    per_window = lines.where("timestamp is not null").groupBy("transaction_id", F.date_trunc("second", "timestamp")).count()
+    assert per_window.agg({"count": "max"}).first()[0] < 120
+
+
 def test_mode_imputation_ties_lowest(spark):
     from tillsight.operators.features import impute_by_label
 

@@ -2,22 +2,17 @@
 
 Plan shape (see ``explain``):
 
-    lines ⟕ products            (AQE picks broadcast or shuffle by measured size)
-      → Exchange hash(transaction_id, slice)        ← the only full-size shuffle
-      → Window lag(timestamp) per (basket, slice)   (scan gaps inside a slice)
-      → HashAggregate per (basket, slice)           (reuses the exchange)
-      → Exchange hash(transaction_id)               (≈ one row per basket)
-      → Window lag(slice max) per basket            (gaps across slices)
-      → HashAggregate per basket                    (reuses the exchange)
-    transactions ⟕ broadcast(stores) ⟕ basket aggregate   (co-partitioned on id)
-
-``slice`` is the scan time truncated to ``slice_unit`` (default hour).  The
-two-level aggregate is the salting step: a basket holding a third of all lines
-is spread over its time slices in the first level, and only one row per slice
-reaches the second level.  Every aggregate used is decomposable (sum, min, max,
-bool_or, count), so both levels together are exact.  The mean scan gap is
-(last - first) / (n - 1), so it needs no window at all; only the maximum gap
-needs consecutive timestamps, which the two lags provide.
+    lines ⟕ products            (AQE picks broadcast or shuffle by measured size; null ids dealt out)
+      → partial HashAggregate per basket → Exchange hash(transaction_id) → HashAggregate
+    lines (basket, time only)
+      → Window lag per (basket, hour, second) → (basket, hour) → basket     (scan gaps)
+    transactions ⟕ broadcast(stores) ⟕ basket aggregate ⟕ gaps   (co-partitioned on id)
+
+Every aggregate but the gaps is decomposable (sum, min, max, bool_or, count), so
+it is summed in the task before the exchange: a basket holding a third of all
+lines is one row a task there.  The mean scan gap is (last - first) / (n - 1);
+only the largest gap needs consecutive timestamps, and only those are sorted,
+cut by second and hour.
 """
 
 from __future__ import annotations
@@ -81,77 +76,62 @@ def basket_aggregates(
     categories: list[str],
     certainty: float = S.CAMERA_CERTAINTY_THRESHOLD,
     diff_threshold: float = 0.1,
-    slice_unit: str = "hour",
 ) -> DataFrame:
-    """A5-A12 + W1: one row per basket with line, camera, price, category and scan-gap features."""
-    lp = lines_with_products(lines, products).withColumn("category", F.coalesce(F.col("category"), F.lit(S.MISSING)))
-    lp = lp.withColumn("_slice", F.date_trunc(slice_unit, F.col("timestamp")))
-    w_in = Window.partitionBy("transaction_id", "_slice").orderBy("timestamp")
-    lp = lp.withColumn("_gap", S.micros_between(F.lag("timestamp").over(w_in), F.col("timestamp")))
+    """A5-A12 + W1: one row per basket with line, camera, price, category and scan-gap features.
 
+    Every aggregate but the gaps is decomposable and summed in the task before
+    its rows are dealt out, so a hot basket is one row a task there.
+    """
+    lp = lines_with_products(lines, products).withColumn("category", F.coalesce(F.col("category"), F.lit(S.MISSING)))
     diff = S.price_difference("price", "pieces_or_weight", "sales_price")
     unscanned = unscanned_flag()
     cam_wrong_hi = ~F.col("camera_product_similar") & (F.col("camera_certainty") >= F.lit(certainty))
-    cat_cols = [S.category_column(c) for c in categories]
-
-    level1 = lp.groupBy("transaction_id", "_slice").agg(
+    agg = lp.groupBy("transaction_id").agg(
         F.max("was_voided").alias("has_voided"),
-        F.sum(F.col("was_voided").cast("bigint")).alias("n_voided"),
-        F.bool_or(unscanned).alias("has_unscanned"),
-        F.sum(F.when(unscanned.isNotNull(), F.when(unscanned, F.col("price")).otherwise(F.lit(0.0)))).alias("price_unscanned_articles"),
-        F.sum(F.col("age_restricted").cast("bigint")).alias("n_age_restricted"),
+        sum0(F.col("was_voided").cast("bigint")).cast("bigint").alias("n_voided"),
+        any_true(unscanned).alias("has_unscanned"),
+        sum0(F.when(unscanned, F.col("price"))).cast("double").alias("price_unscanned_articles"),
+        sum0(F.col("age_restricted").cast("bigint")).cast("bigint").alias("n_age_restricted"),
         F.max("age_restricted").alias("has_age_restricted"),
         F.max("popularity").alias("popularity_max"),
         F.min("popularity").alias("popularity_min"),
         F.max("price").alias("max_product_price"),
-        F.sum(F.col("sold_by_weight").cast("bigint")).alias("n_sold_by_weight"),
+        sum0(F.col("sold_by_weight").cast("bigint")).cast("bigint").alias("n_sold_by_weight"),
         F.max("sold_by_weight").alias("has_sold_by_weight"),
-        F.min("camera_product_similar").alias("_min_similar"),
+        (~F.min("camera_product_similar")).alias("has_camera_detected_wrong_product"),
         F.max(cam_wrong_hi).alias("has_camera_detected_wrong_product_high_certainty"),
-        F.sum(diff).alias("calculated_price_difference"),
-        *[F.max(F.col("category") == F.lit(c)).alias(name) for c, name in zip(categories, cat_cols)],
-        F.max("_gap").alias("_max_gap"),
-        F.min("timestamp").alias("first_timestamp"),
-        F.max("timestamp").alias("last_timestamp"),
-        F.count("timestamp").alias("_n_ts"),
-    )
-    w_slices = Window.partitionBy("transaction_id").orderBy("_slice")
-    level1 = level1.withColumn(
-        "_edge_gap", S.micros_between(F.lag("last_timestamp").over(w_slices), F.col("first_timestamp"))
+        sum0(diff).cast("double").alias("calculated_price_difference"),
+        *[F.max(F.col("category") == F.lit(c)).alias(S.category_column(c)) for c in categories],
     )
-    agg = level1.groupBy("transaction_id").agg(
-        F.max("has_voided").alias("has_voided"),
-        sum0("n_voided").cast("bigint").alias("n_voided"),
-        any_true("has_unscanned").alias("has_unscanned"),
-        sum0("price_unscanned_articles").cast("double").alias("price_unscanned_articles"),
-        sum0("n_age_restricted").cast("bigint").alias("n_age_restricted"),
-        F.max("has_age_restricted").alias("has_age_restricted"),
-        F.max("popularity_max").alias("popularity_max"),
-        F.min("popularity_min").alias("popularity_min"),
-        F.max("max_product_price").alias("max_product_price"),
-        sum0("n_sold_by_weight").cast("bigint").alias("n_sold_by_weight"),
-        F.max("has_sold_by_weight").alias("has_sold_by_weight"),
-        (~F.min("_min_similar")).alias("has_camera_detected_wrong_product"),
-        F.max("has_camera_detected_wrong_product_high_certainty").alias("has_camera_detected_wrong_product_high_certainty"),
-        sum0("calculated_price_difference").cast("double").alias("calculated_price_difference"),
-        *[F.max(c).alias(c) for c in cat_cols],
-        F.greatest(F.max("_max_gap"), F.max("_edge_gap")).alias("_max_gap_us"),
-        F.min("first_timestamp").alias("first_timestamp"),
-        F.max("last_timestamp").alias("last_timestamp"),
-        F.sum("_n_ts").alias("_n_ts"),
+    return agg.join(scan_gaps(lines), "transaction_id", "left").withColumn(
+        "has_positive_price_difference", F.col("calculated_price_difference") > F.lit(diff_threshold)
     )
-    return (
-        agg.withColumn("has_positive_price_difference", F.col("calculated_price_difference") > F.lit(diff_threshold))
-        .withColumn(
-            "mean_time_between_scans",
-            F.try_divide(
-                S.micros_between("first_timestamp", "last_timestamp").cast("double"),
-                F.when(F.col("_n_ts") > 1, (F.col("_n_ts") - 1).cast("double")),
-            )
-            / F.lit(1e6),
+
+
+def scan_gaps(lines: DataFrame) -> DataFrame:
+    """W1 + A12: first and last scan of each basket, mean and largest seconds between its scans.
+
+    Only (basket, time) is sorted, in three steps: the scans of one second, the
+    seconds of one hour, the hours of a basket.  So a basket with a third of all
+    lines is cut by time wherever it is dense, and a step hands on one row each.
+    """
+    scans = lines.where(F.col("timestamp").isNotNull()).select(
+        "transaction_id", F.date_trunc("hour", "timestamp").alias("_hour"), F.date_trunc("second", "timestamp").alias("_second"),
+        F.col("timestamp").alias("first_timestamp"), F.col("timestamp").alias("last_timestamp"), F.lit(None).cast("bigint").alias("_gap"),
+        F.lit(1).cast("bigint").alias("_n"),
+    )
+    keys = ["transaction_id", "_hour", "_second"]
+    for depth in (3, 2, 1):
+        own = keys[:depth]
+        before = F.lag("last_timestamp").over(Window.partitionBy(*own).orderBy("first_timestamp"))
+        scans = scans.withColumn("_gap", F.greatest("_gap", S.micros_between(before, F.col("first_timestamp")))).groupBy(*own).agg(
+            F.min("first_timestamp").alias("first_timestamp"), F.max("last_timestamp").alias("last_timestamp"),
+            F.max("_gap").alias("_gap"), F.sum("_n").alias("_n"),
         )
-        .withColumn("max_time_between_scans", F.col("_max_gap_us") / F.lit(1e6))
-        .drop("_max_gap_us", "_n_ts")
+    mean = F.try_divide(S.micros_between("first_timestamp", "last_timestamp").cast("double"), F.when(F.col("_n") > 1, (F.col("_n") - 1).cast("double")))
+    return scans.select(
+        "transaction_id", "first_timestamp", "last_timestamp", (mean / F.lit(1e6)).alias("mean_time_between_scans"),
+        (F.col("_gap") / F.lit(1e6)).alias("max_time_between_scans"),
     )
 
 
@@ -227,7 +207,6 @@ def feature_matrix(
     categories: list[str] | None = None,
     impute: bool = True,
     diff_threshold: float = 0.1,
-    slice_unit: str = "hour",
     location_codes: dict[str, str] | None = None,
     checkpoint: bool = True,
 ) -> DataFrame:
@@ -243,7 +222,7 @@ def feature_matrix(
     cats = discover_categories(products) if categories is None else categories
     t = transaction_features(tx)
     s = store_features(stores, location_codes)
-    b = basket_aggregates(lines, products, cats, diff_threshold=diff_threshold, slice_unit=slice_unit)
+    b = basket_aggregates(lines, products, cats, diff_threshold=diff_threshold)
     j = (
         t.join(F.broadcast(s), "store_id", "left")
         .join(b, t["id"] == b["transaction_id"], "left")
