@@ -78,7 +78,7 @@ def test_simhash_rows_and_defined_cases(spark):
     kept = simhash.one_of_each(df)
     assert kept.columns == df.columns
     ids = [r.doc_id for r in kept.collect()]
-    assert sorted(i for i in ids if i is not None) == sorted({c for *_, c in want if c is not None}) and ids.count(None) == 2
+    assert sorted(i for i in ids if i is not None) == sorted({c for *_, c in want if c is not None}) and ids.count(None) == 1  # the other one has a copy with an id
     assert simhash.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
 
 

@@ -163,8 +163,8 @@ def one_of_each(documents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
 
     Rows are told apart by id and text, so rows of one id may go or stay each
     by itself; of equal id in a component, the smallest (fingerprint, XXH64 of
-    the text) stays.  Of the rows without an id, one of each component stays,
-    also beside a row with an id.
+    the text) stays.  A row without an id stays only where its component has
+    none with one.
     """
     key, mark = scratch_name("key"), scratch_name("mark")
     rows = documents.withColumn(key, F.col("doc_id").cast("long")).withColumn(mark, F.xxhash64("text"))
@@ -175,8 +175,8 @@ def one_of_each(documents: DataFrame, max_bits: int = MAX_BITS) -> DataFrame:
     root = _grouped(prints, max_bits).select("fp", "root")
     kept = (
         prints.join(root, "fp")
-        .groupBy("root", F.col("doc_id").isNull())
-        .agg(F.min(F.struct("doc_id", "fp", "mark")).alias("row"))
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "mark")).alias("row"))
         .select(F.col("row.doc_id").alias("a"), F.col("row.mark").alias("b"))
     )
     stay = rows.join(kept, rows[key].eqNullSafe(kept["a"]) & (rows[mark] == kept["b"]), "left_semi")
