@@ -25,16 +25,17 @@ def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def written_in_buckets(df: DataFrame, keys: list[str], name: str) -> DataFrame:
+def written_in_buckets(df: DataFrame, keys: list[str], name: str, dealt: bool = False) -> DataFrame:
     """Like ``written``, in buckets by ``keys``, so that later joins by them leave its rows where they are.
 
-    Buckets need a table of the catalog to be written; it is dropped at once, and the files are read without it.
+    With ``dealt``, its rows are repartitioned by ``keys`` already.  Buckets need a table of the catalog to be
+    written; it is dropped at once, and the files are read without it.
     """
     spark = df.sparkSession
     name = f"{name}_{uuid.uuid4().hex[:12]}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}"
-    rows = df.repartition(buckets, *keys)
+    rows = df if dealt else df.repartition(buckets, *keys)
     rows.write.bucketBy(buckets, *keys).option("path", path).option("compression", "zstd").saveAsTable(name)
     out = spark.table(name)
     spark.sql(f"DROP TABLE {name}")

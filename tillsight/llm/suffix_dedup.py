@@ -27,7 +27,6 @@ included.
 from __future__ import annotations
 
 import hashlib
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,9 +36,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillsight.llm.common import byte_slices, scratch_name, split_text, written
+from tillsight.llm.common import byte_slices, scratch_name, split_text, written, written_in_buckets
 from tillsight.llm.deepshallow import sort_groups
-from tillsight.session import ensure_checkpoint_dir
 
 WIDTH = 200
 GRAM = 40
@@ -118,7 +116,7 @@ def _anchor_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def _first_of_each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose key this task has not met; two longs are kept for each."""
+    """Rows whose key this task has not met; two longs are kept for each distinct text of the task's partition."""
     met: set[tuple[int, int]] = set()
     for batch in batches:
         keys = list(zip(batch.column("k1").to_pylist(), batch.column("k2").to_pylist()))
@@ -140,10 +138,7 @@ def distinct_texts(rows: DataFrame) -> DataFrame:
     schema = "k1 long, k2 long, text string"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = rows.select(*KEYS, "text").mapInArrow(_first_of_each, schema).repartition(buckets, *KEYS).mapInArrow(_first_of_each, schema)
-    name = f"llm_texts_{uuid.uuid4().hex[:12]}"
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/llm/{name}"
-    found.write.bucketBy(buckets, *KEYS).option("path", path).option("compression", "zstd").saveAsTable(name)
-    return spark.table(name)
+    return written_in_buckets(found, KEYS, "llm_texts", dealt=True)
 
 
 def _context_batches(with_bytes: bool):
