@@ -2,8 +2,10 @@
 
 from datetime import datetime
 
+import pytest
 from pyspark.sql import functions as F
 
+from tillsight.operators import audits as A
 from tillsight.sources import basket as B
 
 LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
@@ -27,3 +29,22 @@ def test_lines_fill_their_partitions(spark, monkeypatch):
     per_basket = dealt.groupBy("transaction_id").agg(F.count(F.lit(1)).alias("n"))
     assert per_basket.rdd.getNumPartitions() == tasks  # no merging of what is dealt out, no further exchange
     assert sorted(map(str, dealt.collect())) == sorted(map(str, B.lines_view(lineitem, part, orders).collect()))
+
+
+@pytest.fixture
+def counted(spark):
+    """Rows of a table, and how many of them were computed."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def value(i):
+        seen.add(1)
+        return float(i * i % 17)
+
+    rows = spark.range(0, 200, 1, 4).select("id", (F.col("id") % 2).cast("string").alias("label"), F.udf(value, "double").asNondeterministic()("id").alias("x"))
+    return rows.withColumn("y", F.col("id").cast("double")), seen
+
+
+def test_histogram_computes_its_column_once(counted):
+    df, seen = counted
+    assert sum(r["count"] for r in A.shared_edge_hist(df, "x", "label", 4).collect()) == 200
+    assert seen.value == 200

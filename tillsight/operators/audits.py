@@ -93,8 +93,12 @@ def shared_edge_hist(df: DataFrame, col: str, by: str, bins: int = 19) -> DataFr
     """linspace(min, max, bins + 1) edges shared by all classes; last bin closed.
 
     Skips the column when its range is zero; classes without values yield no rows.
+    The two columns are written once for the range and the counts.
     """
-    x = F.col(col).cast("double")
+    from tillsight.session import cut_lineage
+
+    x = F.col("_x")
+    df = cut_lineage(df.select(by, F.col(col).cast("double").alias("_x")), "hist")
     rng = df.agg(F.struct(F.min(x).alias("lo"), F.max(x).alias("hi"))).scalar()  # one scalar subquery
     lo, hi = rng["lo"], rng["hi"]
     idx = F.least(F.floor((x - lo) / (hi - lo) * F.lit(bins)), F.lit(bins - 1)).cast("int")
