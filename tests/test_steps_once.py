@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillsight.operators import audits as A
+from tillsight.operators import stats as T
 from tillsight.sources import basket as B
 
 LINEITEM = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, l_linestatus string"
@@ -48,3 +49,9 @@ def test_histogram_computes_its_column_once(counted):
     df, seen = counted
     assert sum(r["count"] for r in A.shared_edge_hist(df, "x", "label", 4).collect()) == 200
     assert seen.value == 200
+
+
+def test_monotone_gap_computes_its_columns_once(counted):
+    df, seen = counted
+    assert [r["feature"] for r in T.monotone_gap(df, ["x"], "y", "id").collect()] == ["x"]
+    assert seen.value == 200

@@ -224,8 +224,15 @@ def spearman_matrix(df: DataFrame, cols: Sequence[str], key: str) -> DataFrame:
 
 
 def monotone_gap(df: DataFrame, features: Sequence[str], target: str, key: str) -> DataFrame:
-    """Pearson vs Spearman of each feature against the target, sorted by |gap|."""
+    """Pearson vs Spearman of each feature against the target, sorted by |gap|.
+
+    The columns are written once: the two matrices and the steps of the ranks
+    read them several times.
+    """
+    from tillsight.session import cut_lineage
+
     cols = [*features, target]
+    df = cut_lineage(df.select(key, *cols), "gap-columns")
     p = pearson_matrix(df, cols).where(F.col("col2") == target).select(F.col("col1").alias("feature"), F.col("r").alias("pearson"))
     s = spearman_matrix(df, cols, key).where(F.col("col2") == target).select(F.col("col1").alias("feature"), F.col("rho").alias("spearman"))
     j = p.join(s, "feature")
