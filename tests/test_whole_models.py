@@ -41,6 +41,15 @@ def test_comparison_runs_every_model_and_its_metrics_are_those_of_its_scores(spa
     assert set(table.columns) == {"metric", "statistic", *ML.FACTORY} and table.count() == 4 * len(ML.COMPARED)
 
 
+def test_forest_keeps_the_nodes_of_its_rows_and_stays_the_same(spark):
+    rows = ML.assemble(["x", "z"]).transform(small(spark)).select("y", "features")
+    _, kept = ML.make_classifier("random_forest")
+    assert kept.getCacheNodeIds()
+    walked = kept.copy({kept.cacheNodeIds: False})
+    nodes = [[t.toDebugString.split("\n", 1)[1] for t in forest.fit(rows).trees] for forest in (kept, walked)]
+    assert len(nodes[0]) == 100 and nodes[0] == nodes[1]
+
+
 def test_creators_and_ablation(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
