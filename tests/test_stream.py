@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from tests.baskets import PRODUCT_SCHEMA, PRODUCTS, STORE_SCHEMA, STORES
 from tillsight.operators import rules
 from tillsight.sources.files import scratch_path
-from tillsight.streaming.screening import start_request_stream
+from tillsight.sources.requests import parse_requests
+from tillsight.streaming.screening import held_requests, start_request_stream
 
 
 def _doc(tid, lines, pay="CASH"):
@@ -82,3 +83,14 @@ def test_requests_are_told_apart_without_their_ids(spark):
     res, rejects = _stream(spark, docs, spark.createDataFrame(PRODUCTS, PRODUCT_SCHEMA), "same")
     assert not rejects and len(res) == 4 and len({r["request_id"] for r in res}) == 4
     assert sorted((r["transaction_id"] or "", r["rule"]) for r in res) == [("", "model"), ("", "model"), ("1", "model"), ("1", "unscanned")]
+
+
+def test_the_text_of_a_request_is_held_for_rejects_only(spark):
+    line = {"id": 1, "product_id": "4", "timestamp": "2024-03-04T09:01:00", "pieces_or_weight": 1.0, "sales_price": 0.0, "was_voided": True}
+    docs = [_doc(1, [line, dict(line, id=2)]), _doc(2, [line, dict(line, id="x", sales_price=None), None]), "{not json"]
+    parsed = held_requests(parse_requests(spark.createDataFrame([(d,) for d in docs], "payload string").coalesce(1)))
+    rows = parsed.select("raw", "reject_reason", "request.transaction_lines").collect()
+    assert [r.raw for r in rows] == [None, *docs[1:]] and rows[0].reject_reason is None and rows[2].reject_reason == "malformed JSON"
+    missing = [f"line field missing: line.{f}" for f in ("id", "timestamp", "pieces_or_weight", "sales_price", "was_voided")]
+    assert rows[1].reject_reason.split(", ") == ["line.id: not a int", missing[3], missing[0], missing[1], missing[2], missing[4]]
+    assert [x.id for x in rows[0].transaction_lines] == [1, 2] and [x.id for x in rows[1].transaction_lines] == [1, None, None]

@@ -66,11 +66,11 @@ def _typed(struct: Column, types: dict[str, str]) -> Column:
     return F.struct(*[struct[f].try_cast(t).alias(f) for f, t in types.items()])
 
 
-def _wrong(struct: Column, types: dict[str, str], required: list[str], name: str) -> list[Column]:
-    """For each field null, or what is wrong with it: its type, or that it is missing."""
+def _wrong(struct: Column, typed: Column, types: dict[str, str], required: list[str], name: str) -> list[Column]:
+    """For each field null, or what is wrong with it: its type (``typed`` has it cast), or that it is missing."""
     out = []
     for f, t in types.items():
-        bad = F.when(struct[f].isNotNull() & struct[f].try_cast(t).isNull(), F.lit(f"{name}.{f}: not a {t}"))
+        bad = F.when(struct[f].isNotNull() & typed[f].isNull(), F.lit(f"{name}.{f}: not a {t}"))
         out.append(bad.when(struct[f].isNull(), F.lit(f"{name} field missing: {name}.{f}")) if f in required else bad)
     return out
 
@@ -86,21 +86,24 @@ def parse_requests(raw: DataFrame, text_col: str = "payload") -> DataFrame:
     doc = F.from_json(F.col(text_col), REQUEST_SCHEMA)
     parsed = raw.select(doc.alias("_doc"), F.col(text_col).alias("raw"))
     header, lines = F.col("_doc.transaction_header"), F.col("_doc.transaction_lines")
+    parsed = parsed.select(
+        "_doc", "raw", _typed(header, HEADER_TYPES).alias("_header"), F.transform(lines, lambda l: _typed(l, LINE_TYPES)).alias("_lines")
+    )  # each field is cast once, for the check and the request
     # PERMISSIVE from_json yields a struct of nulls (not a null struct) for malformed text
     malformed = F.col("_doc").isNull() | (F.col("_doc.transaction_id").isNull() & header.isNull() & lines.isNull())
-    of_lines = F.array_distinct(F.flatten(F.transform(
-        F.coalesce(lines, F.array()), lambda l: F.array_compact(F.array(*_wrong(l, LINE_TYPES, REQUIRED_LINE, "line")))
-    )))
+    of_lines = F.array_distinct(F.flatten(F.coalesce(F.zip_with(
+        lines, "_lines", lambda l, typed: F.array_compact(F.array(*_wrong(l, typed, LINE_TYPES, REQUIRED_LINE, "line")))
+    ), F.array())))
     found = F.concat(
         F.array_compact(F.array(
-            *_wrong(header, HEADER_TYPES, REQUIRED_HEADER, "header"), F.when(lines.isNull(), F.lit("transaction_lines missing"))
+            *_wrong(header, F.col("_header"), HEADER_TYPES, REQUIRED_HEADER, "header"), F.when(lines.isNull(), F.lit("transaction_lines missing"))
         )),
         of_lines,
     )
     request = F.struct(
         F.col("_doc.transaction_id").alias("transaction_id"),
-        _typed(header, HEADER_TYPES).alias("transaction_header"),
-        F.transform(lines, lambda l: _typed(l, LINE_TYPES)).alias("transaction_lines"),
+        F.col("_header").alias("transaction_header"),
+        F.col("_lines").alias("transaction_lines"),
     )
     return parsed.select(
         F.concat_ws("-", F.substring(F.sha2("raw", 256), 1, 16), F.monotonically_increasing_id()).alias("request_id"),

@@ -40,6 +40,11 @@ def screen_requests(parsed: DataFrame, products: DataFrame, stores: DataFrame, e
     return out.join(parsed.select("request_id", F.col("request.transaction_id").alias("transaction_id")), "request_id")
 
 
+def held_requests(parsed: DataFrame) -> DataFrame:
+    """What a micro-batch keeps of its parsed requests: the text of the rejects only, that of the others is not read again."""
+    return parsed.withColumn("raw", F.when(F.col("reject_reason").isNotNull(), F.col("raw")))
+
+
 def start_request_stream(
     spark: SparkSession,
     source_dir: str,
@@ -60,7 +65,7 @@ def start_request_stream(
     raw = reader.load(source_dir)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch = parse_requests(batch, "value").persist()
+        batch = held_requests(parse_requests(batch, "value")).persist()
         try:
             rejects = batch.where(F.col("reject_reason").isNotNull()).select("raw", "reject_reason")
             rejects.write.mode("overwrite").parquet(f"{reject_dir}/epoch={epoch_id}")
