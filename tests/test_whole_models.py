@@ -50,6 +50,19 @@ def test_forest_keeps_the_nodes_of_its_rows_and_stays_the_same(spark):
     assert len(nodes[0]) == 100 and nodes[0] == nodes[1]
 
 
+def test_search_begins_its_longest_fits_first_and_keeps_the_order_of_its_settings(spark, monkeypatch):
+    settings, begun = [{"maxIter": n, "maxDepth": 2} for n in (1, 3, 2)], []
+    fit = ML.Pipeline.fit
+    monkeypatch.setattr(ML.Pipeline, "fit", lambda self, rows: begun.append(self.getStages()[-1].getMaxIter()) or fit(self, rows))
+    monkeypatch.setattr(ML, "side_by_side", lambda spark, jobs: [job() for job in jobs])
+    got = ML.search(small(spark), small(spark, 60), ["x", "z"], "boosted_trees", settings).orderBy("trial").collect()
+    assert begun == [3, 3, 2, 2, 1, 1]
+    assert [(r.trial, r.params) for r in got] == [(i, str(sorted(x.items()))) for i, x in enumerate(settings)]
+    for r, x in zip(got, settings):
+        alone = ML.search(small(spark), small(spark, 60), ["x", "z"], "boosted_trees", [x]).first()
+        assert tuple(alone)[1:] == tuple(r)[1:]
+
+
 def test_creators_and_ablation(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
