@@ -83,6 +83,19 @@ def test_held_out_labels_are_never_learnt_from(spark):
     assert (a.weights == b.weights).all() and a.bias == b.bias
 
 
+def test_a_toxicity_model_does_not_hang_on_the_order_of_its_rows():
+    from types import SimpleNamespace
+
+    import numpy as np
+    import pyarrow as pa
+
+    ratios = SimpleNamespace(value=np.random.default_rng(1).normal(size=(4, 1 << toxicity.HASH_BITS)).astype(np.float32))
+    rows = pa.table({"text": [f"some words number {i * i}, {'bad' * (i % 3)}" for i in range(90)], "label": pa.array([i % 2 for i in range(90)], pa.int32())})
+    batches = [*toxicity._rows_for_models(ratios)(iter(rows.to_batches(max_chunksize=7)))]
+    first, again = ({r["model"][0]: r for r in (b.to_pydict() for b in toxicity._fitted(ratios)(iter(x)))} for x in (batches, batches[::-1]))
+    assert len(first) == 4 and first == again
+
+
 @pytest.mark.parametrize("module", [quality, toxicity])
 def test_defined_cases(spark, module):
     label = "quality" if module is quality else "toxic"

@@ -32,6 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,8 +80,12 @@ class NGrams:
         return feature[self.last[feature] == place]
 
 
+def hash_of(text: str | None) -> int:
+    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 5)
+
+
 def fold_of(text: str | None) -> int:
-    return xxhash.xxh64_intdigest((text or "").encode("utf-8", "surrogatepass"), 5) % FOLDS
+    return hash_of(text) % FOLDS
 
 
 def _class_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,20 +194,22 @@ def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, label: np.n
 
 
 def _rows_for_models(ratios):
-    """Each training row for every model: its label, fold and the features that have a ratio in it."""
+    """Each training row for every model: its label, fold, hash and the features that have a ratio in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = NGrams()
         for batch in byte_slices(batches, "text"):
             texts = batch.column("text").to_pylist()
             every = [f.astype(np.int32) for f in map(grams.of, texts)]
+            hashes = [hash_of(t) for t in texts]
+            folds, place = pa.array([h % FOLDS for h in hashes], pa.int32()), pa.array(np.array(hashes, np.uint64).view(np.int64))
             for model in range(FOLDS + 1):
                 useful = ratios.value[model] != 0
                 features = [f[useful[f]] for f in every]
                 cuts = pa.array(np.cumsum([0, *map(len, features)]).astype(np.int32))
                 lists = pa.ListArray.from_arrays(cuts, pa.array(np.concatenate(features)))
                 number = pa.array(np.full(len(texts), model, np.int32))
-                yield pa.record_batch([number, batch.column("label"), pa.array([fold_of(t) for t in texts], pa.int32()), lists], names=["model", "label", "fold", "features"])
+                yield pa.record_batch([number, batch.column("label"), folds, place, lists], names=["model", "label", "fold", "place", "features"])
 
     return run
 
@@ -211,6 +218,8 @@ def _fitted(ratios):
     """One row for each model: its weights, and the margins it gives to the rows of its fold."""
 
     def fit(model: int, rows: pa.Table) -> pa.RecordBatch:
+        # the tasks' rows come in any order, and sums of floats hang on it
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("place", "ascending"), ("label", "ascending")]))
         label, fold = (rows.column(c).to_numpy() for c in ("label", "fold"))
         lists = rows.column("features").combine_chunks()
         feature = lists.values.to_numpy()
@@ -237,8 +246,8 @@ def _fitted(ratios):
             number = batch.column("model").to_numpy()
             for model in np.unique(number).tolist():
                 held.setdefault(model, []).append(batch.filter(pa.array(number == model)))
-        for model, rows in held.items():
-            yield fit(model, pa.Table.from_batches(rows))
+        for model in [*held]:
+            yield fit(model, pa.Table.from_batches(held.pop(model)))
 
     return run
 
@@ -273,7 +282,7 @@ def fit(documents: DataFrame, labels: DataFrame, label: str = "toxic", max_rows:
     for n in names:
         ratios[int(n[1:]), useful["feature"]] = useful[n]
     shared = sample.sparkSession.sparkContext.broadcast(ratios)
-    rows = sample.mapInArrow(_rows_for_models(shared), "model int, label int, fold int, features array<int>")
+    rows = sample.mapInArrow(_rows_for_models(shared), "model int, label int, fold int, place long, features array<int>")
     schema = "model int, bias double, feature array<int>, weight array<double>, margin array<double>, label array<int>"
     found = {r["model"]: r for r in rows.repartition(FOLDS + 1, "model").mapInArrow(_fitted(shared), schema).collect()}
     weights = np.zeros(1 << HASH_BITS)
