@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillsight.operators import audits as A
+from tillsight.operators import models as ML
 from tillsight.operators import stats as T
 from tillsight.sources import basket as B
 
@@ -55,3 +56,26 @@ def test_monotone_gap_computes_its_columns_once(counted):
     df, seen = counted
     assert [r["feature"] for r in T.monotone_gap(df, ["x"], "y", "id").collect()] == ["x"]
     assert seen.value == 200
+
+
+def test_final_fits_encode_each_row_once(counted, tmp_path):
+    df, seen = counted
+    data = df.select("id", F.col("label").cast("int").alias("y"), (F.col("id") % 3).cast("double").alias("damage"), "x", F.col("label").alias("medium"))
+    clf, reg = ML.train_final(data, str(tmp_path), exclude=("id", "y", "damage"))
+    assert seen.value == 200
+    assert len(clf.stages) == len(reg.stages) == 3 and reg.transform(data).count() == 200
+
+
+def test_rows_of_a_fit_are_dealt_to_all_cores(spark, monkeypatch):
+    rows = spark.range(0, 1000, 1, 2).withColumn("x", F.col("id") * 2)
+    least, cores = 7, spark.sparkContext.defaultParallelism
+    assert ML.fit_table(rows, 1000, "few").rdd.getNumPartitions() == 2  # too few for more tasks
+    monkeypatch.setattr(ML, "LEAST_ROWS", least)
+    for most in (ML.ROWS_PER_TASK, 20):
+        monkeypatch.setattr(ML, "ROWS_PER_TASK", most)
+        share = min(max(-(-1000 // cores), least), most)
+        table = ML.fit_table(rows, 1000, "dealt")
+        sizes = [len(p) for p in table.rdd.glom().collect()]
+        assert len(sizes) == 2 * -(-500 // share) and max(sizes) == share
+        assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
+    assert spark.conf.get("spark.sql.files.openCostInBytes") != spark.conf.get("spark.sql.files.maxPartitionBytes")
