@@ -67,15 +67,15 @@ def test_final_fits_encode_each_row_once(counted, tmp_path):
 
 
 def test_rows_of_a_fit_are_dealt_to_all_cores(spark, monkeypatch):
-    rows = spark.range(0, 1000, 1, 2).withColumn("x", F.col("id") * 2)
-    least, cores = 7, spark.sparkContext.defaultParallelism
-    assert ML.fit_table(rows, 1000, "few").rdd.getNumPartitions() == 2  # too few for more tasks
-    monkeypatch.setattr(ML, "LEAST_ROWS", least)
+    rows = spark.range(0, 4000, 1, 2).withColumn("x", F.col("id") * 2)
+    cores = spark.sparkContext.defaultParallelism
+    assert ML.fit_table(rows, 4000, "few").rdd.getNumPartitions() == 1  # too few for more tasks
+    monkeypatch.setattr(ML, "LEAST_ROWS", 10)
     for most in (ML.ROWS_PER_TASK, 20):
         monkeypatch.setattr(ML, "ROWS_PER_TASK", most)
-        share = min(max(-(-1000 // cores), least), most)
-        table = ML.fit_table(rows, 1000, "dealt")
+        share = min(max(4000 // cores, 10) * 11 // 10, most)
+        table = ML.fit_table(rows, 4000, "dealt")
         sizes = [len(p) for p in table.rdd.glom().collect()]
-        assert len(sizes) == 2 * -(-500 // share) and max(sizes) == share
+        assert len(sizes) == 2 * -(-2000 // share) and max(sizes) == min(share, 2000)
         assert sorted(map(tuple, table.collect())) == sorted(map(tuple, rows.collect()))
     assert spark.conf.get("spark.sql.files.openCostInBytes") != spark.conf.get("spark.sql.files.maxPartitionBytes")
