@@ -69,3 +69,28 @@ def test_load_split_test_data(spark):
     t = load_split(tx, testdata=True).collect()
     assert {r["label"] for r in t} == {"UNKNOWN"} and {r["damage"] for r in t} == {0.0}
     assert [r["id"] for r in load_split(tx, only_labeled=True).collect()] == [1]
+
+
+def test_null_report_counts_every_column_of_the_matrix(spark, tmp_path):
+    from datetime import datetime
+
+    from tillsight.plans import QUERIES
+
+    day = datetime(1995, 3, 4)
+    tables = {
+        "region": ([(0, "CITIES")], "r_regionkey int, r_name string"),
+        "nation": ([(0, 0)], "n_nationkey int, n_regionkey int"),
+        "part": ([(1, "PROMO", 5, 10.0)], "p_partkey long, p_type string, p_size int, p_retailprice double"),
+        "orders": ([(1, 0, "F", 20.0, day, "1-URGENT"), (2, 0, "O", None, day, "1-URGENT"), (3, 1, "O", 5.0, day, "2-HIGH")],
+                   "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "lineitem": ([(1, 1, 1, 1, 2.0, 0.0, "N", "O"), (1, 1, 1, 2, 1.0, 0.0, "N", "O")],
+                     "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_discount double, l_returnflag string, "
+                     "l_linestatus string"),
+    }
+    for name, (rows, schema) in tables.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+    got = {r["column"]: r["null_count"] for r in QUERIES["null_report"](spark, str(tmp_path)).collect()}
+    # one order has no amount, two have no lines, one has a store that is not in the table
+    assert got["total_amount"] == got["urbanization"] == got["location"] == got["days_since_sco_introduction"] == 1
+    assert got["n_voided"] == got["has_promo"] == got["max_product_price"] == got["time_from_last_scan_to_end"] == 2
+    assert {"transaction_id", "store_id", "damage", "label", "n_lines"}.isdisjoint(got) and all(got.values())

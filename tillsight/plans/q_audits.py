@@ -13,11 +13,6 @@ from tillsight.plans.common import features, tables
 from tillsight.plans.registry import basket_sql, finish, register
 
 DESCRIBE_COLS = ["total_amount", "n_lines", "damage", "mean_time_between_scans", "max_time_between_scans", "calculated_price_difference"]
-NULL_COLS = [
-    "daytime", "location", "has_voided", "n_voided", "has_age_restricted", "popularity_max",
-    "has_camera_detected_wrong_product", "has_camera_detected_wrong_product_high_certainty",
-    "mean_time_between_scans", "max_time_between_scans", "time_to_first_scan", "damage",
-]
 MORE_FLAGS = ["has_voided", "has_unscanned", "feedback_top"]
 FLAG_COLS = ["has_" + c.lower() for c in CATEGORIES] + MORE_FLAGS  # the twin's list; the query discovers the categories
 
@@ -72,12 +67,11 @@ def q_describe(spark, sf_dir):
 
 
 @register("null_report", feature_sql(
-    "SELECT \"column\", null_count FROM ("
-    + " UNION ALL ".join(f"SELECT '{c}' AS \"column\", COUNT(*) FILTER (WHERE {c} IS NULL) AS null_count FROM fm0" for c in NULL_COLS)
-    + ") WHERE null_count > 0"))
+    "SELECT \"column\", null_count FROM (UNPIVOT (SELECT COUNT(*) - COUNT(COLUMNS(*)) AS \"\\0\" FROM fm0) "
+    "ON COLUMNS(*) INTO NAME \"column\" VALUE null_count) WHERE null_count > 0"))
 def q_null_report(spark, sf_dir):
-    """Null count per column (non-zero only) of the raw feature matrix."""
-    return A.null_report(features(spark, sf_dir, impute=False), NULL_COLS)
+    """Null count per column (non-zero only) of the raw feature matrix, over all its columns."""
+    return A.null_report(features(spark, sf_dir, impute=False))
 
 
 @register("hist_total_amount", basket_sql(
