@@ -59,6 +59,12 @@ def test_near_pairs_find_every_pair_of_two_bits(spark):
     assert got == want and len(want) > 50
 
 
+def test_dealt_fingerprints_do_not_go_by_way_of_the_driver(spark):
+    prints = spark.createDataFrame([(i * 977,) for i in range(50)], "fp long")
+    plan = simhash.near_pairs(prints)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_simhash_rows_and_defined_cases(spark):
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefg") for _ in range(5))

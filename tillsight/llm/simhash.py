@@ -131,9 +131,10 @@ def near_pairs(prints: DataFrame, max_bits: int = MAX_BITS, bands: int = BANDS)
         for k, kept in enumerate(combinations(range(bands), bands - max_bits))
     ]
     dealt = table.select("fp", "full", F.explode(F.array(*choices)).alias("key"))
+    # the planner sizes a table without its explode, and would send all of a small one's 28 rows a fingerprint by way of the driver
     met = (
         dealt.alias("a")
-        .join(dealt.alias("b"), F.expr("a.key = b.key and a.fp < b.fp"))
+        .join(dealt.alias("b").hint("merge"), F.expr("a.key = b.key and a.fp < b.fp"))
         .where(F.expr(f"{_largest_difference()} <= {max_bits}"))
         .where(F.expr(f"bit_count(a.fp ^ b.fp) <= {max_bits}"))
     )
