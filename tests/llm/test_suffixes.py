@@ -109,3 +109,10 @@ def test_op7_on_the_whole_table(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()
     want = sorted((d, *w[:4]) for (d, _), w in zip(docs, plain_removals([t for _, t in docs])))
     assert sorted(tuple(r) for r in queries.QUERIES["op7_deep_shallow_suffixes"](spark, SF).collect()) == want
+
+
+def test_windows_of_hot_anchors_do_not_go_by_way_of_the_driver(spark):
+    kinds = "gram long, kind long, least int, largest int, around binary, copies long"
+    around = spark.createDataFrame([(1, k, 0, 3, bytes(range(k, k + suffix_dedup.WIDTH + 3)), 1) for k in (1, 2)], kinds)
+    plan = suffix_dedup._hot_offsets(around)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan

@@ -255,7 +255,8 @@ def _hot_offsets(around: DataFrame) -> DataFrame:
         "gram", "kind", "copies", "offset", F.md5(F.substring("around", F.col("largest") - F.col("offset") + 1, F.lit(WIDTH))).alias("window")
     )
     again = windows.groupBy("gram", "offset", "window").agg(F.sum("copies").alias("times")).where("times >= 2").drop("times")
-    found = windows.join(again, ["gram", "offset", "window"], "left_semi")
+    # merged, as the planner sizes a table without its explode and might send it by way of the driver
+    found = windows.join(again.hint("merge"), ["gram", "offset", "window"], "left_semi")
     return found.groupBy("gram", "kind").agg(F.min("offset").cast("int").alias("first"), F.max("offset").cast("int").alias("last"))
 
 
