@@ -1,13 +1,15 @@
 """ST1/ST2: stream answers like the batch job; invalid requests go to the reject sink."""
 
 import json
+import os
 
 from pyspark.sql import functions as F
 
 from tests.baskets import PRODUCT_SCHEMA, PRODUCTS, STORE_SCHEMA, STORES
 from tillsight.operators import rules
 from tillsight.sources.files import scratch_path
-from tillsight.sources.requests import parse_requests
+from tillsight.sources.requests import parse_requests, write_requests
+from tillsight.streaming import screening
 from tillsight.streaming.screening import held_requests, start_request_stream
 
 
@@ -94,3 +96,28 @@ def test_the_text_of_a_request_is_held_for_rejects_only(spark):
     missing = [f"line field missing: line.{f}" for f in ("id", "timestamp", "pieces_or_weight", "sales_price", "was_voided")]
     assert rows[1].reject_reason.split(", ") == ["line.id: not a int", missing[3], missing[0], missing[1], missing[2], missing[4]]
     assert [x.id for x in rows[0].transaction_lines] == [1, 2] and [x.id for x in rows[1].transaction_lines] == [1, None, None]
+
+
+def test_request_files_are_compressed_and_hold_so_many_documents(spark):
+    src = scratch_path(spark, "written-requests")
+    docs = [_doc(i, []) for i in range(10)]
+    write_requests(spark.createDataFrame([(d,) for d in docs], "payload string").coalesce(1), src, per_file=4)
+    read = spark.read.text(src)
+    assert sorted(r.value for r in read.collect()) == sorted(docs)
+    files = read.inputFiles()
+    assert len(files) == 3 and all(f.endswith(".gz") for f in files)
+
+
+def test_a_micro_batch_is_held_compressed_and_goes_with_it(spark, monkeypatch):
+    line = {"id": 1, "product_id": "4", "timestamp": "2024-03-04T09:01:00", "pieces_or_weight": 1.0, "sales_price": 0.0, "was_voided": True}
+    held, screened = [], screening.screen_requests
+
+    def screen_requests(parsed, *args):
+        held.extend(parsed.inputFiles())
+        return screened(parsed, *args)
+
+    monkeypatch.setattr(screening, "screen_requests", screen_requests)
+    res, rejects = _stream(spark, [_doc(1, [line]), "{not json"], spark.createDataFrame(PRODUCTS, PRODUCT_SCHEMA), "held")
+    assert [r["transaction_id"] for r in res] == ["1"] and rejects == ["malformed JSON"]
+    assert held and all(f.endswith(".zstd.parquet") for f in held)
+    assert not any(os.path.exists(f.removeprefix("file://").removeprefix("file:")) for f in held)

@@ -14,7 +14,7 @@ from tillsight.plans.common import FIXTURE_EXCLUDED, features, tables
 from tillsight.plans.q_rules import RULE_CTES
 from tillsight.plans.registry import basket_sql, finish, register
 from tillsight.sources import files as IO
-from tillsight.sources.requests import header_rows, line_rows, parse_requests, to_payload
+from tillsight.sources.requests import header_rows, line_rows, parse_requests, to_payload, write_requests
 from tillsight.streaming.screening import start_request_stream
 
 
@@ -112,7 +112,7 @@ def q_stream(spark, sf_dir):
     """ST1 (+ST2, S4, S5): request documents streamed through foreachBatch, screened like the batch job."""
     b = tables(spark, sf_dir)
     src = IO.scratch_path(spark, "requests")
-    to_payload(b.transactions, b.lines).select(F.col("payload").alias("value")).write.mode("overwrite").text(src)
+    write_requests(to_payload(b.transactions, b.lines), src)
     out, rej, ck = (IO.scratch_path(spark, n) for n in ("stream-out", "stream-rejects", "stream-ckpt"))
     excl = rules.excluded_categories(spark, FIXTURE_EXCLUDED)
     q = start_request_stream(spark, src, out, rej, ck, b.products, b.stores, excl, discover_categories(b.products))

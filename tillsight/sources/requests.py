@@ -62,6 +62,16 @@ def to_payload(tx: DataFrame, lines: DataFrame) -> DataFrame:
     return j.select("transaction_id", F.to_json(doc).alias("payload"))
 
 
+#: Documents of a file of requests: it is compressed, so one task reads all of it.
+REQUESTS_PER_FILE = 50_000
+
+
+def write_requests(payloads: DataFrame, path: str, per_file: int = REQUESTS_PER_FILE) -> None:
+    """The ``payload`` texts as files of one document a line."""
+    files = payloads.select(F.col("payload").alias("value")).write.mode("overwrite")
+    files.option("maxRecordsPerFile", per_file).text(path, compression="gzip")
+
+
 def _typed(struct: Column, types: dict[str, str]) -> Column:
     return F.struct(*[struct[f].try_cast(t).alias(f) for f, t in types.items()])
 

@@ -10,6 +10,9 @@ static DataFrames joined per micro-batch (AQE sizes the joins).
 Sinks are idempotent per epoch (``epoch=<id>`` folders written with
 overwrite), so a micro-batch replayed after a failure replaces its own output
 instead of duplicating it; the checkpoint location must be on shared storage.
+The parsed requests of a micro-batch are read several times, so they are held as
+a compressed table below the shared checkpoint folder, which goes with the
+micro-batch.
 """
 
 from __future__ import annotations
@@ -22,6 +25,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tillsight.operators.features import feature_matrix
 from tillsight.operators.rules import screen
+from tillsight.session import scratch_table
+from tillsight.sources.files import remove
 from tillsight.sources.requests import header_rows, line_rows, parse_requests
 
 
@@ -65,15 +70,18 @@ def start_request_stream(
     raw = reader.load(source_dir)
 
     def per_batch(batch: DataFrame, epoch_id: int) -> None:
-        batch = held_requests(parse_requests(batch, "value")).persist()
+        parsed = held_requests(parse_requests(batch, "value"))
+        held = scratch_table(spark, "stream-held")
         try:
+            parsed.write.parquet(held, compression="zstd")
+            batch = batch.sparkSession.read.schema(parsed.schema).parquet(held)
             rejects = batch.where(F.col("reject_reason").isNotNull()).select("raw", "reject_reason")
             rejects.write.mode("overwrite").parquet(f"{reject_dir}/epoch={epoch_id}")
             valid = batch.where(F.col("reject_reason").isNull())
             out = screen_requests(valid, products, stores, excluded, categories)
             out.write.mode("overwrite").parquet(f"{result_dir}/epoch={epoch_id}")
         finally:
-            batch.unpersist()
+            remove(spark, held)
 
     writer = raw.writeStream.foreachBatch(per_batch).option("checkpointLocation", checkpoint_dir)
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="10 seconds")
