@@ -63,6 +63,11 @@ def test_search_begins_its_longest_fits_first_and_keeps_the_order_of_its_setting
         assert tuple(alone)[1:] == tuple(r)[1:]
 
 
+def test_files_of_one_size_keep_their_order_in_a_training_table(spark):
+    orders = {tuple(r.transaction_id for r in ML.training_table(small(spark), "in-order").collect()) for _ in range(6)}
+    assert len(orders) == 1
+
+
 def test_creators_and_ablation(spark):
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import DecisionTreeClassifier
